@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .packing import op3_packing
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op8_line_dedup": op8_line_dedup}
+QUERIES = {
+    "op3_packing": op3_packing,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_bpe": op10_bpe,
+}
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL}

@@ -6,10 +6,12 @@ from .bpe import op10_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op3_packing
+from .simhash import op7_simhash
 
 QUERIES = {
     "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op10_bpe": op10_bpe,
 }

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ship
+
 WORDS_KEPT = 400_000
 """Words that a worker remembers before it starts anew; a bound on memory, not on results."""
 
@@ -154,6 +156,7 @@ def encode(docs: DataFrame, vocab_path: str | None = None, digests: bool = False
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.string())], ["doc_id", "ids", "decoded"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 

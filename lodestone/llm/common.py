@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,19 @@ from pyspark.sql import functions as F
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, unless their Python path has it anyway."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_lodestone_sent", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted((root / "lodestone").rglob("*.py")):
+            z.write(file, file.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._lodestone_sent = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

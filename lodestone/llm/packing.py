@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import release, stage
+from .common import release, ship, stage
 
 GPT2_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES_PER_PARTITION = 65_536
@@ -90,6 +90,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocab_path: s
                 cols["ids"] = pa.array(ids, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
+    ship(docs.sparkSession)
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
@@ -173,6 +174,7 @@ def pack(items: DataFrame, capacity: int = 1024, rounds: int = 4) -> DataFrame:
         """Bins with room, over all partitions."""
         return df.where("room > 0").select("part", "bin").distinct().count()
 
+    ship(items.sparkSession)
     done: list[DataFrame] = []
     now = stage(_packed(dealt(items, items.count(), 0), capacity), "packed")
     for k in range(rounds):

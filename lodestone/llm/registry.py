@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe
+from .embed_dedup import op4_embedding_dedup
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op3_packing
@@ -10,6 +11,7 @@ from .simhash import op7_simhash
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,

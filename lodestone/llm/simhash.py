@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, release, stage
+from .common import components, release, ship, stage
 
 HASHES_AT_ONCE = 1 << 16
 GOLAY = 0b110001110101
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
             fp = np.fromiter((fingerprint(x.as_py() or "", shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
@@ -163,6 +164,7 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
             held_key, held = key[last:], fp[last:]
         yield found(held_key, held)
 
+    ship(fps.sparkSession)
     keyed = fps.select("fp").mapInArrow(expand, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long")
 

@@ -108,3 +108,24 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     spark.sparkContext._jvm.System.gc()  # frees the shuffle files of the rounds
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def find_all(text: Column, pattern: Column | str) -> Column:
+    """All matches of a pattern from left to right: array of (start, match), in code points.
+
+    The parts between the matches and the matches themselves add up to the text, so each start is
+    the length of what stands before. The pattern must not match the empty string.
+    """
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found, between = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex, -1)
+    both = F.zip_with(between, found, lambda a, b: F.struct(F.char_length(a).alias("gap"), b.alias("match")))
+    none = F.array().cast("array<struct<start:int,match:string>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        more = F.array(F.struct(start.alias("start"), x["match"].alias("match")))
+        return F.struct((start + F.char_length(x["match"])).alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    # the last part has no match behind it
+    folded = F.aggregate(F.filter(both, lambda x: x["match"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+    return folded["out"]

@@ -7,9 +7,11 @@ from .embed_dedup import op4_embedding_dedup
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op3_packing
+from .pii import op1_pii
 from .simhash import op7_simhash
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_packing": op3_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_exact_dedup": op5_exact_dedup,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op10_bpe
 from .embed_dedup import op4_embedding_dedup
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .license_scan import op2_license
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op3_packing
 from .pii import op1_pii
@@ -12,6 +13,7 @@ from .simhash import op7_simhash
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_license": op2_license,
     "op3_packing": op3_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_exact_dedup": op5_exact_dedup,

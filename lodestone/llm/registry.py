@@ -9,6 +9,7 @@ from .license_scan import op2_license
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op3_packing
 from .pii import op1_pii
+from .quality import op6_quality
 from .simhash import op7_simhash
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op10_bpe": op10_bpe,

@@ -11,6 +11,7 @@ from .packing import op3_packing
 from .pii import op1_pii
 from .quality import op6_quality
 from .simhash import op7_simhash
+from .suffix_dedup import op9_suffix_dedup
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL}

@@ -70,7 +70,11 @@ class Plan:
 
 
 def _unique(terms: list[str]) -> list[str]:
-    return list({" ".join(t.split()).lower(): t.strip() for t in reversed(terms) if t.strip()}.values())[::-1]
+    first: dict[str, str] = {}
+    for t in terms:
+        if t.strip():
+            first.setdefault(" ".join(t.split()).lower(), t.strip())
+    return list(first.values())
 
 
 def aliases(text: str) -> list[str]:

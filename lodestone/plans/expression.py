@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -35,7 +35,7 @@ class Expression:
     value: str = ""
     match: str = ""
     op: str = ""
-    items: tuple[Expression, ...] = field(default_factory=tuple)
+    items: tuple[Expression, ...] = ()
 
 
 def term(name: str, value: str, match: str = "phrase") -> Expression:

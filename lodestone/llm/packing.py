@@ -2,9 +2,10 @@
 
 Documents become pieces of at most `capacity` tokens; only longer ones are cut, the odd rest first.
 Pieces are dealt evenly to bounded partitions, each packed by best-fit decreasing. A lower bound
-from dual-feasible functions certifies a partition whose number of sequences it meets. The
-sequences with room of all other partitions are dissolved, their pieces dealt anew together and
-packed again, as long as that saves sequences. Texts never move: only (doc_id, piece, length) rows.
+from dual-feasible functions certifies a partition whose number of sequences it meets. While all
+partitions together need more sequences than their tokens fill, the sequences with room are
+dissolved, their pieces dealt anew across partitions and packed again, as long as that saves
+sequences; a single certified partition is done. Texts never move: only (doc_id, piece, length) rows.
 
 Defined cases: a null text counts as empty, and an empty text is the end token alone; repeated rows
 are packed each; an empty table gives no piece; other columns are not read.
@@ -171,26 +172,24 @@ def pack(items: DataFrame, capacity: int = 1024, rounds: int = 4) -> DataFrame:
         return df.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(k)), F.lit(parts)))
 
     def bins_of(df: DataFrame) -> int:
-        """Bins with room, over all partitions."""
-        return df.where("room > 0").select("part", "bin").distinct().count()
+        return df.select("part", "bin").distinct().count()
 
-    ship(items.sparkSession)
     done: list[DataFrame] = []
     now = stage(_packed(dealt(items, items.count(), 0), capacity), "packed")
     for k in range(rounds):
-        numbered = now.withColumn("sequence_id", F.lit(k << ROUND_BITS) + F.col("part") * (1 << BIN_BITS) + F.col("bin"))
-        gap = F.col("bins") > F.col("bound")
-        again = now.where(gap & (F.col("room") > 0)).select(*columns)
-        n = again.count() if k + 1 < rounds else 0
-        better = stage(_packed(dealt(again, n, k + 1), capacity), "packed") if n else None
-        if better is not None:
-            before = bins_of(now.where(gap))
-            after = better.select("part", "bin").distinct().count()
-            if after >= before:
+        certified, open_ = F.col("bins") <= F.col("bound"), F.col("room") > 0
+        again, better = now.where(open_), None
+        told = again.agg(F.count(F.lit(1)), F.countDistinct("part"), F.count_if(~certified), F.coalesce(F.sum("length"), F.lit(0))).first()
+        before = bins_of(again)
+        # one certified partition alone cannot gain
+        if k + 1 < rounds and (told[1] > 1 or told[2]) and before > math.ceil(told[3] / capacity):
+            better = stage(_packed(dealt(again.select(*columns), told[0], k + 1), capacity), "packed")
+            if bins_of(better) >= before:
                 release(better)
                 better = None
-        keep = numbered if better is None else numbered.where(~(gap & (F.col("room") > 0)))
-        done.append(keep.select(*columns, "sequence_id", "offset", (~gap).alias("certified")))
+        keep = now if better is None else now.where(~open_)
+        number = F.lit(k << ROUND_BITS) + F.col("part") * (1 << BIN_BITS) + F.col("bin")
+        done.append(keep.select(*columns, number.alias("sequence_id"), "offset", certified.alias("certified")))
         if better is None:
             break
         now = better

@@ -12,7 +12,7 @@ from lodestone.operators import cite, identity, links, project, retrieve, state
 from lodestone.operators import rank as rk
 from lodestone.plans import expression as ex
 from lodestone.plans.planner import Channel, make_plan
-from lodestone.sources import html, tables
+from lodestone.sources import html, records, tables
 
 AS_OF_YEAR = 2026
 AS_OF = "2024-01-15 00:00:00"
@@ -603,6 +603,42 @@ def html_links(spark, d):
     return html.parsed(tables.table(spark, d, "pages")).select("page_id", F.posexplode("links").alias("pos", "url")).withColumn("pos", big("pos"))
 
 
+def _escaped(c):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+TRIM = f"regexp_replace(title, '^{B}+|{B}+$', '', 'g')"
+
+
+@query("detail_records", f"""WITH {PAPERS}, t AS (SELECT *, {TRIM} AS t FROM papers) SELECT doc_id AS page_id, nullif(t, '') AS title, CASE WHEN t <> '' THEN array_to_string(CASE WHEN authors[1] = authors[2] THEN [authors[1]] ELSE authors END, ';') END AS authors,
+  CASE WHEN t <> '' THEN source END AS source, CASE WHEN t <> '' THEN CAST(2000 + doc_id % 20 AS BIGINT) END AS year, CASE WHEN t <> '' THEN CAST(doc_id % 30 + 1 AS VARCHAR) END AS volume, CASE WHEN t <> '' THEN 'k1,k2' END AS keywords,
+  CASE WHEN t = '' THEN 'PARSER_UNSUPPORTED' END AS error FROM t""")
+def detail_records(spark, d):
+    """Detail pages written from the papers and read again."""
+    p, i = tables.papers(spark, d), F.col("doc_id")
+    meta = F.concat(F.lit('<meta name="citation_title" content="'), _escaped(F.col("title")), F.lit('"><meta name="citation_author" content="'), F.array_join("authors", '"><meta name="citation_author" content="'), F.lit('">'))
+    tip = F.concat(F.lit('<div class="top-tip"><span class="source"><a href="/s">'), "source", F.lit("</a></span> "), 2000 + i % 20, F.lit(","), i % 30 + 1, F.lit('(4):1-9</div><p class="keywords">关键词：k1；k2;K1</p>'))
+    pages = p.select(i.alias("page_id"), F.concat(meta, tip).alias("html"), F.lit("https://example.org/x").alias("context"))
+    out = records.read_pages(pages, "detail")
+    return out.select("page_id", "title", F.array_join("authors", ";").alias("authors"), "source", big("year").alias("year"), "volume", F.array_join("keywords", ",").alias("keywords"), "error")
+
+
+@query("grid_records", f"""WITH {PAPERS}, t AS (SELECT *, {s_clean('title')} AS t FROM papers) SELECT doc_id AS page_id, t AS title, array_to_string(CASE WHEN authors[1] = authors[2] THEN [authors[1]] ELSE authors END, ';') AS authors, source, CAST(year AS BIGINT) AS year, doc_type, cited FROM t WHERE t <> ''""")
+def grid_records(spark, d):
+    """Result lists of one row written from the papers and read again."""
+    p = tables.papers(spark, d)
+    cell = lambda name, c: F.concat(F.lit(f'<td class="{name}">'), c, F.lit("</td>"))
+    row = F.concat(
+        F.lit('<table class="result-table-list"><tbody><tr><td class="name"><a href="/a">'), _escaped(F.col("title")), F.lit("</a></td>"), cell("author", F.concat(F.lit("<a>"), F.array_join("authors", "</a><a>"), F.lit("</a>"))),
+        cell("source", F.col("source")), cell("date", F.concat("year", F.lit("-01-02"))), cell("data", F.col("doc_type")), cell("quote", F.coalesce(F.col("cited").cast("string"), F.lit(""))), F.lit("</tr></table>"),
+    )
+    out = records.read_pages(p.select(F.col("doc_id").alias("page_id"), row.alias("html"), F.lit("https://example.org").alias("context")), "grid")
+    r = out.select("page_id", F.inline("rows"))
+    return r.select("page_id", "title", F.array_join("authors", ";").alias("authors"), "source", big("year").alias("year"), "doc_type", "cited")
+
+
 # ---- stored state --------------------------------------------------------------------------------
 
 

@@ -34,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, ship, stage, text_of
+from .common import ship, stage, text_of
 
 LEAST = 50
 KMER = 16
 SIDE = (LEAST - KMER + 1) // 2
-SLICE = 1 << 18
+SLICE = 1 << 17
+BATCH_BYTES = 8 << 20
 BYTES_PER_BUCKET = 16 << 20
 NO_ID = (1 << 63) - 1
 _ODD = 0x9E3779B97F4A7C15
@@ -112,8 +113,8 @@ def segments(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     # a window never leaves its document, but the bytes beside the k-mer may
     doc = np.searchsorted(ends, lo, side="right")
     a, b = np.maximum(at - SIDE, starts[doc]), np.minimum(at + KMER + SIDE, ends[doc])
-    left = np.where(at - a == SIDE, mixed(spans(a, at)), np.uint64(0))
-    right = np.where(b - at - KMER == SIDE, mixed(spans(at + KMER, b)), np.uint64(0))
+    left = np.where(at - a == SIDE, mixed(spans(a, at)) % np.uint64(65535) + np.uint64(1), np.uint64(0))
+    right = np.where(b - at - KMER == SIDE, mixed(spans(at + KMER, b)) % np.uint64(65535) + np.uint64(1), np.uint64(0))
     shape = ((at - lo) * 64 + (hi - lo)).astype(np.uint64)
     return {"h": h[at], "seg": mixed(spans(lo, hi + LEAST) ^ mixed(shape + np.uint64(1))), "lo": lo, "hi": hi, "at": at, "left": left, "right": right}
 
@@ -143,23 +144,66 @@ def _least(doc: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(doc, at)[group] if len(doc) else doc
 
 
-_COLUMNS = {"h": "long", "seg": "long", "left": "int", "right": "int", "doc": "long", "row": "long", "lo": "int", "span": "short", "at": "short"}
-_TYPES = {"long": (np.int64, pa.int64()), "int": (np.int32, pa.int32()), "short": (np.int16, pa.int16())}
-_BLOCK = "bucket int, " + ", ".join(f"{c} array<{t}>" for c, t in _COLUMNS.items()) + ", m_doc array<long>, m_row array<long>, m_lo array<int>, m_hi array<int>"
-_FOUND = "h long, doc long, row long, lo int, hi int, at int"
+_COLUMNS = {"h": "long", "seg": "long", "left": "short", "right": "short", "lo": "int", "span": "byte", "at": "byte"}
+_OWNERS = {"d_doc": "long", "d_row": "int", "d_n": "int"}
+_MARKS = {"m_doc": "long", "m_row": "int", "m_lo": "int", "m_hi": "int"}
+_TYPES = {"long": (np.int64, pa.int64(), "long"), "int": (np.int32, pa.int32(), "int"), "short": (np.int16, pa.int16(), "short"), "byte": (np.int8, pa.int8(), "tinyint")}
+_ARRAYS = _COLUMNS | _OWNERS | _MARKS
+_BLOCK = "bucket int, " + ", ".join(f"{c} array<{_TYPES[t][2]}>" for c, t in _ARRAYS.items())
+_FOUND = "h long, doc long, row int, lo int, hi int"
+
+
+def _block(bucket: int, values: dict[str, np.ndarray]) -> pa.RecordBatch:
+    cols = [pa.array([bucket], pa.int32())]
+    for c, t in _ARRAYS.items():
+        kind, arrow, _ = _TYPES[t]
+        cols.append(pa.ListArray.from_arrays(pa.array([0, len(values[c])], pa.int32()), pa.array(values[c].astype(kind, copy=False), arrow)))
+    return pa.RecordBatch.from_arrays(cols, ["bucket", *_ARRAYS])
+
+
+def _blocks_of(ids: np.ndarray, rows: np.ndarray, offsets: np.ndarray, data: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of some documents: segments that may matter to others, marks that these documents alone decide."""
+    got = []
+    for ends, at in _slices(data, offsets):
+        part = segments(data[at : at + int(ends[-1])], ends)
+        for c in ("lo", "hi", "at"):
+            part[c] += at
+        got.append(part)
+    if not got:
+        return
+    s = {c: np.concatenate([p.pop(c) for p in got]) for c in list(got[0])}
+    if not len(s["h"]):
+        return
+    n = np.searchsorted(offsets, s["lo"], side="right") - 1
+    span, doc = s["hi"] - s["lo"], ids[n]
+    both = mixed(s["h"]) ^ s["seg"]
+    order = np.argsort(both, kind="stable")
+    run = np.flatnonzero(np.append(True, both[order][1:] != both[order][:-1]))
+    size = np.diff(np.append(run, len(order)))
+    lost = np.zeros(len(order), bool)
+    lost[order] = doc[order] > np.repeat(np.minimum.reduceat(doc[order], run), size)
+    lo = s["lo"] - offsets[n]
+    marks = _joined(doc[lost], rows[n[lost]], lo[lost], (lo + span)[lost] + LEAST)
+    bucket = (s["h"] % np.uint64(buckets)).astype(np.int64)
+    keep = np.flatnonzero(~lost)
+    order = keep[np.argsort(bucket[keep], kind="stable")]
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    turn = np.argsort(marks[0] % buckets, kind="stable")
+    marks = tuple(m[turn] for m in marks)
+    where = np.searchsorted(marks[0] % buckets, np.arange(buckets + 1))
+    s |= {"left": s["left"].astype(np.uint16), "right": s["right"].astype(np.uint16), "at": s["at"] - s["lo"], "lo": lo, "span": span}
+    for k in range(buckets):
+        mine, c, d = order[cuts[k] : cuts[k + 1]], where[k], where[k + 1]
+        if len(mine) or d > c:
+            # rows stay in the order of the documents, so a document is a run
+            new = np.flatnonzero(np.append(True, n[mine][1:] != n[mine][:-1])) if len(mine) else mine
+            owners = n[mine[new]] if len(mine) else mine
+            values = {x: s[x][mine] for x in _COLUMNS} | {"d_doc": ids[owners], "d_row": rows[owners], "d_n": np.diff(np.append(new, len(mine)))}
+            yield _block(k, values | {x: m[c:d] for x, m in zip(_MARKS, marks, strict=True)})
 
 
 def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Per batch and bucket one row of arrays: segments, and marks that the batch alone decides."""
-
-    def block(bucket: int, seg: dict[str, np.ndarray], marks: tuple) -> pa.RecordBatch:
-        cols = [pa.array([bucket], pa.int32())]
-        for c, t in _COLUMNS.items():
-            kind, arrow = _TYPES[t]
-            cols.append(pa.array([seg[c].astype(kind, copy=False)], pa.list_(arrow)))
-        for values, t in zip(marks, ("long", "long", "int", "int"), strict=True):
-            cols.append(pa.array([values.astype(_TYPES[t][0], copy=False)], pa.list_(_TYPES[t][1])))
-        return pa.RecordBatch.from_arrays(cols, ["bucket", *_COLUMNS, "m_doc", "m_row", "m_lo", "m_hi"])
+    """Per few megabytes of text and bucket one row of arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,42 +212,15 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
             text = batch.column(2)
             _, offs, raw = text.buffers()
             offsets = np.frombuffer(offs, np.int32 if pa.types.is_string(text.type) else np.int64)[text.offset : text.offset + len(text) + 1].astype(np.int64)
-            data = np.frombuffer(raw, np.uint8)[: offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+            data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
             ids, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            got = []
-            for ends, at in _slices(data, offsets):
-                part = segments(data[at : at + int(ends[-1])], ends)
-                for c in ("lo", "hi", "at"):
-                    part[c] = part[c] + at
-                got.append(part)
-            s = {c: np.concatenate([p[c] for p in got]) for c in got[0]} if got else {}
-            if not got or not len(s["h"]):
-                continue
-            n = np.searchsorted(offsets, s["lo"], side="right") - 1
-            s |= {"doc": ids[n], "row": rows[n], "span": s["hi"] - s["lo"], "at": s["at"] - s["lo"], "lo": s["lo"] - offsets[n]}
-            s["left"], s["right"] = (s[c].astype(np.uint32) for c in ("left", "right"))
-            both = mixed(s["h"]) ^ s["seg"]
-            order = np.argsort(both, kind="stable")
-            group = np.zeros(len(order), np.int64)
-            group[order] = _first_of_groups(both[order])
-            low = np.full(group.max() + 1, NO_ID)
-            np.minimum.at(low, group, s["doc"])
-            lost = s["doc"] > low[group]
-            marks = _joined(s["doc"][lost], s["row"][lost], s["lo"][lost], (s["lo"] + s["span"])[lost] + LEAST)
-            s = {c: v[~lost] for c, v in s.items() if c in _COLUMNS}
-            bucket = (s["h"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            turn = np.argsort(marks[0] % buckets, kind="stable")
-            marks = tuple(m[turn] for m in marks)
-            where = np.searchsorted(marks[0] % buckets, np.arange(buckets + 1))
-            for k in range(buckets):
-                a, b, c, d = cuts[k], cuts[k + 1], where[k], where[k + 1]
-                if b > a or d > c:
-                    yield block(k, {x: v[order[a:b]] for x, v in s.items()}, tuple(m[c:d] for m in marks))
-
-    slim = docs.select("doc", "row", "text")
-    return slim.mapInArrow(run, _BLOCK)
+            i = 0
+            while i < len(ids):
+                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BATCH_BYTES, side="right")) - 1)
+                yield from _blocks_of(ids[i:j], rows[i:j], offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], buckets)
+                i = j
+
+    return docs.select("doc", "row", "text").mapInArrow(run, _BLOCK)
 
 
 def _joined(doc: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -222,11 +239,20 @@ def _joined(doc: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
 
 def _matched(table: pa.Table) -> pa.Table:
     """Of a bucket: marks (h null), and segments to be resolved by their bytes."""
+
     def column(name: str) -> np.ndarray:
         return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
     s = {c: column(c) for c in _COLUMNS}
-    order = np.lexsort((s["seg"], s["h"]))
+    owners, n = {c: column(c) for c in ("d_doc", "d_row")}, column("d_n")
+    s |= {"doc": np.repeat(owners["d_doc"], n), "row": np.repeat(owners["d_row"], n)}
+    # most k-mers occur once and are done
+    order = np.argsort(s["h"], kind="stable")
+    h = s["h"][order]
+    run = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else order
+    size = np.diff(np.append(run, len(h)))
+    order = order[np.repeat(size > 1, size)]
+    order = order[np.lexsort((s["seg"][order], s["h"][order]))]
     s = {c: v[order] for c, v in s.items()}
     h_group = _first_of_groups(s["h"]) if len(order) else order
     seg_group = np.cumsum(np.append(False, (s["h"][1:] != s["h"][:-1]) | (s["seg"][1:] != s["seg"][:-1]))) if len(order) else order
@@ -235,21 +261,20 @@ def _matched(table: pa.Table) -> pa.Table:
     marks = _joined(*(np.append(column(m), x[lost]) for m, x in (("m_doc", s["doc"]), ("m_row", s["row"]), ("m_lo", lo), ("m_hi", hi))))
     near = np.zeros(len(order), bool)
     for side in ("left", "right"):
-        value = s[side].astype(np.int64) & 0xFFFFFFFF
-        turn = np.lexsort((seg_group, value, h_group))
-        g, v, q, d = h_group[turn], value[turn], seg_group[turn], s["doc"][turn]
-        run = np.cumsum(np.append(False, (g[1:] != g[:-1]) | (v[1:] != v[:-1]))) if len(g) else g
-        at = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else run
+        # group and side in one number; a side that leaves the document is 0
+        value = h_group * (1 << 16) + (s[side].astype(np.int64) & 0xFFFF)
+        turn = np.argsort(value, kind="stable")
+        v, q, d = value[turn], seg_group[turn], s["doc"][turn]
+        at = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else turn
         if len(at):
-            several = (np.maximum.reduceat(q, at) > np.minimum.reduceat(q, at)) & (np.maximum.reduceat(d, at) > np.minimum.reduceat(d, at))
-            near[turn] |= several[run] & (v != 0)
+            several = (np.maximum.reduceat(q, at) > np.minimum.reduceat(q, at)) & (np.maximum.reduceat(d, at) > np.minimum.reduceat(d, at)) & (v[at] % (1 << 16) != 0)
+            near[turn] |= np.repeat(several, np.diff(np.append(at, len(v))))
     ask = near & ~lost
-    k = int(ask.sum())
+    m, k = len(marks[0]), int(ask.sum())
     cols = {
-        "h": pa.array(np.append(np.zeros(len(marks[0]), np.int64), s["h"][ask]), pa.int64(), mask=np.append(np.ones(len(marks[0]), bool), np.zeros(k, bool))),
-        "doc": pa.array(np.append(marks[0], s["doc"][ask]).astype(np.int64)), "row": pa.array(np.append(marks[1], s["row"][ask]).astype(np.int64)),
+        "h": pa.array(np.append(np.zeros(m, np.int64), s["h"][ask]).astype(np.int64), pa.int64(), mask=np.append(np.ones(m, bool), np.zeros(k, bool))),
+        "doc": pa.array(np.append(marks[0], s["doc"][ask]).astype(np.int64)), "row": pa.array(np.append(marks[1], s["row"][ask]).astype(np.int32)),
         "lo": pa.array(np.append(marks[2], lo[ask]).astype(np.int32)), "hi": pa.array(np.append(marks[3], hi[ask]).astype(np.int32)),
-        "at": pa.array(np.append(np.zeros(len(marks[0]), np.int32), s["at"][ask]).astype(np.int32)),
     }
     return pa.table(cols)
 
@@ -267,21 +292,24 @@ def maximal_repeats(data: np.ndarray, ends: np.ndarray, least: int = LEAST) -> I
         return
     suffix = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner]
     left = ends[owner] - suffix
+    # a suffix whose first bytes occur once is in no interval; equal bytes have equal hashes
+    up, down, table = _powers(max(len(data), 2 * SLICE + LEAST))
+    total = np.append(np.zeros(1, np.uint64), np.cumsum(table[data] * up[: len(data)], dtype=np.uint64))
+    window = (total[suffix + least] - total[suffix]) * down[suffix]
+    order = np.argsort(window, kind="stable")
+    run = np.flatnonzero(np.append(True, window[order][1:] != window[order][:-1]))
+    size = np.diff(np.append(run, len(order)))
+    some = np.sort(order[np.repeat(size > 1, size)])
+    suffix, left, end = suffix[some], left[some], ends[owner[some]]
+    if not len(suffix):
+        return
     deepest = int(left.max())
-    # ranks by doubling: after step 2^k suffixes are ordered by their first 2^k bytes
-    order = np.argsort(data[suffix], kind="stable")
-    rank_all = np.zeros(len(data) + 1, np.int64)
-    whole = np.arange(len(data))
-    end_of = np.repeat(ends, ends - starts)
-    rank_all[: len(data)] = data.astype(np.int64) + 1
-    step = 1
-    while step < deepest:
-        second = np.where(whole + step < end_of, rank_all[np.minimum(whole + step, len(data))], 0)
-        pair = rank_all[: len(data)] * (len(data) + 257) + second
-        _, inverse = np.unique(pair, return_inverse=True)
-        rank_all[: len(data)] = inverse + 1
-        step *= 2
-    order = np.argsort(rank_all[suffix], kind="stable")
+    # by words of eight bytes from the last to the first; of equal ones the shorter comes first
+    order = np.argsort(left, kind="stable")
+    for at in range(8 * ((deepest - 1) // 8), -1, -8):
+        place = suffix[:, None] + np.arange(at, at + 8)
+        word = np.where(place < end[:, None], data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8)
+        order = order[np.argsort(np.ascontiguousarray(word).view(">u8")[:, 0].astype(np.uint64)[order], kind="stable")]
     sa, room = suffix[order], left[order]
     common = np.zeros(len(sa) + 1, np.int64)  # of neighbours, 0 at both ends
     alive = np.arange(1, len(sa))
@@ -347,7 +375,7 @@ def _resolved(table: pa.Table) -> pa.Table:
         i = j
     none = np.zeros(0, np.int64)
     doc, row, first, last = _joined(*(np.concatenate(c) if c else none for c in out))
-    return pa.table({"doc": pa.array(doc.astype(np.int64)), "row": pa.array(row.astype(np.int64)), "lo": pa.array(first.astype(np.int32)), "hi": pa.array(last.astype(np.int32))})
+    return pa.table({"doc": pa.array(doc.astype(np.int64)), "row": pa.array(row.astype(np.int32)), "lo": pa.array(first.astype(np.int32)), "hi": pa.array(last.astype(np.int32))})
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -355,7 +383,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     ship(spark)
     body = text_of(docs, text)
-    keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(body).alias("row"), body.alias("text"))
+    keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(body).alias("row"), body.alias("text"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / BYTES_PER_BUCKET))
     found = stage(_blocks(keyed, buckets).groupBy("bucket").applyInArrow(_matched, _FOUND), "segments")
@@ -373,15 +401,13 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                     values = (x["h"] % buckets, x["h"], doc.as_py(), row.as_py(), x["lo"], data[x["lo"] : x["hi"]])
                     for col, v in zip(cols, values, strict=True):
                         col.append(v)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "h", "doc", "row", "lo", "bytes"])
 
-    # equal rows of one doc_id would ask twice for the same bytes
     texts = keyed.join(asked, ["doc", "row"]).select("doc", "row", F.col("text").cast("binary").alias("bytes"), "asked")
-    bytes_of = texts.mapInArrow(fetch, "bucket int, h long, doc long, row long, lo int, bytes binary")
-    resolved = stage(bytes_of.groupBy("bucket").applyInArrow(_resolved, "doc long, row long, lo int, hi int"), "resolved")
-    every = marks.union(resolved)
-    return every.groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    bytes_of = texts.mapInArrow(fetch, "bucket int, h long, doc long, row int, lo int, bytes binary")
+    resolved = stage(bytes_of.groupBy("bucket").applyInArrow(_resolved, "doc long, row int, lo int, hi int"), "resolved")
+    return marks.union(resolved).groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -392,7 +418,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", tex
     ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     body = text_of(docs, text)
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(body).alias("row"), body.cast("binary").alias("bytes"))
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(body).alias("row"), body.cast("binary").alias("bytes"))
     both = keyed.join(spans, ["doc", "row"], "left").select("doc_id", "bytes", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

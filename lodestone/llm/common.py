@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -58,6 +60,14 @@ def release(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished steps, which it does once their plans are garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def text_of(docs: DataFrame, text: str = "text") -> Column:
     """The text column; null counts as empty."""
     return F.coalesce(docs[text], F.lit(""))
@@ -105,7 +115,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         now = step
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    spark.sparkContext._jvm.System.gc()  # frees the shuffle files of the rounds
+    free_shuffles(spark)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, release, ship, stage
+from .common import components, free_shuffles, release, ship, stage
 
 HASHES_AT_ONCE = 1 << 16
 GOLAY = 0b110001110101
@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, shingle: int = 3, doc_id
     rows = stage(fingerprints(docs, shingle, doc_id, text), "fingerprints")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     found = stage(links(classes.repartition("fp"), max_bits), "links")
-    spark.sparkContext._jvm.System.gc()  # frees the shuffle files of the keys
+    free_shuffles(spark)
     parts = stage(components(found), "components")
     release(found)
     linked = classes.join(parts, classes["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))

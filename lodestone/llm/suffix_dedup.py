@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, stage, text_of
+from .common import free_shuffles, ship, stage, text_of
 
 LEAST = 50
 KMER = 16
@@ -387,7 +387,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / BYTES_PER_BUCKET))
     found = stage(_blocks(keyed, buckets).groupBy("bucket").applyInArrow(_matched, _FOUND), "segments")
-    spark.sparkContext._jvm.System.gc()  # frees the shuffle files of the segments
+    free_shuffles(spark)
     marks = found.where("h IS NULL").select("doc", "row", "lo", "hi")
 
     asked = found.where("h IS NOT NULL").groupBy("doc", "row").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("asked"))
@@ -407,6 +407,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = keyed.join(asked, ["doc", "row"]).select("doc", "row", F.col("text").cast("binary").alias("bytes"), "asked")
     bytes_of = texts.mapInArrow(fetch, "bucket int, h long, doc long, row int, lo int, bytes binary")
     resolved = stage(bytes_of.groupBy("bucket").applyInArrow(_resolved, "doc long, row int, lo int, hi int"), "resolved")
+    free_shuffles(spark)
     return marks.union(resolved).groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 

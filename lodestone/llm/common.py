@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import time
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +71,29 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of fewer rows for the jobs within, as texts are long; results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, min(int(old), rows) if int(old) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def trim() -> None:
+    """Gives a Python worker's freed memory back to the system, where its C library can do so."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps it
+        return
+
+
 def text_of(docs: DataFrame, text: str = "text") -> Column:
     """The text column; null counts as empty."""
     return F.coalesce(docs[text], F.lit(""))

@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, ship, stage, text_of
+from .common import free_shuffles, ship, small_batches, stage, text_of, trim
 
 LEAST = 50
 KMER = 16
 SIDE = (LEAST - KMER + 1) // 2
 SLICE = 1 << 17
 BATCH_BYTES = 8 << 20
-BYTES_PER_BUCKET = 16 << 20
+BYTES_PER_BUCKET = 12 << 20
 NO_ID = (1 << 63) - 1
 _ODD = 0x9E3779B97F4A7C15
 _POS = 21
@@ -57,9 +57,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, and a random number for each byte."""
+    """Powers of the base and of its inverse modulo 2^64, at least n, and a random number for each byte."""
+    return _power_table(1 << max(18, (n - 1).bit_length()))  # few sizes, so that few tables are kept
+
+
+@cache
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(_ODD, -1, 1 << 64))
     up, down = np.full(n, _ODD, np.uint64), np.full(n, inverse, np.uint64)
     up[0] = down[0] = 1
@@ -76,7 +80,7 @@ def segments(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     empty = {k: np.zeros(0, np.uint64 if k in ("h", "seg", "left", "right") else np.int64) for k in ("h", "seg", "lo", "hi", "at", "left", "right")}
     if n < LEAST:
         return empty
-    up, down, table = _powers(2 * SLICE + LEAST)
+    up, down, table = _powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(table[data] * up[:n], dtype=np.uint64, out=total[1:])
 
@@ -219,6 +223,7 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BATCH_BYTES, side="right")) - 1)
                 yield from _blocks_of(ids[i:j], rows[i:j], offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], buckets)
                 i = j
+            trim()
 
     return docs.select("doc", "row", "text").mapInArrow(run, _BLOCK)
 
@@ -239,6 +244,7 @@ def _joined(doc: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
 
 def _matched(table: pa.Table) -> pa.Table:
     """Of a bucket: marks (h null), and segments to be resolved by their bytes."""
+    trim()
 
     def column(name: str) -> np.ndarray:
         return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -293,7 +299,7 @@ def maximal_repeats(data: np.ndarray, ends: np.ndarray, least: int = LEAST) -> I
     suffix = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner]
     left = ends[owner] - suffix
     # a suffix whose first bytes occur once is in no interval; equal bytes have equal hashes
-    up, down, table = _powers(max(len(data), 2 * SLICE + LEAST))
+    up, down, table = _powers(len(data))
     total = np.append(np.zeros(1, np.uint64), np.cumsum(table[data] * up[: len(data)], dtype=np.uint64))
     window = (total[suffix + least] - total[suffix]) * down[suffix]
     order = np.argsort(window, kind="stable")
@@ -348,6 +354,7 @@ def maximal_repeats(data: np.ndarray, ends: np.ndarray, least: int = LEAST) -> I
 
 def _resolved(table: pa.Table) -> pa.Table:
     """Marks from the bytes of a bucket's segments, one suffix array for each of its k-mers' groups."""
+    trim()
     table = table.sort_by([("h", "ascending"), ("doc", "ascending"), ("row", "ascending"), ("lo", "ascending")])
     h, doc, row, lo = (table[c].to_numpy() for c in ("h", "doc", "row", "lo"))
     ctx = table["bytes"].to_pylist()
@@ -386,7 +393,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(body).alias("row"), body.alias("text"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / BYTES_PER_BUCKET))
-    found = stage(_blocks(keyed, buckets).groupBy("bucket").applyInArrow(_matched, _FOUND), "segments")
+    with small_batches(spark):
+        found = stage(_blocks(keyed, buckets).groupBy("bucket").applyInArrow(_matched, _FOUND), "segments")
     free_shuffles(spark)
     marks = found.where("h IS NULL").select("doc", "row", "lo", "hi")
 
@@ -406,7 +414,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     texts = keyed.join(asked, ["doc", "row"]).select("doc", "row", F.col("text").cast("binary").alias("bytes"), "asked")
     bytes_of = texts.mapInArrow(fetch, "bucket int, h long, doc long, row int, lo int, bytes binary")
-    resolved = stage(bytes_of.groupBy("bucket").applyInArrow(_resolved, "doc long, row int, lo int, hi int"), "resolved")
+    with small_batches(spark):
+        resolved = stage(bytes_of.groupBy("bucket").applyInArrow(_resolved, "doc long, row int, lo int, hi int"), "resolved")
     free_shuffles(spark)
     return marks.union(resolved).groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
@@ -439,6 +448,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", tex
                 left = b"".join(kept)
                 rows.append((len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest() if digest else left))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            trim()
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string() if digest else pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return both.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}")

@@ -52,7 +52,7 @@ class DigestIndex:
     def entries(self) -> DataFrame:
         """All rows of the index, read without its buckets."""
         folder = self.spark.sql(f"DESCRIBE FORMATTED {self.name}").where("col_name = 'Location'").first()["data_type"]
-        return self.spark.read.parquet(folder)
+        return self.spark.read.schema(self.spark.table(self.name).schema).parquet(folder)  # an empty index has no file to tell it
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import stage
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.near_copies import near_copies
 from lodestone.llm.packing import pack, pieces
 from lodestone.llm.pii import redact
 from lodestone.llm.quality import good_documents, train
-from lodestone.llm.simhash import near_duplicates
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -37,8 +37,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words a shingle) the row with the smallest doc_id."""
-    return _without(docs, near_duplicates(docs, shingle=5).where(F.col("doc_id") != F.col("component_id")))
+    """Of each group of near copies the row with the smallest doc_id: SimHash within three bits or Jaccard of 0.8, five words a shingle."""
+    return _without(docs, near_copies(docs, shingle=5).where(F.col("doc_id") != F.col("component_id")))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

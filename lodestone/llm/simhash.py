@@ -17,7 +17,7 @@ not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -33,22 +33,33 @@ GOLAY = 0b110001110101
 """Generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the (23, 12) Golay code."""
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """64-bit SimHash of the word shingles, repeats included; bit i is set if it is in over half the hashes."""
+def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """64-bit hashes (uint64) of the word shingles, repeats included, in parts; a shorter text is one shingle."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
     k = min(shingle, len(words))
     h = xxhash.xxh64_intdigest
     starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
     for a in range(0, len(starts), HASHES_AT_ONCE):
-        some = np.array([h(joined[i:j], 42) for i, j in zip(starts[a : a + HASHES_AT_ONCE], ends[a : a + HASHES_AT_ONCE], strict=True)], np.uint64)
+        yield np.array([h(joined[i:j], 42) for i, j in zip(starts[a : a + HASHES_AT_ONCE], ends[a : a + HASHES_AT_ONCE], strict=True)], np.uint64)
+
+
+def simhash_of(hashes: Iterable[np.ndarray]) -> int:
+    """Bit i is set if it is in over half the hashes; 0 of none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for some in hashes:
         ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view(np.uint64)[0])
+        n += len(some)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """64-bit SimHash of the word shingles, repeats included."""
+    return simhash_of(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,12 +1,13 @@
 """Near copies by Jaccard similarity of word shingles, beside the links of SimHash.
 
-Texts with the same set of shingles are one node. MinHash keys bring pairs together: 32 bands of
-four minima each, of which a pair at similarity 0.8 shares none with probability 5e-8. Each pair
-that is found so is verified on its whole sets of 64-bit shingle hashes, with integers. Pairs within
+Texts with the same set of shingles are one node. MinHash keys bring pairs together: 48 bands of
+six minima each, of which a pair at similarity 0.8 shares none with probability 5e-7; fewer minima
+would gather all texts that share a long passage. Each pair that is found so is verified on its whole sets of 64-bit shingle hashes, with integers. Pairs within
 three bits of SimHash are linked as well.
 
 A bucket's pairs are not formed at once: members are first compared with one pivot a bucket, and
-from then on only pairs whose ends are still in different components count, until none is left.
+from then on only pairs whose ends are still in different components count. When pivots link few, all
+those pairs are verified.
 
 Defined cases: as in SimHash; a text without words has no MinHash keys; rows without doc_id take part
 in the links of SimHash only.
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 from .common import components, free_shuffles, release, ship, small_batches, stage
 from .simhash import links, shingle_hashes, simhash_of
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 48, 6
 _RNG = np.random.default_rng(20)
 XOR, ODD = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64), _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 AT_ONCE = 1 << 11
+GROUP = 256
 PAIRS_PER_MEMBER = 4
 """Up to so many open pairs for each bucket member, all are verified at once, without more pivots."""
 
@@ -93,16 +95,22 @@ def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (u, v) those that are similar."""
+    """Of the pairs (u, v) those that are similar.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            ok = [similar(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)) for i in range(batch.num_rows)]
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+    Nodes fall into groups, and a block holds the pairs of two groups: a set goes once to each block
+    that needs it, not to each of its pairs.
+    """
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().count()
+    groups = F.lit(-(-max(nodes, 1) // GROUP))
+    blocked = pairs.select("u", "v", (F.pmod(F.xxhash64("u"), groups) * groups + F.pmod(F.xxhash64("v"), groups)).alias("block"))
+    need = blocked.select("block", F.col("u").alias("node")).union(blocked.select("block", "v")).distinct().join(sets, "node").select(F.col("block").alias("at"), "node", "items")
+
+    def run(some: pa.Table, held: pa.Table) -> pa.Table:
+        items = {k: np.frombuffer(x, np.uint64) for k, x in zip(held["node"].to_pylist(), held["items"].to_pylist(), strict=True)}
+        ok = [similar(items[u], items[v]) for u, v in zip(some["u"].to_pylist(), some["v"].to_pylist(), strict=True)]
+        return some.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("items").alias("y")), "v")
-    return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return blocked.groupBy("block").cogroup(need.groupBy("at")).applyInArrow(run, "u long, v long")
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -122,7 +130,7 @@ def jaccard_links(docs: DataFrame, rows: DataFrame, known: DataFrame, shingle: i
     with small_batches(spark, 500):
         sets = stage(sets_of(docs.join(firsts, "doc_id", "left_semi").select("text"), shingle), "sets")
     members = members.select("key", "node")
-    found, fresh, turn = known, -1, 0
+    found, useful, turn = known, True, 0
     while True:
         parts = stage(components(found), "parts")
         labelled = members.join(parts.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -136,7 +144,7 @@ def jaccard_links(docs: DataFrame, rows: DataFrame, known: DataFrame, shingle: i
         release(labelled)
         if not total[0]:
             return found
-        rest = total[1] <= PAIRS_PER_MEMBER * total[0] or not fresh
+        rest = total[1] <= PAIRS_PER_MEMBER * total[0] or not useful
         if rest:
             other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
             pairs = _pairs(open_.join(other, "key").where("node < b and component <> other").select(F.col("node").alias("a"), "b"))
@@ -146,7 +154,7 @@ def jaccard_links(docs: DataFrame, rows: DataFrame, known: DataFrame, shingle: i
         pairs = stage(pairs, "pairs")
         with small_batches(spark, 500):
             more = stage(verified(pairs, sets), "verified")
-        fresh, turn = more.count(), turn + 1
+        useful, turn = 10 * more.count() > pairs.count(), turn + 1
         release(pairs)
         release(open_)
         found = stage(found.union(more), "found")

@@ -37,5 +37,6 @@ def test_near_stage_equals_brute_force(spark, monkeypatch):
     want = {i for i, r in enumerate(root) if i == r}
     assert sum((fp[a] ^ fp[b]).bit_count() > 3 for a, b in close) > 50
     assert {r.doc_id for r in corpus_pipeline.near_stage(spark, df, "").collect()} == want
-    monkeypatch.setattr(nc, "PAIRS_PER_MEMBER", 0)  # by pivots as long as they find links
+    monkeypatch.setattr(nc, "PAIRS_PER_MEMBER", 0)  # by pivots as long as they help
+    monkeypatch.setattr(nc, "GROUP", 5)
     assert {r.doc_id for r in corpus_pipeline.near_stage(spark, df, "").collect()} == want

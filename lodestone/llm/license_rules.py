@@ -1,7 +1,8 @@
 """Ordered signature rules for license texts.
 
 A line per rule, the most telling first within a license: label | keyword | pattern. The keyword is
-a cheap filter: a text without it cannot match the pattern. Patterns see text with A-Z lower-cased
+a cheap filter, looked for where runs of white space and comment marks are one blank: a text without
+it cannot match the pattern. Patterns see text with A-Z lower-cased
 and are Java regular expressions; a blank in them stands for any run of white space and comment
 marks. Priority is by kind: tags (spdx), then named versions, then names and links, then notices.
 """
@@ -114,8 +115,8 @@ lgpl | lesser general public license | \b(?:gnu )?lesser general public license\
 lgpl | library general public license | \b(?:gnu )?library general public license\b
 agpl | affero general public license | \b(?:gnu )?affero general public license\b
 gfdl | free documentation license | \b(?:gnu )?free documentation license\b
-gpl | gnu.org/licenses/gpl | gnu\.org/licenses/(?:old-licenses/)?gpl
-lgpl | gnu.org/licenses/lgpl | gnu\.org/licenses/(?:old-licenses/)?lgpl
+gpl | gnu.org/licenses | gnu\.org/licenses/(?:old-licenses/)?gpl
+lgpl | gnu.org/licenses | gnu\.org/licenses/(?:old-licenses/)?lgpl
 agpl | gnu.org/licenses/agpl | gnu\.org/licenses/agpl
 mit | mit license | \b(?:the )?mit license\b
 mit | opensource.org/licenses/mit | opensource\.org/licenses/mit
@@ -153,13 +154,13 @@ wtfpl | wtfpl | \bwtfpl\b
 python | python software foundation license | \bpython software foundation license\b
 php | php license | \bphp license\b
 ruby | ruby license | \bruby license\b
-postgresql | postgresql license | \bpostgresql licen[cs]e\b
+postgresql | postgresql licen | \bpostgresql licen[cs]e\b
 openssl | openssl license | \bopenssl license\b
 vim | vim license | \bvim license\b
 w3c | w3c software | \bw3c software (?:notice and )?licen[cs]e\b
 unicode | unicode license | \bunicode license\b
 ncsa | university of illinois/ncsa | university of illinois/ncsa open source license
-beerware | beer-ware license | \bbeer-?ware license\b
+beerware | ware license | \bbeer-?ware license\b
 ms-pl | microsoft public license | \bmicrosoft public license\b
 ms-rl | microsoft reciprocal license | \bmicrosoft reciprocal license\b
 lppl | latex project public license | \blatex project public license\b
@@ -173,12 +174,12 @@ cc-by | creative commons attribution | \bcreative commons attribution\b(?![- ](?
 cc-by-sa | creative commons attribution | \bcreative commons attribution[- ]share ?alike\b
 cc-by-nc | creative commons attribution | \bcreative commons attribution[- ]non ?commercial\b
 cc-by-nd | creative commons attribution | \bcreative commons attribution[- ]no ?deriv(?:ative)?s?\b
-creative-commons | creative commons license | \bcreative commons licen[cs]e\b
+creative-commons | creative commons licen | \bcreative commons licen[cs]e\b
 creative-commons | creativecommons.org/licenses | creativecommons\.org/licenses/
 public-domain | public domain | \b(?:dedicated to|placed in|released into|in) the public domain\b
 ogl-uk | open government licence | \bopen government licence\b
 odc-by | open data commons attribution | \bopen data commons attribution licen[cs]e\b
-pddl | public domain dedication and license | \bpublic domain dedication and licen[cs]e\b
+pddl | public domain dedication and licen | \bpublic domain dedication and licen[cs]e\b
 commons-clause | commons clause license | \bcommons clause license condition\b
 business-source | business source license | \bbusiness source license\b
 elastic | elastic license | \belastic license\b
@@ -222,5 +223,5 @@ def _parsed(lines: str, priority: int) -> list[Rule]:
 
 def rules() -> list[Rule]:
     """All rules in order."""
-    tags = [Rule(t, TAG, "spdx-license-identifier", rf"spdx-license-identifier:[^\n]{{0,40}}?(?<![a-z0-9.-]){t.replace('.', '[.]')}(?:-only|-or-later|\+)?(?![a-z0-9.-])") for t in TAGGED]
+    tags = [Rule(t, TAG, "spdx-license-identifier", rf"spdx-license-identifier:[^\n]*?(?<![a-z0-9.-]){t.replace('.', '[.]')}(?:-only|-or-later|\+)?(?![a-z0-9.-])") for t in TAGGED]
     return tags + _parsed(VERSIONS, VERSION) + _parsed(NAMES, NAME) + _parsed(NOTICES, NOTICE)

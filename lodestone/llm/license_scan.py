@@ -11,23 +11,31 @@ results; an empty table gives an empty result; scan() passes all other columns t
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, find_all, text_of
 from .license_rules import CONFIDENCE, STEMS, rules
 
+MARKS = r"[\s*#/]+"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Fixed values of the base scan: phrase and label.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 
 def _rule_column() -> Column:
-    table = [F.struct(F.lit(n).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for n, r in enumerate(rules())]
+    table = [F.struct(F.lit(n).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(re.sub(MARKS, " ", r.keyword)).alias("keyword"), F.lit(r.pattern).alias("pattern")) for n, r in enumerate(rules())]
     return F.array(*table)
 
 
-def detections(low: Column) -> Column:
+def gate_text(low: Column) -> Column:
+    """The text in which keywords are looked for: each run of white space and comment marks is one blank."""
+    return F.regexp_replace(low, MARKS, " ")
+
+
+def detections(low: Column, gate: Column) -> Column:
     """Detections of a lower-cased text that no other suppresses: (start, end, priority, rule, label)."""
 
     def of_rule(r: Column) -> Column:
@@ -36,7 +44,7 @@ def detections(low: Column) -> Column:
             lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.char_length(m["match"])).alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")),
         )
 
-    return F.flatten(F.transform(F.filter(_rule_column(), lambda r: F.contains(low, r["keyword"])), of_rule))
+    return F.flatten(F.transform(F.filter(_rule_column(), lambda r: F.contains(gate, r["keyword"])), of_rule))
 
 
 def unsuppressed(found: Column) -> Column:
@@ -80,21 +88,21 @@ def _each(found: Column, place, label: str) -> Column:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, base (places of base phrases), detections and score."""
-    low, padded, found = F.col("__low"), F.col("__padded"), F.col("__found")
+    low, gate, padded, found = F.col("__low"), F.col("__gate"), F.col("__padded"), F.col("__found")
     held = F.lit(False)
     for stem in STEMS:
-        held = held | F.contains(low, F.lit(stem))
+        held = held | F.contains(gate, F.lit(re.sub(MARKS, " ", stem)))
     none = F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")
     df = docs.withColumn("__low", ascii_lower(text_of(docs, text)))
     df = df.withColumn("__padded", F.concat(F.lit(" "), F.btrim(F.regexp_replace(low, BREAKS, " "), F.lit(" ")), F.lit(" ")))
-    df = df.withColumn("__found", F.when(held, detections(low)))
+    df = df.withColumn("__gate", gate_text(low)).withColumn("__found", F.when(held, detections(low, gate)))
     words = F.when(padded == "  ", 0).otherwise(F.char_length(padded) - F.char_length(F.replace(padded, F.lit(" "), F.lit(""))) - 1)
     df = df.withColumns({"n_words": words.cast("long"), "base": base_places(padded), "detections": F.coalesce(unsuppressed(found), none)})
     score = F.lit(0.0)
     for priority, confidence in CONFIDENCE.items():
         score = F.when(F.exists("detections", lambda d: d["priority"] == priority), F.greatest(score, F.lit(confidence))).otherwise(score)
     score = F.when(F.size("base") > 0, F.greatest(score, F.lit(0.9))).otherwise(score)
-    return df.withColumn("score", score).drop("__low", "__padded", "__found")
+    return df.withColumn("score", score).drop("__low", "__gate", "__padded", "__found")
 
 
 def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:

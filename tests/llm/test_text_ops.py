@@ -167,3 +167,19 @@ def test_components(spark, n):
     out = components(spark.createDataFrame(edges, "u long, v long"))
     assert sorted(tuple(r) for r in out.select("node", "component").collect()) == sorted((x, find(x)) for x in linked)
     assert out.where(F.col("component") > F.col("node")).count() == 0
+
+
+WRAPPED = [
+    ("gnu lesser general public\n * license, version 2.1", "lgpl-2.1"), ("mozilla public\n# license v2.0", "mpl-2.0"), ("all\n * rights\n * reserved", "all-rights-reserved"), ("redistribution\n// and use in source and binary forms, with or without modification", "bsd"),
+    ("beerware license", "beerware"), ("beer-ware license", "beerware"), ("see gnu.org/licenses/old-licenses/gpl", "gpl"), ("creative commons licence", "creative-commons"), ("postgresql licence", "postgresql"),
+    ("spdx-license-identifier: " + "(a-long-name or b-long-name) and (" * 3 + " mit", "mit"),
+]
+
+
+def test_license_gate_drops_no_match(spark):
+    df = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(WRAPPED)], "doc_id long, text string, want string")
+    for r in license_scan.scan(df).collect():
+        assert r.want in {d.label for d in r.detections}, r.text
+    low, every = F.col("text"), F.concat(*[F.lit(x + "\n") for x in sorted({r.keyword for r in license_rules.rules()} | set(license_rules.STEMS))])
+    got = df.select("text", license_scan.detections(low, license_scan.gate_text(low)).alias("a"), license_scan.detections(low, license_scan.gate_text(every)).alias("b"))
+    assert all(r.a == r.b for r in got.collect())

@@ -126,16 +126,23 @@ def resolve(observations: DataFrame) -> DataFrame:
     return keyed.groupBy("component").applyInPandas(run, "seq long, ref string")
 
 
-def with_component(observations: DataFrame, rounds: int = 30) -> DataFrame:
-    """observations with the smallest seq that shared keys reach, by repeated minima until nothing changes."""
+def with_component(observations: DataFrame) -> DataFrame:
+    """observations with the smallest seq that shared keys reach, by repeated minima until nothing changes.
+
+    Each round also lowers the label of a label's own row and then takes the label of the label, so
+    that long chains settle in few rounds; there is no limit to them.
+    """
     links = observations.select("seq", F.explode(identity_keys()).alias("key"))
-    label = observations.select("seq", F.col("seq").alias("component")).checkpoint()
-    for _ in range(rounds):
+    label = observations.select("seq", F.col("seq").alias("component")).distinct().checkpoint()
+    moved = True
+    while moved:
         per_key = links.join(label, "seq").groupBy("key").agg(F.min("component").alias("low"))
         per_seq = links.join(per_key, "key").groupBy("seq").agg(F.min("low").alias("low"))
-        new = label.join(per_seq, "seq", "left").select("seq", F.least("component", "low").alias("component"), (F.col("low") < F.col("component")).alias("moved")).checkpoint()
-        moved = new.where("moved").limit(1).count()
+        near = label.join(per_seq, "seq", "left").checkpoint()
+        hook = near.groupBy("component").agg(F.min("low").alias("hook")).select(F.col("component").alias("seq"), "hook")
+        low = near.join(hook, "seq", "left").select("seq", F.col("component").alias("old"), F.least("component", "low", "hook").alias("component")).checkpoint()
+        up = low.select(F.col("seq").alias("component"), F.col("component").alias("up"))
+        new = low.join(up, "component").select("seq", F.least("component", "up").alias("component"), (F.col("up") < F.col("old")).alias("moved")).checkpoint()
+        moved = new.where("moved").limit(1).count() > 0
         label = new.select("seq", "component")
-        if not moved:
-            break
     return observations.join(label, "seq")

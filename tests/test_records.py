@@ -202,3 +202,12 @@ def test_streaming_upsert(spark, tmp_path):
     columns = ("ref", "title", "source", "year", "abstract", "cited")
     want = {tuple(r) for r in identity.merge_observations(o).select(*columns).collect()}
     assert {tuple(r) for r in store.read("papers").select(*columns).collect()} == want
+
+
+def test_components_of_a_long_chain(spark):
+    n = 300
+    order = [(7 * i) % n for i in range(n)]  # neighbours in the chain are far apart in seq
+    rows = [(s, f"r{s}", f"N{i // 2}", f"D{(i + 1) // 2}", "", "") for i, s in enumerate(order)]
+    df = spark.createDataFrame(rows + [(n, "alone", "", "", "", "")], "seq long, ref string, native_key string, doi_key string, bib_key string, dbcode string")
+    got = {r.seq: r.component for r in identity.with_component(df).collect()}
+    assert got == {s: 0 for s in order} | {n: n}

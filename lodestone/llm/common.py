@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -33,54 +31,78 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder of spark.checkpoint.dir. Where the session names none, as in tests, a temporary one, but in local mode only."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+        folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
+    """A session setting for the jobs within."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns the stored table.
 
     This cuts the lineage: a lost executor costs no more than the running job, and what is read
-    several times is computed once.
+    several times is computed once. Spark deletes the job's shuffle files when it is done.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Removes a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if path.getParent().getName() == "stage":
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished steps, which it does once their plans are garbage."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def release(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0]
+            for path in [p for p in _staged if folder.endswith(p.split(":", 1)[-1])]:
+                _staged.remove(path)
+                _delete(df.sparkSession, path)
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of fewer rows for the jobs within, as texts are long; results do not depend on it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, min(int(old), rows) if int(old) > 0 else rows)
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that are staged within, but for the last one: the result that stays."""
+    before = len(_staged)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        gone = _staged[before:-1]
+        del _staged[before:-1]
+        for path in gone:
+            _delete(spark, path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of fewer rows for the jobs within, as texts are long; results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = int(spark.conf.get(key))
+    return setting(spark, key, min(old, rows) if old > 0 else rows)
 
 
 def trim() -> None:
@@ -94,6 +116,17 @@ def trim() -> None:
         return
 
 
+def make_room(df: DataFrame, *names: str) -> DataFrame:
+    """df in which columns with the names of results are called `<name>_input`, so that none is lost."""
+    for name in names:
+        if name in df.columns:
+            other = f"{name}_input"
+            while other in df.columns:
+                other += "_input"
+            df = df.withColumnRenamed(name, other)
+    return df
+
+
 def text_of(docs: DataFrame, text: str = "text") -> Column:
     """The text column; null counts as empty."""
     return F.coalesce(docs[text], F.lit(""))
@@ -104,15 +137,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (u, v): rows (node, component), the smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce
     and Beyond", 2014) until the edge set is stable. Each step is a grouped minimum, which combines
     on the map side, and a join, whose skewed side adaptive execution splits. Only a count and a
-    checksum reach the driver. Nodes without an edge are absent from the result.
+    checksum reach the driver. Nodes without an edge are absent from the result. Every round shortens
+    the paths to the least node, so there is no limit to their number.
     """
-    spark = edges.sparkSession
 
     def directed(e: DataFrame) -> DataFrame:
         return e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -130,7 +163,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     now = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         # the checksum is taken over the edge set, which the last step leaves free of repeats
         mark = now.agg(F.count(F.lit(1)), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first()
         if tuple(mark) == seen or mark[0] == 0:
@@ -139,29 +172,57 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         step = stage(small(large(now)), "edges")
         release(now)
         now = step
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    free_shuffles(spark)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def find_all(text: Column, pattern: Column | str) -> Column:
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running totals of an array under an associative op.
+
+    Doubling (Hillis and Steele, "Data Parallel Algorithms", 1986): a pass for each power of two below
+    the size, each a plain transform, so nothing is copied element by element as in a fold that appends.
+    """
+
+    def scan(a: Column) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            shift = F.call_function("shiftleft", F.lit(1), k)
+            return F.transform(acc, lambda x, i: F.when(i < shift, x).otherwise(op(F.get(acc, i - shift), x)))
+
+        last = F.ceil(F.log2(F.size(a).cast("double"))).cast("int") - 1
+        return F.when(F.size(a) > 1, F.aggregate(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), a, step)).otherwise(a)
+
+    return bind(values, scan)
+
+
+def find_all(text: Column, pattern: Column | str, around: int = 0, measure: Callable[[Column], Column] = F.char_length) -> Column:
     """All matches of a pattern from left to right: array of (start, match), in code points.
 
     The parts between the matches and the matches themselves add up to the text, so each start is
-    the length of what stands before. The pattern must not match the empty string.
+    the running total of what stands before. The pattern must not match the empty string. With
+    `around`, `before` and `after` are up to so many characters of the parts beside the match.
+    `measure` counts something else than characters.
     """
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found, between = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex, -1)
-    both = F.zip_with(between, found, lambda a, b: F.struct(F.char_length(a).alias("gap"), b.alias("match")))
-    none = F.array().cast("array<struct<start:int,match:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        more = F.array(F.struct(start.alias("start"), x["match"].alias("match")))
-        return F.struct((start + F.char_length(x["match"])).alias("at"), F.concat(acc["out"], more).alias("out"))
-
-    # the last part has no match behind it
-    folded = F.aggregate(F.filter(both, lambda x: x["match"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
-    return folded["out"]
+
+    def part(gap: Column, match: Column) -> Column:
+        more = (F.substr(gap, F.lit(-around), F.lit(around)).alias("before"), F.substr(gap, F.lit(1), F.lit(around)).alias("head")) if around else ()
+        size = F.coalesce(measure(match), F.lit(0))
+        return F.struct((F.coalesce(measure(gap), F.lit(0)) + size).alias("both"), size.alias("size"), match.alias("match"), *more)
+
+    def placed(parts: Column) -> Column:
+        def of(ends: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                more = (x["before"].alias("before"), F.get(parts, i + 1)["head"].alias("after")) if around else ()
+                return F.struct((F.get(ends, i) - x["size"]).alias("start"), x["match"].alias("match"), *more)
+
+            # the last part has no match behind it
+            return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), one)
+
+        return bind(running(F.transform(parts, lambda x: x["both"]), lambda a, b: a + b), of)
+
+    return bind(F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, regex, F.lit(0)), part), placed)

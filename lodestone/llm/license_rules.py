@@ -105,6 +105,95 @@ bsd-3-clause | bsd | \b(?:3-clause|three-clause|new|modified|revised) bsd licens
 bsd-4-clause | bsd | \b(?:4-clause|four-clause|original) bsd license\b
 bsd-2-clause | bsd | \bbsd[- ]2[- ]clause\b
 bsd-3-clause | bsd | \bbsd[- ]3[- ]clause\b
+apache-2.0 | apache-2.0 | \bapache-2\.0\b
+apache-2.0 | asl 2.0 | \basl 2\.0\b
+apache-2.0 | apache 2.0 license | \bapache 2\.0 license\b
+apache-1.1 | apache-1.1 | \bapache-1\.1\b
+gpl-3.0 | gnu.org/licenses/gpl-3.0 | gnu\.org/licenses/gpl-3\.0
+gpl-2.0 | gnu.org/licenses/old-licenses/gpl-2.0 | gnu\.org/licenses/old-licenses/gpl-2\.0
+lgpl-3.0 | gnu.org/licenses/lgpl-3.0 | gnu\.org/licenses/lgpl-3\.0
+lgpl-2.1 | gnu.org/licenses/old-licenses/lgpl-2.1 | gnu\.org/licenses/old-licenses/lgpl-2\.1
+agpl-3.0 | gnu.org/licenses/agpl-3.0 | gnu\.org/licenses/agpl-3\.0
+gfdl-1.3 | gnu.org/licenses/fdl-1.3 | gnu\.org/licenses/fdl-1\.3
+mpl-2.0 | mozilla.org/mpl/2.0 | mozilla\.org/mpl/2\.0
+mpl-1.1 | mozilla.org/mpl/mpl-1.1 | mozilla\.org/mpl/mpl-1\.1
+epl-2.0 | eclipse.org/legal/epl-2.0 | eclipse\.org/legal/epl-2\.0
+epl-1.0 | eclipse.org/legal/epl-v10 | eclipse\.org/legal/epl-v10
+artistic-2.0 | perlfoundation.org/artistic_license_2_0 | perlfoundation\.org/artistic_license_2_0
+bsl-1.0 | boost.org/license_1_0 | boost\.org/license_1_0\.txt
+mit | opensource.org/license/mit | opensource\.org/license/mit\b
+bsd-3-clause | opensource.org/licenses/bsd-3-clause | opensource\.org/licenses/bsd-3-clause
+bsd-2-clause | opensource.org/licenses/bsd-2-clause | opensource\.org/licenses/bsd-2-clause
+isc | opensource.org/licenses/isc | opensource\.org/licenses/isc
+zlib | opensource.org/licenses/zlib | opensource\.org/licenses/zlib
+cddl-1.0 | opensource.org/licenses/cddl | opensource\.org/licenses/cddl-?1(?:\.0)?
+ms-pl | opensource.org/licenses/ms-pl | opensource\.org/licenses/ms-pl
+eupl-1.2 | eupl | \beupl[- ]?v?1\.2\b
+eupl-1.1 | eupl | \beupl[- ]?v?1\.1\b
+cecill-2.1 | cecill | \bcecill(?: free software license agreement)?,? v(?:ersion)? ?2\.1
+cecill-2.0 | cecill | \bcecill(?: free software license agreement)?,? v(?:ersion)? ?2\.0
+cecill-1.1 | cecill | \bcecill(?: free software license agreement)?,? v(?:ersion)? ?1\.1
+osl-2.0 | open software license | open software license,? v(?:ersion|\.)? ?2\.0
+osl-1.1 | open software license | open software license,? v(?:ersion|\.)? ?1\.1
+osl-1.0 | open software license | open software license,? v(?:ersion|\.)? ?1\.0
+afl-2.0 | academic free license | academic free license,? v(?:ersion|\.)? ?2\.0
+afl-1.2 | academic free license | academic free license,? v(?:ersion|\.)? ?1\.2
+afl-1.1 | academic free license | academic free license,? v(?:ersion|\.)? ?1\.1
+ofl-1.0 | open font license | sil open font license,? v(?:ersion|\.)? ?1\.0
+cpl-1.0 | common public license | common public license,? (?:- )?v(?:ersion|\.)? ?1\.0
+cpl-0.5 | common public license | common public license,? (?:- )?v(?:ersion|\.)? ?0\.5
+ipl-1.0 | ibm public license | ibm public license,? v(?:ersion|\.)? ?1\.0
+apsl-2.0 | apple public source license | apple public source license,? v(?:er(?:sion)?|er\.)?\.? ?2\.0
+apsl-1.2 | apple public source license | apple public source license,? v(?:er(?:sion)?|er\.)?\.? ?1\.2
+apsl-1.1 | apple public source license | apple public source license,? v(?:er(?:sion)?|er\.)?\.? ?1\.1
+apsl-1.0 | apple public source license | apple public source license,? v(?:er(?:sion)?|er\.)?\.? ?1\.0
+npl-1.1 | netscape public license | netscape public license,? v(?:ersion|\.)? ?1\.1
+npl-1.0 | netscape public license | netscape public license,? v(?:ersion|\.)? ?1\.0
+sissl-1.1 | sun industry standards source license | sun industry standards source license,? v(?:ersion|\.)? ?1\.1
+spl-1.0 | sun public license | sun public license,? v(?:ersion|\.)? ?1\.0
+zpl-2.0 | zope public license | zope public license (?:\(zpl\) )?v(?:ersion|\.)? ?2\.0
+zpl-1.1 | zope public license | zope public license (?:\(zpl\) )?v(?:ersion|\.)? ?1\.1
+php-3.0 | php license | php license,? v(?:ersion|\.)? ?3\.0\b
+lppl-1.2 | latex project public license | latex project public license,? (?:either )?v(?:ersion)? ?1\.2
+lppl-1.1 | latex project public license | latex project public license,? (?:either )?v(?:ersion)? ?1\.1
+lppl-1.0 | latex project public license | latex project public license,? (?:either )?v(?:ersion)? ?1\.0
+mulanpsl-1.0 | mulan psl | mulan psl v1
+cc-by-1.0 | creative commons attribution | creative commons attribution 1\.0
+cc-by-sa-2.5 | creative commons attribution | creative commons attribution[- ]share ?alike 2\.5
+cc-by-sa-2.0 | creative commons attribution | creative commons attribution[- ]share ?alike 2\.0
+cc-by-nc-3.0 | creative commons attribution | creative commons attribution[- ]non ?commercial 3\.0
+cc-by-nd-3.0 | creative commons attribution | creative commons attribution[- ]no ?deriv(?:ative)?s? 3\.0
+cc-by-nc-sa-3.0 | creative commons attribution | creative commons attribution[- ]non ?commercial[- ]share ?alike 3\.0
+cc-by-nc-nd-3.0 | creative commons attribution | creative commons attribution[- ]non ?commercial[- ]no ?deriv(?:ative)?s? 3\.0
+cc-by-2.5 | creativecommons.org/licenses/by/2.5 | creativecommons\.org/licenses/by/2\.5
+cc-by-2.0 | creativecommons.org/licenses/by/2.0 | creativecommons\.org/licenses/by/2\.0
+cc-by-1.0 | creativecommons.org/licenses/by/1.0 | creativecommons\.org/licenses/by/1\.0
+cc-by-sa-2.0 | creativecommons.org/licenses/by-sa/2.0 | creativecommons\.org/licenses/by-sa/2\.0
+cc-by-nd-4.0 | creativecommons.org/licenses/by-nd/4.0 | creativecommons\.org/licenses/by-nd/4\.0
+cc-by-nd-3.0 | creativecommons.org/licenses/by-nd/3.0 | creativecommons\.org/licenses/by-nd/3\.0
+cc-by-nc-3.0 | creativecommons.org/licenses/by-nc/3.0 | creativecommons\.org/licenses/by-nc/3\.0
+cc-by-nc-sa-3.0 | creativecommons.org/licenses/by-nc-sa/3.0 | creativecommons\.org/licenses/by-nc-sa/3\.0
+cc-by-3.0 | cc by 3.0 | \bcc by 3\.0
+cc-by-sa-3.0 | cc by-sa 3.0 | \bcc by-sa 3\.0
+cc-by-nc-sa-4.0 | cc by-nc-sa 4.0 | \bcc by-nc-sa 4\.0
+cc-by-nc-nd-4.0 | cc by-nc-nd 4.0 | \bcc by-nc-nd 4\.0
+cc-by-nd-4.0 | cc by-nd 4.0 | \bcc by-nd 4\.0
+odc-by-1.0 | opendatacommons.org/licenses/by/1-0 | opendatacommons\.org/licenses/by/1-0
+odbl-1.0 | opendatacommons.org/licenses/odbl | opendatacommons\.org/licenses/odbl(?:/1[.-]0)?
+pddl-1.0 | opendatacommons.org/licenses/pddl | opendatacommons\.org/licenses/pddl(?:/1[.-]0)?
+ogl-uk-2.0 | open government licence | open government licence v(?:ersion)? ?2\.0
+ogl-uk-1.0 | open government licence | open government licence v(?:ersion)? ?1\.0
+etalab-2.0 | licence ouverte | \blicence ouverte(?: ?/ ?open licence)?,? v(?:ersion)? ?2\.0
+cdla-permissive-2.0 | community data license agreement | community data license agreement ?[-–] ?permissive ?[-–,]? v(?:ersion)? ?2\.0
+cdla-permissive-1.0 | community data license agreement | community data license agreement ?[-–] ?permissive ?[-–,]? v(?:ersion)? ?1\.0
+cdla-sharing-1.0 | community data license agreement | community data license agreement ?[-–] ?sharing ?[-–,]? v(?:ersion)? ?1\.0
+elastic-2.0 | elastic license | elastic license,? v?(?:ersion)? ?2\.0
+business-source-1.1 | business source license | business source license,? v?(?:ersion)? ?1\.1
+polyform-noncommercial-1.0.0 | polyform noncommercial license | polyform noncommercial license,? v?(?:ersion)? ?1\.0\.0
+polyform-small-business-1.0.0 | polyform small business license | polyform small business license,? v?(?:ersion)? ?1\.0\.0
+blueoak-1.0.0 | blue oak model license | blue oak model license,? v?(?:ersion)? ?1\.0\.0
+ecl-1.0 | educational community license | educational community license,? v(?:ersion)? ?1\.0
+ncsa | opensource.org/licenses/ncsa | opensource\.org/licenses/ncsa
 """
 
 #: Names, sentences of the license texts and links.
@@ -125,7 +214,7 @@ mit-0 | mit no attribution | \bmit no attribution\b
 x11 | x11 license | \bx11 license\b
 isc | isc license | \bisc license\b
 isc | permission to use, copy, modify, and/or distribute | permission to use, copy, modify, and/or distribute this software for any purpose
-bsd | bsd license | \bbsd(?:-style)? license\b
+bsd | bsd | \bbsd(?:-style)? license\b
 bsd | redistribution and use | redistribution and use in source and binary forms,? with or without modification
 bsd-3-clause | endorse or promote | neither the names? of .{1,80}? may be used to endorse or promote products
 bsd-4-clause | advertising materials | all advertising materials mentioning features or use of this software
@@ -145,7 +234,7 @@ ofl | open font license | \bopen font license\b
 ofl | scripts.sil.org/ofl | scripts\.sil\.org/ofl
 bsl | boost software license | \bboost software license\b
 bsl | boost.org/license | boost\.org/license_1_0
-zlib | zlib license | \bzlib(?:/libpng)? license\b
+zlib | zlib | \bzlib(?:/libpng)? license\b
 zlib | altered source versions | altered source versions must be plainly marked as such
 unlicense | unlicense | \b(?:the )?unlicense(?: license)?\b
 unlicense | unlicense.org | unlicense\.org
@@ -184,6 +273,97 @@ commons-clause | commons clause license | \bcommons clause license condition\b
 business-source | business source license | \bbusiness source license\b
 elastic | elastic license | \belastic license\b
 polyform | polyform license | \bpolyform license\b
+apache | apache software foundation | licensed to the apache software foundation \(asf\) under one
+apple | apple public source license | \bapple public source license\b
+npl | netscape public license | \bnetscape public license\b
+sissl | sun industry standards source license | \bsun industry standards source license\b
+spl | sun public license | \bsun public license\b
+etalab | licence ouverte | \blicence ouverte\b
+cdla | community data license agreement | \bcommunity data license agreement\b
+blueoak | blue oak model license | \bblue oak model license\b
+polyform | polyform noncommercial license | \bpolyform noncommercial license\b
+polyform | polyform small business license | \bpolyform small business license\b
+aladdin | aladdin free public license | \baladdin free public license\b
+sleepycat | sleepycat | \bsleepycat(?: public)? license\b
+bittorrent | bittorrent open source license | \bbittorrent open source license\b
+catosl | computer associates trusted open source license | \bcomputer associates trusted open source license\b
+cpal | common public attribution license | \bcommon public attribution license\b
+cua-opl | cua office public license | \bcua office public license\b
+efl | eiffel forum license | \beiffel forum license\b
+entessa | entessa public license | \bentessa public license\b
+fair | fair license | \bfair license\b
+frameworx | frameworx open license | \bframeworx open license\b
+freetype | freetype | \b(?:the )?freetype(?: project)? license\b
+icu | icu license | \bicu license\b
+ijg | independent jpeg group | \bindependent jpeg group'?s? (?:software )?license\b
+imagemagick | imagemagick license | \bimagemagick license\b
+intel | intel open source license | \bintel open source license\b
+jasper | jasper license | \bjasper license\b
+libpng | libpng license | \b(?:the )?libpng license\b
+lucent | lucent public license | \blucent public license\b
+miros | miros licence | \b(?:the )?miros licence\b
+motosoto | motosoto open source license | \bmotosoto open source license\b
+multics | multics license | \bmultics license\b
+nasa | nasa open source agreement | \bnasa open source agreement\b
+naumen | naumen public license | \bnaumen public license\b
+nethack | nethack general public license | \bnethack general public license\b
+nokia | nokia open source license | \bnokia open source license\b
+ntp | ntp license | \bntp license\b
+oclc | oclc research public license | \boclc research public license\b
+oldap | openldap public license | \b(?:the )?openldap public license\b
+oset | oset foundation public license | \boset foundation public license\b
+osset | open set license | \bopen set license\b
+plexus | plexus classworlds license | \bplexus classworlds license\b
+realnetworks | realnetworks public source license | \brealnetworks public source license\b
+reciprocal | reciprocal public license | \breciprocal public license\b
+ricoh | ricoh source code public license | \bricoh source code public license\b
+simple | simple public license | \bsimple public license\b
+sgi-b | sgi free software license b | \bsgi free software license b\b
+sugarcrm | sugarcrm public license | \bsugarcrm public license\b
+tcl | tcl/tk license | \btcl/tk license\b
+vovida | vovida software license | \bvovida software license\b
+watcom | sybase open watcom public license | \bsybase open watcom public license\b
+wxwindows | wxwindows library licen | \bwxwindows library licen[cs]e\b
+xnet | x.net license | \bx\.net license\b
+yahoo | yahoo! public license | \byahoo! public license\b
+zend | zend license | \bzend license\b
+zed | zed license | \bzed license\b
+curl | curl license | \bcurl license\b
+openssh | openssh licen | \bopenssh licen[cs]e\b
+glide | 3dfx glide source code general public license | \b3dfx glide source code general public license\b
+clartistic | clarified artistic license | \bclarified artistic license\b
+d-fsl | deutsche freie software lizenz | \bdeutsche freie software lizenz\b
+fal | free art license | \bfree art license\b
+fal | licence art libre | \blicence art libre\b
+opl | open publication license | \bopen publication license\b
+opencontent | content license | \bopen ?content license\b
+gust | gust font license | \bgust font license\b
+bitstream-vera | bitstream vera | \bbitstream vera fonts? (?:copyright|license)\b
+ubuntu-font | ubuntu font licence | \bubuntu font licence\b
+arphic | arphic public license | \barphic public license\b
+hippocratic | hippocratic license | \bhippocratic license\b
+anti-996 | anti 996 license | \banti 996 license\b
+parity | parity public license | \bparity public license\b
+prosperity | prosperity public license | \bprosperity public license\b
+confluent | confluent community license | \bconfluent community license\b
+redis-sal | redis source available license | \bredis source available license\b
+timescale | timescale license | \btimescale license\b
+openrail | openrail | \bopenrail(?:-m|\+\+-m|-s)?\b
+llama | community license agreement | \bcommunity license agreement\b
+mit | including without limitation | including without limitation the rights to use, copy, modify, merge, publish
+bsd | reproduce the above copyright notice | redistributions in binary form must reproduce the above copyright notice
+gpl | free software foundation; either | published by the free software foundation; either version
+gpl | received a copy of the gnu general public license | received a copy of the gnu general public license
+lgpl | received a copy of the gnu lesser general public license | received a copy of the gnu lesser general public license
+apache | unless required by applicable law | unless required by applicable law or agreed to in writing
+mpl | subject to the terms of the mozilla public license | subject to the terms of the mozilla public license
+isc | provided that the above copyright notice and this permission notice appear in all copies | provided that the above copyright notice and this permission notice appear in all copies
+bsl | to use, reproduce, display, distribute, execute | to use, reproduce, display, distribute, execute, and transmit the software
+zlib | origin of this software must not be misrepresented | origin of this software must not be misrepresented
+wtfpl | do what the fuck you want to public license | \bdo what the fuck you want to public license\b
+cc0 | waived all copyright | waived all copyright and related or neighboring rights
+postgresql | without a written agreement | for any purpose, without fee, and without a written agreement
+hpnd | historical permission notice and disclaimer | \bhistorical permission notice and disclaimer\b
 """
 
 #: Notices that name no license.
@@ -196,13 +376,32 @@ proprietary | unauthorized copying | unauthorized copying of this (?:file|docume
 warranty-disclaimer | without warrant | \bwithout warrant(?:y|ies) (?:of any kind|or conditions)\b
 see-license | license file | \bsee (?:the )?(?:accompanying )?license file\b
 licensed-under | licensed under | \blicensed under (?:the terms of )?the\b
+all-rights-reserved | tous droits réservés | \btous droits réservés
+all-rights-reserved | alle rechte vorbehalten | \balle rechte vorbehalten\b
+all-rights-reserved | todos los derechos reservados | \btodos los derechos reservados\b
+proprietary | trade secret | \bcontains? (?:proprietary|confidential)? ?trade secrets?\b
+proprietary | internal use only | \bfor internal use only\b
+proprietary | commercial license | \b(?:under|requires|purchase) a commercial license\b
+non-commercial | commercial use | \b(?:not for|non-?|no) ?commercial use\b
+non-commercial | personal use only | \bfor personal use only\b
+research-only | research purposes only | \bfor (?:academic |scientific )?research purposes only\b
+warranty-disclaimer | provided "as is" | provided "as is",? without
+liability-disclaimer | be liable | \bin no event shall .{1,120}? be liable\b
+license-grant | to use, copy | \bnon-exclusive,? (?:worldwide,? )?(?:royalty-free )?(?:license|right) to use, copy\b
+end-user-license | end user license agreement | \bend user license agreement\b
+end-user-license | end-user license agreement | \bend-user license agreement\b
+dual-license | dual licensed | \b(?:is )?dual licensed\b
+dual-license | dual-licensed | \bdual-licensed\b
 """
 
 #: What every keyword holds at least one of; a text without all of them is not looked at again.
 STEMS = (
     "licen", "spdx", "gpl", "bsd", "apache", "cc0", "cc by", "creativecommons", "creative commons", "public domain", "copyright", "all rights reserved", "permission is hereby",
     "permission to use", "redistribution and use", "endorse or promote", "advertising materials", "wtfpl", "mozilla.org/mpl", "eclipse.org/legal", "scripts.sil.org", "w3c software", "proprietary and", "unauthorized copying",
-    "altered source", "mulan psl", "illinois/ncsa", "without warrant", "cecill", "open government", "open data commons", "mit no attribution",
+    "altered source", "mulan psl", "illinois/ncsa", "without warrant", "cecill", "open government", "open data commons", "mit no attribution", "asl 2.0", "eupl", "mozilla.org",
+    "opendatacommons.org", "perlfoundation.org", "boost.org", "community data", "open source agreement", "jpeg group", "bitstream vera", "openrail", "without limitation",
+    "permission notice", "free software foundation", "applicable law", "to use, ", "of this software", "waived all", "written agreement", "the fuck you want", "droits r", "vorbehalten",
+    "derechos reservados", "trade secret", "use only", "commercial use", "purposes only", "as is", "be liable", "freie software", "zlib", "sleepycat", "freetype",
 )
 
 
@@ -217,7 +416,8 @@ def _parsed(lines: str, priority: int) -> list[Rule]:
     out = []
     for line in lines.strip("\n").split("\n"):
         label, keyword, pattern = (x.lstrip() for x in line.split("|", 2))
-        out.append(Rule(label.strip(), priority, keyword.strip(), pattern.replace(" ?", r"[\s*#/]{0,8}").replace(" ", r"[\s*#/]{1,8}")))
+        pattern = pattern.replace("[- ]", "(?:-| )").replace(" ?", r"[\s*#/]{0,8}").replace(" ", r"[\s*#/]{1,8}")
+        out.append(Rule(label.strip(), priority, keyword.strip(), pattern))
     return out
 
 

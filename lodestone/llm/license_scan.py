@@ -6,17 +6,19 @@ priority and longer or earlier in the rule list, is suppressed. Beside the rules
 are counted on the sequence of words. The rule table is a constant. DataFrame functions only.
 
 Defined cases: a null text counts as empty: no word, no label, score 0; repeated rows give equal
-results; an empty table gives an empty result; scan() passes all other columns through.
+results; an empty table gives an empty result; scan() passes all other columns through, those with
+the names of its results as `<name>_input`.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, find_all, text_of
+from .common import ascii_lower, bind, find_all, make_room, running, text_of
 from .license_rules import CONFIDENCE, STEMS, rules
 
 MARKS = r"[\s*#/]+"
@@ -26,8 +28,12 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 
 
 def _rule_column() -> Column:
-    table = [F.struct(F.lit(n).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(re.sub(MARKS, " ", r.keyword)).alias("keyword"), F.lit(r.pattern).alias("pattern")) for n, r in enumerate(rules())]
-    return F.array(*table)
+    """The rules by keyword, so that a keyword is looked for once however many rules it gates."""
+    by_keyword: dict[str, list[Column]] = {}
+    for n, r in enumerate(rules()):
+        rule = F.struct(F.lit(n).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"))
+        by_keyword.setdefault(re.sub(MARKS, " ", r.keyword), []).append(rule)
+    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in by_keyword.items()])
 
 
 def gate_text(low: Column) -> Column:
@@ -44,51 +50,53 @@ def detections(low: Column, gate: Column) -> Column:
             lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.char_length(m["match"])).alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")),
         )
 
-    return F.flatten(F.transform(F.filter(_rule_column(), lambda r: F.contains(gate, r["keyword"])), of_rule))
+    held = F.filter(_rule_column(), lambda k: F.contains(gate, k["keyword"]))
+    return F.flatten(F.transform(F.flatten(F.transform(held, lambda k: k["rules"])), of_rule))
 
 
 def unsuppressed(found: Column) -> Column:
-    """Detections that lie in no stronger one, in one pass.
+    """Detections that lie in no stronger one.
 
     By start, longest first, all that could hold a detection comes before it; so it is enough to
-    remember the furthest end of each priority.
+    know the furthest end so far of each priority and those above it.
     """
     ordered = F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["priority"].alias("priority"), d["rule"].alias("rule"), d["label"].alias("label"))))
-    none = F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")
-    first = F.struct(F.array(*[F.lit(-1) for _ in CONFIDENCE]).alias("ends"), none.alias("out"))
 
-    def step(acc: Column, d: Column) -> Column:
-        end = -d["back"]
-        ends = F.transform(acc["ends"], lambda x, i: F.when(i == d["priority"], F.greatest(x, end)).otherwise(x))
-        more = F.array(F.struct(d["start"].alias("start"), end.alias("end"), d["priority"].alias("priority"), d["rule"].alias("rule"), d["label"].alias("label")))
-        hidden = F.array_max(F.slice(acc["ends"], F.lit(1), d["priority"] + 1)) >= end
-        return F.struct(ends.alias("ends"), F.when(hidden, acc["out"]).otherwise(F.concat(acc["out"], more)).alias("out"))
+    def shown(d: Column) -> Column:
+        def ends(priority: int) -> Column:
+            return running(F.transform(d, lambda x: F.when(x["priority"] <= priority, -x["back"]).otherwise(-1)), F.greatest)
 
-    return F.aggregate(ordered, first, step)["out"]
+        def of(reach: Column) -> Column:
+            free = F.filter(d, lambda x, i: F.coalesce(F.get(F.get(reach, x["priority"]), i - 1), F.lit(-1)) < -x["back"])
+            return F.transform(free, lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["priority"].alias("priority"), x["rule"].alias("rule"), x["label"].alias("label")))
 
+        return bind(F.array(*[ends(p) for p in CONFIDENCE]), of)
 
-def base_places(padded: Column) -> Column:
-    """Places of the base phrases in words that stand between single blanks: (word, label)."""
-    parts = []
-    for phrase, label in PHRASES.items():
-        found = find_all(padded, f"(?<= ){phrase}(?= )")
+    return bind(ordered, shown)
 
-        def place(m: Column, name: str) -> Column:
-            before = F.substr(padded, F.lit(1), m["start"])
-            return F.struct((F.char_length(before) - F.char_length(F.replace(before, F.lit(" "), F.lit(""))) - 1).alias("word"), F.lit(name).alias("label"))
 
-        parts.append(F.when(F.contains(padded, F.lit(f" {phrase} ")), _each(found, place, label)))
-    none = F.array().cast("array<struct<word:int,label:string>>")
-    return F.concat(*[F.coalesce(p, none) for p in parts])
+def blanks(c: Column) -> Column:
+    return F.char_length(c) - F.char_length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-def _each(found: Column, place, label: str) -> Column:
-    return F.transform(found, lambda m: place(m, label))
+def base_places(padded: Column) -> Column:
+    """Places of the base phrases in words that stand between single blanks: (word, label)."""
+    none, parts = F.array().cast("array<struct<word:int,label:string>>"), []
+
+    def place(label: str) -> Callable[[Column], Column]:
+        return lambda m: F.struct((m["start"] - 1).alias("word"), F.lit(label).alias("label"))
+
+    for phrase, label in PHRASES.items():
+        # the blanks before a word are its number and one more
+        found = find_all(padded, f"(?<= ){phrase}(?= )", measure=blanks)
+        parts.append(F.coalesce(F.when(F.contains(padded, F.lit(f" {phrase} ")), F.transform(found, place(label))), none))
+    return F.concat(*parts)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, base (places of base phrases), detections and score."""
     low, gate, padded, found = F.col("__low"), F.col("__gate"), F.col("__padded"), F.col("__found")
+    docs = make_room(docs, "n_words", "base", "detections", "score")
     held = F.lit(False)
     for stem in STEMS:
         held = held | F.contains(gate, F.lit(re.sub(MARKS, " ", stem)))
@@ -96,11 +104,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     df = docs.withColumn("__low", ascii_lower(text_of(docs, text)))
     df = df.withColumn("__padded", F.concat(F.lit(" "), F.btrim(F.regexp_replace(low, BREAKS, " "), F.lit(" ")), F.lit(" ")))
     df = df.withColumn("__gate", gate_text(low)).withColumn("__found", F.when(held, detections(low, gate)))
-    words = F.when(padded == "  ", 0).otherwise(F.char_length(padded) - F.char_length(F.replace(padded, F.lit(" "), F.lit(""))) - 1)
-    df = df.withColumns({"n_words": words.cast("long"), "base": base_places(padded), "detections": F.coalesce(unsuppressed(found), none)})
+    words = F.when(padded == "  ", 0).otherwise(blanks(padded) - 1)
+    df = df.withColumns({"n_words": words.cast("long"), "base": base_places(padded), "detections": F.when(F.size(found) > 0, unsuppressed(found)).otherwise(none)})
     score = F.lit(0.0)
     for priority, confidence in CONFIDENCE.items():
-        score = F.when(F.exists("detections", lambda d: d["priority"] == priority), F.greatest(score, F.lit(confidence))).otherwise(score)
+        score = F.when(F.array_contains(F.col("detections")["priority"], priority), F.greatest(score, F.lit(confidence))).otherwise(score)
     score = F.when(F.size("base") > 0, F.greatest(score, F.lit(0.9))).otherwise(score)
     return df.withColumn("score", score).drop("__low", "__gate", "__padded", "__found")
 

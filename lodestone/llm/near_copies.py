@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_shuffles, release, ship, small_batches, stage
+from .common import components, release, ship, small_batches, stage
 from .simhash import links, shingle_hashes, simhash_of
 
 BANDS, ROWS = 48, 6
@@ -171,9 +171,7 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     near = stage(links(classes.select("fp").repartition("fp")), "links")
     u, v = classes.select(F.col("fp").alias("u"), F.col("low").alias("a")), classes.select(F.col("fp").alias("v"), F.col("low").alias("b"))
     known = stage(near.join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").union(same), "known")
-    free_shuffles(spark)
     parts = stage(components(jaccard_links(docs, rows, known, shingle)), "components")
-    free_shuffles(spark)
     named = rows.join(parts, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     low = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return named.join(low, "component").select("doc_id", "component_id")

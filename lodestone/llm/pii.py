@@ -1,12 +1,15 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words score them.
 
 Base kinds are email, ip, card (Luhn) and phone. Further kinds are iban (mod 97), national_id and
-secret, which count only if the checksum holds or a context word stands near. The patterns are the
-documented ones with possessive quantifiers and anchored starts, which changes no match but keeps
-the search linear in long runs. DataFrame functions only.
+secret, which count only if the checksum holds or a context word stands near: on either side, in the
+text between the spans that the kind's pattern proposes. The patterns are the documented ones with
+possessive quantifiers and anchored starts, which changes no match but keeps the search linear in
+long runs; places are running totals, so the whole work is n log n in the number of spans.
+DataFrame functions only.
 
 Defined cases: a null text counts as empty and has no span; repeated rows give equal results; an
-empty table gives an empty result; redact() passes all other columns through.
+empty table gives an empty result; detect() and redact() pass all other columns through, and a
+column with the name of detect()'s result goes on as `<name>_input`.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, find_all, text_of
+from .common import ascii_lower, bind, find_all, make_room, running, text_of
 
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "secret")
 BASE_KINDS = KINDS[:4]
@@ -98,12 +101,11 @@ def _kind_spans(text: Column, rank: int, kind: str) -> Column:
     plain, near = SCORES[kind]
 
     def span(x: Column) -> Column:
-        first = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-        before = ascii_lower(F.substr(text, first + 1, x["start"] - first))
-        score = F.when(before.rlike(CONTEXT[kind]), near).otherwise(plain)
+        beside = ascii_lower(F.concat(x["before"], F.lit(" "), x["after"]))
+        score = F.when(beside.rlike(CONTEXT[kind]), near).otherwise(plain)
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), (x["start"] + F.char_length(x["match"])).alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
-    spans = F.transform(F.filter(find_all(text, PATTERNS[kind]), lambda x: _valid(kind, x["match"])), span)
+    spans = F.transform(F.filter(find_all(text, PATTERNS[kind], CONTEXT_CHARS), lambda x: _valid(kind, x["match"])), span)
     return spans if kind in BASE_KINDS else F.filter(spans, lambda x: x["score"] >= LEAST_SCORE)
 
 
@@ -114,24 +116,41 @@ def find_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[F.coalesce(p, none) for p in parts]))
 
 
-def detect(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column spans."""
+def detect(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
+    """docs with a column of spans."""
+    docs = make_room(docs, into)
     # the coalesced text is a column of its own, so that lambdas do not evaluate it again
-    return docs.withColumn("__text", text_of(docs, text)).withColumn("spans", find_spans(F.col("__text"))).drop("__text")
+    return docs.withColumn("__text", text_of(docs, text)).withColumn(into, find_spans(F.col("__text"))).drop("__text")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with each span replaced by its kind in brackets; of overlapping spans the first names the place."""
-    body = F.col("__text")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """docs with each span replaced by its kind in brackets; of overlapping spans the first names the place.
 
-    def step(acc: Column, x: Column) -> Column:
-        more = F.array(F.substr(body, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-        fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], more).alias("out"))
-        return F.when(x["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
+    The text is cut as UTF-32, where the place of a character is known, and joined as hexadecimal
+    digits, so each character is copied a fixed number of times. A first character that is dropped
+    again keeps a byte order mark of the text from being read as one.
+    """
+    lead = "0000002E"
 
-    new = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(body, acc["at"] + 1)))
-    found = docs.withColumn("__text", text_of(docs, text)).withColumn("__spans", find_spans(body))
+    def code(c: Column) -> Column:
+        return F.hex(F.encode(c, "UTF-32"))
+
+    def of(raw: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            return F.hex(F.substr(raw, 4 * a + 1, 4 * (b - a)))
+
+        def part(x: Column, i: Column, reach: Column) -> Column:
+            at = F.coalesce(F.get(reach, i - 1), F.lit(0))
+            return F.when(x["start"] >= at, F.concat(cut(at, x["start"]), code(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))).otherwise("")
+
+        def parts(reach: Column) -> Column:
+            tail = F.hex(F.substr(raw, 4 * F.array_max(reach) + 1))
+            return F.concat(F.lit(lead), F.array_join(F.transform("__spans", lambda x, i: part(x, i, reach)), ""), tail)
+
+        return bind(running(F.transform("__spans", lambda x: x["end"]), F.greatest), parts)
+
+    new = F.substr(F.decode(F.unhex(bind(F.encode("__text", "UTF-32"), of)), "UTF-32"), F.lit(2))
+    found = docs.withColumn("__text", text_of(docs, text)).withColumn("__spans", find_spans(F.col("__text")))
     return found.withColumn(text, F.when(F.size("__spans") > 0, new).otherwise(F.col(text))).drop("__text", "__spans")
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, ship, small_batches, stage, text_of, trim
+from .common import ship, small_batches, stage, text_of, trim
 
 LEAST = 50
 KMER = 16
@@ -395,7 +395,6 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = max(1, math.ceil(size / BYTES_PER_BUCKET))
     with small_batches(spark):
         found = stage(_blocks(keyed, buckets).groupBy("bucket").applyInArrow(_matched, _FOUND), "segments")
-    free_shuffles(spark)
     marks = found.where("h IS NULL").select("doc", "row", "lo", "hi")
 
     asked = found.where("h IS NOT NULL").groupBy("doc", "row").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("asked"))
@@ -416,7 +415,6 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     bytes_of = texts.mapInArrow(fetch, "bucket int, h long, doc long, row int, lo int, bytes binary")
     with small_batches(spark):
         resolved = stage(bytes_of.groupBy("bucket").applyInArrow(_resolved, "doc long, row int, lo int, hi int"), "resolved")
-    free_shuffles(spark)
     return marks.union(resolved).groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 

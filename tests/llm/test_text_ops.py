@@ -4,8 +4,12 @@ import collections
 import hashlib
 import random
 import re
+import time
+import warnings
 
 import pytest
+import regex
+from hypothesis import strategies
 from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, license_rules, license_scan, line_dedup, pii
@@ -66,11 +70,10 @@ def brute_license(text):
 
 
 def brute_rules(text):
-    """Labels of the rules by Python's own engine."""
+    """Labels of the rules by another engine, without keywords; it takes look-behinds of any width as Java does."""
     low, found = re.sub("[A-Z]", lambda m: m[0].lower(), text or ""), []
     for n, r in enumerate(license_rules.rules()):
-        if r.keyword in low:
-            found += [(m.start(), m.end(), r.priority, n, r.label) for m in re.finditer(r.pattern, low, re.ASCII)]
+        found += [(m.start(), m.end(), r.priority, n, r.label) for m in regex.finditer(r.pattern, low, regex.ASCII)]
 
     def stronger(e, d):
         return e[0] <= d[0] and e[1] >= d[1] and (e[2] < d[2] or (e[2] == d[2] and (e[1] - e[0] > d[1] - d[0] or (e[:2] == d[:2] and e[3] < d[3]))))
@@ -80,7 +83,7 @@ def brute_rules(text):
 
 def test_license_words_and_rules(spark, tmp_path):
     rng = random.Random(3)
-    parts = ["gnu", "General", "public", "license", "apache", "CC", "by", "mit", " ", "-", "\n", "é", "SPDX-License-Identifier: MIT", "Apache License, Version 2.0", "GPLv3", "\0", "😀", "GNU Lesser General Public License v2.1", "all rights reserved", "BSD-3-Clause"]
+    parts = ["gnu", "General", "public", "license", "apache", "CC", "by", "mit", " ", "-", "\n", "é", "SPDX-License-Identifier: MIT", "Apache License, Version 2.0", "GPLv3", "\0", "😀", "GNU Lesser General Public License v2.1", "all rights reserved", "BSD-3-Clause", "Creative Commons Attribution-ShareAlike\n * 4.0", "the zlib/libpng license", "GNU Lesser General Public\n * License, version 2.1"]
     texts = [rng.choice([" ", "-", "  "]).join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(400)]
     texts += [None, "", "mit license " * 300, "Licensed under the GNU General Public License, version 3."]
     rows = list(enumerate(texts))
@@ -92,12 +95,59 @@ def test_license_words_and_rules(spark, tmp_path):
         assert 0 <= r.score <= 1
 
 
+def without_assertions(p):
+    while m := re.search(r"\(\?(?:<!|!|<=)", p):
+        depth = 0
+        for j in range(m.start(), len(p)):
+            depth += (p[j] == "(") - (p[j] == ")") if p[j - 1] != "\\" else 0
+            if not depth:
+                break
+        p = p[: m.start()] + p[j + 1 :]
+    return p
+
+
 def test_license_rules_are_gated():
+    """No stem, no keyword; no keyword, no match: on strings made from the patterns."""
     rules = license_rules.rules()
-    assert len(rules) >= 200
+    written = [r for r in rules if r.priority != license_rules.TAG]
+    assert len({r.pattern for r in written}) >= 300
     assert all(any(s in r.keyword for s in license_scan.STEMS) for r in rules)
-    for r in rules:
-        re.compile(r.pattern)
+    blank = lambda t: re.sub(license_scan.MARKS, " ", t, flags=re.A)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for r in written:
+            sample = strategies.from_regex(re.compile(without_assertions(r.pattern), re.A), fullmatch=True).example()
+            assert blank(r.keyword) in blank(sample), (r, sample)
+
+
+def test_spans_grow_in_proportion(spark):
+    """Twice the spans, at most about twice the time: nothing is copied once for each span."""
+    jobs = {
+        "pii": lambda t: pii.redact(pii.detect(t)).select(F.md5("text"), F.size("spans")), "license": lambda t: license_scan.scan(t).select(F.size("detections"), F.size("base")),
+    }
+    for name, job in jobs.items():
+        took = []
+        for n in (2_000, 32_000, 64_000):
+            text = spark.createDataFrame([(1, "a@b.cd 10.0.0.1 mit license of x " * (n // 4))], "doc_id long, text string")
+            began = time.time()
+            assert job(text).first()[1] == n // 2 or name == "license"
+            took.append(time.time() - began)
+        assert took[2] < 3 * took[1] + 2, (name, took)
+
+
+def test_license_clashes_and_empty_tables(spark):
+    odd = spark.createDataFrame([(1, "MIT license", 5, "x")], "doc_id long, text string, score int, base string")
+    row = license_scan.scan(odd).first()
+    assert row.score == 0.9 and row.score_input == 5 and row.base_input == "x" and [b.label for b in row.base] == ["mit"]
+    assert license_scan.scan(odd.limit(0)).count() == 0
+    span = pii.detect(spark.createDataFrame([(1, "a@b.cd", "old")], "doc_id long, text string, spans string")).first()
+    assert span.spans_input == "old" and [x.kind for x in span.spans] == ["email"]
+
+
+def test_context_stands_on_both_sides(spark):
+    rows = [(1, "123-45-6789 is my ssn"), (2, "ssn 123-45-6789"), (3, "123-45-6789"), (4, "123-45-6789" + "-" * 60 + "ssn")]
+    got = {r.doc_id: len(r.spans) for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
 
 
 def brute_lines(rows, least=40, docs=5):

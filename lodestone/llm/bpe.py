@@ -4,7 +4,9 @@ Each word starts as a linked list of symbols. A heap holds (rank, position) of a
 merge; the smallest is taken, entries whose pair has changed since are stale and skipped, and a
 merge pushes the pairs of the new symbol with its neighbours. Decoding concatenates vocabulary
 strings. Around it stand the vocabulary file's own steps: special strings, NFC, blanks, lower case
-and word splitting. Words repeat, so each Python worker remembers a bounded number of them.
+and word splitting. Two libraries agree on these for the scripts named in SHARED, whose character
+data have long been settled; a part with any other character goes through the tokenizers library's own
+normaliser and splitter. Words repeat, so each Python worker remembers a bounded number of them.
 
 Defined cases: a null text counts as empty and gives no ids; repeated rows give equal results;
 other columns are not read.
@@ -28,6 +30,9 @@ from .common import ship
 WORDS_KEPT = 400_000
 """Words that a worker remembers before it starts anew; a bound on memory, not on results."""
 
+SHARED = "\\u0000-\\u036F\\u0400-\\u052F\\u2000-\\u2064\\u20AC\\u3041-\\u3096\\u4E00-\\u9FA5\\uAC00-\\uD7A3"
+"""Latin, combining marks, Cyrillic, punctuation, Hiragana, Han and Hangul characters."""
+
 _loaded: dict[str, WordBpe] = {}
 
 
@@ -56,6 +61,7 @@ class WordBpe:
         self.bytes = byte_symbols()
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.kept: dict[str, tuple[bytes, int, bytes]] = {}
+        self.path, self.library, self.foreign = path, None, regex.compile(f"[^{SHARED}]").search
 
     def merge(self, word: str) -> list[str]:
         """Symbols of one word."""
@@ -87,11 +93,23 @@ class WordBpe:
     def split(self, text: str) -> list[str]:
         """Words of a text that holds no special string."""
         if not text.isascii():
+            if self.foreign(text):
+                return self.library_words(text)
             text = unicodedata.normalize("NFC", text)
             # lower-casing goes by character here, so a final sigma is like any other
             text = text.replace("Σ", "σ")
         return self.words(text.lower())
 
+    def library_words(self, text: str) -> list[str]:
+        """The same by the tokenizers library, which gives a word's bytes as printable characters."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.byte_of = {c: b for b, c in enumerate(self.bytes)}
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.byte_of.__getitem__, p)).decode() for p, _ in pieces]
+
     def _word(self, word: str) -> tuple[bytes, int, bytes]:
         if len(self.kept) >= WORDS_KEPT:
             self.kept.clear()

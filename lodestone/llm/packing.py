@@ -2,10 +2,12 @@
 
 Documents become pieces of at most `capacity` tokens; only longer ones are cut, the odd rest first.
 Pieces are dealt evenly to bounded partitions, each packed by best-fit decreasing. A lower bound
-from dual-feasible functions certifies a partition whose number of sequences it meets. While all
-partitions together need more sequences than their tokens fill, the sequences with room are
-dissolved, their pieces dealt anew across partitions and packed again, as long as that saves
-sequences; a single certified partition is done. Texts never move: only (doc_id, piece, length) rows.
+from dual-feasible functions certifies a partition whose number of sequences it meets. Partitions
+with a gap to their bound then exchange pieces: their sequences with room are dissolved, dealt anew
+and packed again, until that saves no sequence. Last, what certified partitions have left with room
+joins in, as two of them may still share a sequence. An exchange whose own bound says that it cannot
+gain is not made; there is no limit to their number. Texts never move: only (doc_id, piece, length)
+rows, and full sequences stay where they are.
 
 Defined cases: a null text counts as empty, and an empty text is the end token alone; repeated rows
 are packed each; an empty table gives no piece; other columns are not read.
@@ -28,7 +30,7 @@ from .common import release, ship, stage
 
 GPT2_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES_PER_PARTITION = 65_536
-ROUND_BITS, BIN_BITS = 56, 24
+BIN_BITS = 24
 
 _encoders: dict = {}
 
@@ -97,16 +99,18 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocab_path: s
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Least number of sequences by dual-feasible functions.
+    """Least number of sequences for these lengths."""
+    return bound_of(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of(count: np.ndarray, capacity: int) -> int:
+    """Least number of sequences by dual-feasible functions, from the number of pieces of each length.
 
     For every threshold a up to half the capacity, the function that counts lengths over
     capacity - a as full, drops lengths under a and keeps the others, and the step functions
-    floor((k + 1) x / C) / k for small k. Both work on the histogram of lengths.
+    floor((k + 1) x / C) / k for small k.
     """
-    if not len(lengths):
-        return 0
     c, sizes = capacity, np.arange(capacity + 1)
-    count = np.bincount(lengths, minlength=c + 1).astype(np.int64)
     n, total = np.append(0, np.cumsum(count)), np.append(0, np.cumsum(count * sizes))
     best = math.ceil(total[-1] / c)
     for a in range(1, c // 2 + 1):
@@ -143,60 +147,78 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, used
 
 
-def _packed(items: DataFrame, capacity: int) -> DataFrame:
-    """items (part, ...) with bin, offset, room, bins and bound, packed partition by partition."""
+def _packed(items: DataFrame, capacity: int, base: int) -> DataFrame:
+    """items (part, ...) with sequence_id, offset, room and gap, packed partition by partition.
+
+    gap says that the partition needs more sequences than its bound; ids start behind those of `base` partitions.
+    """
+    kept = [f for f in items.schema.fields if f.name != "part"]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")])  # the same result wherever the rows come from
-        lengths = table["length"].to_numpy().astype(np.int64)
+        part, lengths = table["part"][0].as_py(), table["length"].to_numpy().astype(np.int64)
         bins, offsets, used = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths, minlength=used).astype(np.int64)
-        new = {"bin": bins, "offset": offsets, "room": capacity - fill[bins], "bins": np.full(len(bins), used), "bound": np.full(len(bins), lower_bound(lengths, capacity))}
+        new = {"sequence_id": (base + part << BIN_BITS) + bins, "offset": offsets, "room": capacity - fill[bins]}
+        table = table.select([f.name for f in kept])
         for name, values in new.items():
             table = table.append_column(name, pa.array(values, pa.int64()))
-        return table
+        return table.append_column("gap", pa.array(np.full(len(bins), used > lower_bound(lengths, capacity))))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields) + ", bin long, offset long, room long, bins long, bound long"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long, room long, gap boolean"
     return items.groupBy("part").applyInArrow(run, schema)
 
 
-def pack(items: DataFrame, capacity: int = 1024, rounds: int = 4) -> DataFrame:
+def _state(pool: DataFrame, capacity: int) -> dict[bool, tuple[int, np.ndarray]]:
+    """Number of sequences and of pieces of each length, apart for partitions with and without a gap."""
+    rows = pool.groupBy("gap", "length").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("offset") == 0).alias("first")).collect()  # at most two rows a length
+    out = {g: (0, np.zeros(capacity + 1, np.int64)) for g in (False, True)}
+    for r in rows:
+        used, count = out[r["gap"]]
+        count[r["length"]] += r["n"]
+        out[r["gap"]] = used + r["first"], count
+    return out
+
+
+def pack(items: DataFrame, capacity: int = 1024) -> DataFrame:
     """items (doc_id, piece, length, ids_crc32, ...) with sequence_id, offset and certified.
 
-    certified says that the piece's partition met its lower bound.
+    certified says that the partition that packed the piece met its lower bound.
     """
-    columns = items.columns
+    columns, base, turn = items.columns, 0, 0
 
-    def dealt(df: DataFrame, n: int, k: int) -> DataFrame:
+    def packed(df: DataFrame, n: int) -> DataFrame:
+        nonlocal base, turn
         parts = max(1, math.ceil(n / PIECES_PER_PARTITION))
-        return df.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(k)), F.lit(parts)))
-
-    def bins_of(df: DataFrame) -> int:
-        return df.select("part", "bin").distinct().count()
-
-    done: list[DataFrame] = []
-    now = stage(_packed(dealt(items, items.count(), 0), capacity), "packed")
-    for k in range(rounds):
-        certified, open_ = F.col("bins") <= F.col("bound"), F.col("room") > 0
-        again, better = now.where(open_), None
-        told = again.agg(F.count(F.lit(1)), F.countDistinct("part"), F.count_if(~certified), F.coalesce(F.sum("length"), F.lit(0))).first()
-        before = bins_of(again)
-        # one certified partition alone cannot gain
-        if k + 1 < rounds and (told[1] > 1 or told[2]) and before > math.ceil(told[3] / capacity):
-            better = stage(_packed(dealt(again.select(*columns), told[0], k + 1), capacity), "packed")
-            if bins_of(better) >= before:
-                release(better)
-                better = None
-        keep = now if better is None else now.where(~open_)
-        number = F.lit(k << ROUND_BITS) + F.col("part") * (1 << BIN_BITS) + F.col("bin")
-        done.append(keep.select(*columns, number.alias("sequence_id"), "offset", certified.alias("certified")))
-        if better is None:
-            break
-        now = better
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out
+        dealt = df.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)))
+        out = stage(_packed(dealt, capacity, base), "packed")
+        base, turn = base + parts, turn + 1
+        return out
+
+    room = F.col("room") > 0
+    now = packed(items, items.count())
+    done, pool = [now.where(~room)], now.where(room)
+    saved = True
+    while saved:
+        saved, state = False, _state(pool, capacity)
+        for with_gap in (True, False):
+            chosen = [state[True]] if with_gap else list(state.values())
+            used, count = sum(s[0] for s in chosen), sum(s[1] for s in chosen)
+            if used <= bound_of(count, capacity) or (not with_gap and not state[False][0]):
+                continue
+            out = pool.where("gap") if with_gap else pool
+            new = packed(out.select(*columns), int(count.sum()))
+            after = new.agg(F.count_if(F.col("offset") == 0)).first()[0]
+            if after < used:
+                rest = pool.where("NOT gap").unionByName(new.where(room)) if with_gap else new.where(room)
+                done.append(new.where(~room))
+                pool, saved = stage(rest, "pool"), True
+                break
+            release(new)
+    out = pool
+    for more in done:
+        out = out.unionByName(more)
+    return out.select(*columns, "sequence_id", "offset", (~F.col("gap")).alias("certified"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ one or six; two halves one bit apart share one. So block and index, over four bl
 halves, bring every linked pair together in some bucket, and a random pair rarely.
 
 Only distinct fingerprints are compared. A bucket yields a spanning forest of its verified links,
-found by breadth-first search over the members not yet reached, never all its pairs.
+found by breadth-first search over the members not yet reached, never all its pairs. A large bucket is
+first cut again: its members agree in one block, and of four parts of the other 48 bits three errors
+leave one untouched, so linked members meet in one of the four cuts.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like
 any other; repeated rows are one document; an empty table gives an empty result; other columns are
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import components, release, ship, stage
 
 HASHES_AT_ONCE = 1 << 16
+WHOLE_BUCKET = 1024
 GOLAY = 0b110001110101
 """Generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the (23, 12) Golay code."""
 
@@ -126,7 +129,7 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forest(members: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links of a bucket's members (uint64) that keep its components together."""
+    """Links among fingerprints (uint64) that keep their components together."""
     left, links = members, []
     while len(left) > 1:
         front, left = [left[0]], left[1:]
@@ -141,6 +144,21 @@ def _forest(members: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return links
 
 
+def _bucket_links(members: np.ndarray, block: int, max_bits: int) -> Iterator[tuple[int, int]]:
+    """The same for a bucket whose members agree in a block of 16 bits."""
+    if len(members) <= WHOLE_BUCKET:
+        yield from _forest(members, max_bits)
+        return
+    rest = np.zeros_like(members)
+    for n, other in enumerate(b for b in range(4) if b != block):
+        rest |= (members >> np.uint64(16 * other) & np.uint64(0xFFFF)) << np.uint64(16 * n)
+    for part in range(4):
+        value = rest >> np.uint64(12 * part) & np.uint64(0xFFF)
+        order = np.argsort(value, kind="stable")
+        for some in np.split(members[order], np.flatnonzero(np.diff(value[order])) + 1):
+            yield from _forest(some, max_bits)
+
+
 def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     """Links (u, v) between distinct fingerprints fp that connect what lies within max_bits (at most 3)."""
     if max_bits > 3:
@@ -153,27 +171,31 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows])], ["key", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # parts of the bucket that may go on
 
-        def found(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        def found() -> Iterator[pa.RecordBatch]:
+            key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(edge, len(key)))
             two = edge[size == 2]
             two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= max_bits]
-            more = [x for at, n in zip(edge[size > 2], size[size > 2], strict=True) for x in _forest(fp[at : at + n], max_bits)]
+            more = [x for at, n in zip(edge[size > 2], size[size > 2], strict=True) for x in _bucket_links(fp[at : at + n], int(key[at]) >> 29, max_bits)]
             u, v = np.array(more, np.uint64).reshape(-1, 2).T
             u, v = np.append(fp[two], u).view(np.int64), np.append(fp[two + 1], v).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.append(held_key, batch.column(0).to_numpy(zero_copy_only=False))
-            fp = np.append(held, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-            last = np.searchsorted(key, key[-1])  # this bucket may go on
-            yield found(key[:last], fp[:last])
-            held_key, held = key[last:], fp[last:]
-        yield found(held_key, held)
+            key, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            fp, last = fp.view(np.uint64), int(np.searchsorted(key, key[-1]))
+            if last or (held and held[-1][0][-1] != key[-1]):
+                held.append((key[:last], fp[:last]))
+                yield from found()
+            held.append((key[last:], fp[last:]))
+        if held:
+            yield from found()
 
     ship(fps.sparkSession)
     keyed = fps.select("fp").mapInArrow(expand, "key long, fp long")
@@ -182,7 +204,6 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, max_bits: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, fp, component_id): the smallest doc_id reachable by links."""
-    spark = docs.sparkSession
     rows = stage(fingerprints(docs, shingle, doc_id, text), "fingerprints")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     found = stage(links(classes.repartition("fp"), max_bits), "links")
@@ -192,6 +213,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, shingle: int = 3, doc_id
     linked = stage(linked, "linked")
     low = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     named = stage(linked.join(low, "component").select("fp", "component_id"), "named")
+    release(classes, parts, linked)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -1,8 +1,9 @@
 """Embedding near-dedup by int8 tile products with rigorous quantisation error bounds.
 
 Equal vectors are one class. Classes are dealt to tiles; a task takes one pair of tiles, scales
-each unit vector to int8 and multiplies tile by tile. Small integers are exact in single precision,
-so the product is exact. With u = s q + d and |d| known for each vector, the cosine differs from
+each unit vector to int8 and multiplies tile by tile. Integers below 2^24 are exact in single precision
+and 1,024 products of int8 stay below it, so up to 1,024 components are multiplied at a time and
+the parts added in double precision: the product is exact in any number of dimensions. With u = s q + d and |d| known for each vector, the cosine differs from
 the scaled product by at most |d_u| |s_v q_v| + |s_u q_u| |d_v| + |d_u| |d_v|: pairs further below
 the threshold are done, pairs further above are links, and all between are computed anew in double
 precision. A task returns per class the number of its links and one row that ties it to the rest of
@@ -22,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, ship, stage
+from .common import components, release, ship, stage
 
 TILE = 4096
 STRIP = 512
+EXACT = 1024
+"""Components whose int8 products sum up exactly in single precision: 1024 * 127^2 < 2^24."""
 SLACK = 1e-9
 """Added to every error bound: far above the rounding of double precision."""
 
@@ -42,11 +45,12 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     ua, ub = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
     (qa, sa, ea), (qb, sb, eb) = quantised(ua), quantised(ub)
     out = np.zeros((len(a), len(b)), bool)
-    right = qb.astype(np.float32).T
+    parts = [slice(k, k + EXACT) for k in range(0, qa.shape[1], EXACT)]
+    right = [np.ascontiguousarray(qb[:, p].T, np.float32) for p in parts]
     for i in range(0, len(a), STRIP):
         e = ea[i : i + STRIP, None]
-        cos = (qa[i : i + STRIP].astype(np.float32) @ right) * sa[i : i + STRIP, None] * sb
-        bound = e * (1 + eb) + (1 + e) * eb + e * eb + SLACK + 1e-6  # the last for single precision
+        cos = sum((qa[i : i + STRIP, p].astype(np.float32) @ r).astype(np.float64) for p, r in zip(parts, right, strict=True)) * sa[i : i + STRIP, None] * sb
+        bound = e * (1 + eb) + (1 + e) * eb + e * eb + SLACK
         sure = cos - bound >= threshold
         r, c = np.nonzero((cos + bound >= threshold) & ~sure)
         for k in range(0, len(r), 1 << 16):
@@ -131,7 +135,6 @@ def tile_links(classes: DataFrame, threshold: float = 0.95, tile: int = TILE) ->
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", tile: int = TILE) -> DataFrame:
     """Rows (vec_id, n_links, component_id)."""
-    spark = vectors.sparkSession
     v = F.col("v")
     valid = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v")).withColumn("v", F.when(F.coalesce(valid, F.lit(False)), v))
@@ -142,8 +145,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
     named = classes.join(gained, "first", "left").join(parts.withColumnRenamed("node", "first"), "first", "left")
     named = named.select(F.col("v").alias("of"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
     named = stage(named, "named")
-    out = rows.join(named, rows["v"] == named["of"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    release(classes, found, parts)
+    # vectors without a class link with nothing; they take no part in the join
+    some, none = rows.where("v IS NOT NULL"), rows.where("v IS NULL")
+    out = some.join(named, some["v"] == named["of"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    return out.union(none.select("vec_id", F.lit(0).cast("long"), "vec_id"))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

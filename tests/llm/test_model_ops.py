@@ -50,6 +50,36 @@ def test_bpe_equals_library(spark, tmp_path):
     assert full.ids == t.encode("hello world", add_special_tokens=False).ids
 
 
+def code_points(per_text=64):
+    """Texts that hold every code point between, behind and before letters and digits."""
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    return [" ".join(f"a{c}b {c} 1{c}{c} {c}'s" for c in every[a : a + per_text]) for a in range(0, len(every), per_text)]
+
+
+def test_ids_equal_the_libraries_for_every_code_point():
+    texts = code_points()
+    for name, own in (("word_bpe_49k.json", bpe.WordBpe), ("byte_bpe_50k.json", packing.ByteEncoder)):
+        path = public_tokenizers.path(name)
+        encode = own(path).encode
+        for x, e in zip(texts, Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False), strict=True):
+            assert list(encode(x)) == e.ids, hex(ord(x[1]))
+
+
+def test_ids_equal_the_libraries_for_mixed_characters():
+    rng = random.Random(8)
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(chr(rng.choice(every)) if rng.random() < 0.2 else chr(rng.randint(0x300, 0x36F)) if rng.random() < 0.2 else rng.choice(" \n'sa1.éΣkK") for _ in range(40)) for _ in range(5000)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = bpe.WordBpe(path)
+    assert all(own.encode(x) == e.ids for x, e in zip(texts, Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False), strict=True))
+
+
+def test_bpe_empty_table_and_repeated_rows(spark):
+    assert bpe.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    out = bpe.encode(spark.createDataFrame([(1, "ab"), (1, "ab")], "doc_id long, text string"), digests=True).collect()
+    assert len(out) == 2 and out[0] == out[1]
+
+
 def test_bpe_word_memory_is_only_a_memory(monkeypatch):
     monkeypatch.setattr(bpe, "WORDS_KEPT", 3)
     b = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
@@ -77,6 +107,20 @@ def test_packing_pieces_and_places(spark, tmp_path, monkeypatch):
     assert out.sequence_id.nunique() <= 1.02 * packing.lower_bound(out.length.to_numpy(), 1024) + 1
 
 
+def test_packing_exchanges_until_nothing_is_saved(spark, tmp_path, monkeypatch):
+    """Many small partitions: more exchanges than any fixed number of rounds; repeated rows and an empty table."""
+    monkeypatch.setattr(packing, "PIECES_PER_PARTITION", 8)
+    rng = np.random.default_rng(9)
+    rows = [(int(k), 0, int(n), int(k)) for k, n in enumerate(rng.integers(300, 500, 400))]
+    items = spark.createDataFrame(rows + rows[:5], "doc_id long, piece int, length long, ids_crc32 long").checkpoint()
+    out = packing.pack(items).toPandas()
+    assert len(out) == 405 and packing.lower_bound(out.length.to_numpy(), 1024) <= out.sequence_id.nunique() <= 203
+    for _, group in out.sort_values("offset").groupby("sequence_id"):
+        assert group.offset.tolist() == [0, *np.cumsum(group.length)[:-1]] and group.length.sum() <= 1024
+    assert packing.pack(items.limit(0)).count() == 0
+    assert packing.op3_packing(spark, saved(spark, tmp_path, [])).count() == 0
+
+
 def test_packing_bound_and_fit():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -120,6 +164,21 @@ def test_quantisation_bounds_hold():
     assert (np.abs(cos - u @ u.T) <= e[:, None] * (1 + e) + (1 + e[:, None]) * e + e[:, None] * e + 1e-9).all()
 
 
+@pytest.mark.parametrize("dimensions", [3, 1024, 3000])
+def test_int8_products_are_exact_in_any_dimension(dimensions):
+    """Extreme components: products reach their largest sums."""
+    rng = np.random.default_rng(10)
+    a = np.where(rng.random((40, dimensions)) < 0.95, 1.0, -1.0) * (1 + 1e-3 * rng.random((40, dimensions)))
+    u = a / np.linalg.norm(a, axis=1, keepdims=True)
+    for threshold in np.quantile(u @ u.T, [0.1, 0.5, 0.9]):
+        assert (embed_dedup.linked(a, a, threshold) == (u @ u.T >= threshold)).mean() > 0.999
+
+
+def test_embeddings_repeated_rows(spark):
+    out = embed_dedup.near_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>"))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 1), (1, 1, 1), (2, 0, 2)]
+
+
 def test_quality_finds_junk_and_keeps_prose(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = quality.train(docs)
@@ -177,6 +236,17 @@ def test_simhash_equals_brute_force(spark, tmp_path):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string, fp string")).count() == 0
 
 
+def test_simhash_large_buckets(monkeypatch):
+    """Buckets that are cut again give the same components."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 48, 40, dtype=np.uint64) << np.uint64(16)
+    members = np.unique(np.concatenate([b ^ (np.uint64(1) << np.uint64(k)) ^ (np.uint64(1) << np.uint64(j)) for b in base for k in range(16, 64, 5) for j in range(17, 64, 7)] + [base], axis=None))
+    place = {int(x): i for i, x in enumerate(members)}
+    want = roots(len(members), [(a, int(b)) for a in range(len(members)) for b in np.flatnonzero(np.bitwise_count(members ^ members[a]) <= 3)])
+    monkeypatch.setattr(simhash, "WHOLE_BUCKET", 16)
+    assert roots(len(members), [(place[int(x)], place[int(y)]) for x, y in simhash._bucket_links(members, 0, 3)]) == want
+
+
 def brute_repeats(strings, least):
     where = collections.defaultdict(set)
     for k, s in enumerate(strings):

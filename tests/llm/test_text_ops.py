@@ -177,6 +177,13 @@ def test_line_dedup(spark, tmp_path):
     assert line_dedup.apply_bitmaps(empty, line_dedup.line_bitmaps(empty)).count() == 0
 
 
+def test_line_plan_streams_and_columns_clash(spark):
+    rows = [(i, "a common line that is long enough to count\nown line %d that is long enough to count too" % i, i) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int")
+    out = {r.doc_id: r for r in line_dedup.apply_bitmaps(docs, line_dedup.line_bitmaps(docs)).collect()}
+    assert all(out[i].n_lines == 2 and out[i].n_lines_input == i and out[i].n_dropped == (i < 7) for i in range(8))
+
+
 def test_exact_dedup(spark, tmp_path):
     rows = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "A"), (6, "a "), (7, "b"), (7, "b"), (8, "x" * 100_000), (9, "x" * 100_000)]
     out = sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.op5_exact_dedup(spark, saved(spark, tmp_path, rows)).collect())
@@ -195,7 +202,12 @@ def test_digest_index_over_batches(spark):
     second = index.append(make([(9, "a", "q"), (10, "c", "q"), (11, "c", "q")]))
     assert sorted((r.doc_id, r.keep_id, r.kept) for r in second.collect()) == [(9, 2, False), (10, 11, False), (11, 11, True)]
     assert index.append(make([])).count() == 0
+    again = index.append(make([(9, "a", "q"), (10, "c", "q"), (11, "c", "q")]))
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in again.collect()) == [(9, 2, False), (10, 11, False), (11, 11, True)]
     assert index.entries().count() == 3
+    join = spark.createDataFrame([(b"a", 1)], "digest binary, n long").hint("merge").join(index.entries(), "digest")
+    plan = join._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount" in plan and plan.count("Exchange") == 1  # the index is read in its buckets
     index.drop()
 
 

@@ -6,8 +6,9 @@ votes what for good and for bad documents, without any true label. The posterior
 sample of documents train a linear scorer on hashed word shapes and document statistics, and the
 scorer decides on every document.
 
-The training sample is bounded by SAMPLE documents, taken by hash over the whole table; votes,
-patterns and scores cover all rows and whole texts.
+Texts are read once: what describes a document, its votes and its features, is staged, and both the
+fit and the scores come from there. The training sample is bounded by SAMPLE documents, taken by hash
+over the whole table; votes, patterns and scores cover all rows and whole texts.
 
 Defined cases: a null text counts as empty; a text without words gets no bad vote and is scored like
 any other; repeated rows get equal scores; on an empty table the result is empty; good_documents()
@@ -27,12 +28,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import release, ship, stage
 
 SAMPLE = 8192
 DIMENSIONS = 2048
-WRONG = 0.01
+WINDOW = 100
+"""Words in which distinct ones are counted, over and over through the whole text."""
 SHAPES_KEPT = 300_000
 """Words whose shape a worker remembers before it starts anew; a bound on memory, not on results."""
 
@@ -64,9 +67,9 @@ class _Shapes(dict):
         if stem.isalpha():
             shape, flags = _letters(stem) + mark, 2 * (mark != "" and mark in ".!?")
         else:
-            shape = _PART.sub(lambda m: "0" if m[0][0].isdigit() else _letters(m[0]), word[:64])
+            shape = _PART.sub(lambda m: "0" if m[0][0].isdigit() else _letters(m[0]), word)
             flags = 4 * (not any(map(str.isalnum, word))) + 2 * (mark != "" and mark in ".!?") + bool(_RUN.search(word))
-        out = self[word] = 8 * _hash(f"w {shape[:16]}") + flags
+        out = self[word] = 8 * _hash(f"w {shape}") + flags
         return out
 
 
@@ -88,7 +91,7 @@ def describe(text: str) -> tuple[dict[str, float], int, int, np.ndarray]:
     same = bytes(map(eq, words, words[1:]))
     stats = (
         symbols / max(len(raw), 1), upper / max(letters, 1), float(flags[4:].sum()), sum(same) / some,
-        len(set(words)) / some if n else 1.0, sum(map(len, words)) / some, float(flags[[2, 3, 6, 7]].sum()), float(flags[1::2].sum()), float(bytes(3 * [1]) in same),
+        sum([len(set(words[i : i + WINDOW])) for i in range(0, n, WINDOW)]) / some if n else 1.0, sum(map(len, words)) / some, float(flags[[2, 3, 6, 7]].sum()), float(flags[1::2].sum()), float(bytes(3 * [1]) in same),
     )
     return dict(zip(STATISTICS, stats, strict=True)), n, letters, table.sum(axis=1) / some
 
@@ -104,7 +107,7 @@ def votes(s: dict[str, float], n: int, letters: int) -> str:
         vote(s["capitals"] > 0.3 and letters >= 20, s["capitals"] < 0.1),
         vote(s["bare"] > 0.05 and n >= 5, s["bare"] < 0.01),
         vote(s["repeats"] > 0.1 and n >= 10, s["repeats"] < 0.03),
-        vote(s["distinct"] < 0.1 and 50 <= n <= 1000, s["distinct"] > 0.5),
+        vote(s["distinct"] < 0.2 and n >= 50, s["distinct"] > 0.5),
         vote(n >= 20 and not 2.5 <= s["word_length"] <= 7, 3.5 <= s["word_length"] <= 6.5),
         vote(s["ends"] > 0.5 and n >= 10, 0.02 <= s["ends"] <= 0.25),
         vote(s["runs"] > 0.1 and n >= 5, s["runs"] == 0),
@@ -122,12 +125,12 @@ def features(s: dict[str, float], n: int, shapes: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit_labellers(patterns: dict[str, int], rounds: int = 200, prior: float = 0.01) -> tuple[dict[str, float], np.ndarray, float]:
+def fit_labellers(patterns: dict[str, int], rounds: int = 500, belief: tuple = ((0.01, 0.4), (0.02, 0.02))) -> tuple[dict[str, float], np.ndarray, float]:
     """EM over vote patterns: posterior of good per pattern, vote rates [labeller, class, vote], share of good.
 
-    Rates are of the votes cast, bad and good; an abstention says nothing. Labellers overlap, and a
-    bad vote is taken to hit at most WRONG of the good documents: else a kind of bad documents that
-    only few labellers know would pass as good ones with an odd vote. A prior worth `prior` of the corpus holds good votes to good documents and bad votes to bad ones.
+    Rates are of the votes cast, bad and good; an abstention says nothing. They are estimated with a
+    prior: for bad and for good documents a weight, as a part of the corpus, and the share of bad
+    votes that it holds, which says which class is which. No rate is set or bounded.
     """
     if not patterns:
         return {}, np.zeros((0, 2, 2)), 1.0
@@ -135,14 +138,12 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 200, prior: float = 0.
     w = np.array([patterns[p] for p in names], float)
     hot = np.array([[(c == "-", c == "+") for c in p] for p in names], float)
     good = np.where(hot[:, :, 0].any(axis=1), 0.05, 0.95)
-    belief = prior * w.sum() * np.array([[0.4, 0.6], [0.02, 0.98]])
+    held = w.sum() * np.array([[weight * bad, weight * (1 - bad)] for weight, bad in belief])
     share = 0.5
     for _ in range(rounds):
         both = np.stack([1 - good, good], axis=1) * w[:, None]
-        rates = np.einsum("pc,plv->lcv", both, hot) + belief + 1e-9
+        rates = np.einsum("pc,plv->lcv", both, hot) + held + 1e-9
         rates /= rates.sum(axis=2, keepdims=True)
-        rates[:, 1, 0] = np.minimum(rates[:, 1, 0], WRONG)
-        rates[:, 1, 1] = 1 - rates[:, 1, 0]
         share = float(np.clip(both[:, 1].sum() / w.sum(), 0.02, 0.98))
         log = np.einsum("plv,lcv->pc", hot, np.log(rates)) + np.log([1 - share, share])
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
@@ -171,77 +172,114 @@ class QualityModel:
     def __init__(self, posteriors: dict[str, float], weights: np.ndarray, bias: float, share: float):
         self.posteriors, self.weights, self.bias, self.share = posteriors, weights, bias, share
 
+    def scores(self, sizes: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Scores of rows of features that lie one behind the other."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        z = np.bincount(owner, weights=self.weights[at] * value, minlength=len(sizes)) + self.bias
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
     def score(self, text: str) -> tuple[float, float, str]:
-        s, n, letters, shapes = describe(text)
-        pattern = votes(s, n, letters)
-        z = float(features(s, n, shapes) @ self.weights) + self.bias
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z)))), self.posteriors.get(pattern, self.share), pattern
+        """Score, posterior of the votes and votes of one text."""
+        pattern, at, value = described(text)
+        return float(self.scores(np.array([len(at)]), at, value)[0]), self.posteriors.get(pattern, self.share), pattern
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> QualityModel:
-    """Fits the labellers on all rows and the scorer on at most `sample` of them."""
+def described(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """Votes, and the places and values of the features that are not zero."""
+    s, n, letters, shapes = describe(text)
+    row = features(s, n, shapes)
+    at = np.flatnonzero(row)
+    return votes(s, n, letters), at.astype(np.int16), row[at].astype(np.float32)
+
+
+MORE = T.StructType().add("__pattern", T.StringType()).add("__at", T.ArrayType(T.ShortType())).add("__value", T.ArrayType(T.FloatType()))
+
+
+def describe_all(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the votes and features of each row; the only pass over the texts."""
     ship(docs.sparkSession)
-    total = docs.count()
-    share = min(1.0, 1.25 * sample / max(total, 1))
-    key = F.xxhash64(F.col(doc_id), F.col(text))
-    chosen = F.pmod(key, F.lit(1_000_000)) < math.ceil(share * 1_000_000)
+    at, schema = docs.columns.index(text), T.StructType([*docs.schema.fields, *MORE.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            patterns, at, value = [], [], []
-            for x, take in zip(batch.column(0), batch.column(2), strict=True):
-                s, n, letters, shapes = describe(x.as_py() or "")
-                patterns.append(votes(s, n, letters))
-                row = features(s, n, shapes) if take.as_py() else np.zeros(0)
-                at.append(np.flatnonzero(row))
-                value.append(row[at[-1]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(patterns, pa.string()), batch.column(1), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64()))],
-                ["pattern", "key", "chosen", "at", "value"],
-            )
-
-    seen = stage(docs.select(F.col(text).alias("text"), key.alias("key"), chosen.alias("chosen")).mapInArrow(run, "pattern string, key long, chosen boolean, at array<int>, value array<double>"), "votes")
-    patterns = {r["pattern"]: r["n"] for r in seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
+            rows = [described(x.as_py() or "") for x in batch.column(at)]
+            ends = np.cumsum([0, *(len(r[1]) for r in rows)]).astype(np.int32)
+            places = pa.array(np.concatenate([np.zeros(0, np.int16), *(r[1] for r in rows)]))
+            values = pa.array(np.concatenate([np.zeros(0, np.float32), *(r[2] for r in rows)]))
+            new = [pa.array([r[0] for r in rows], pa.string()), pa.ListArray.from_arrays(pa.array(ends), places), pa.ListArray.from_arrays(pa.array(ends), values)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "__pattern", "__at", "__value"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def fit(seen: DataFrame, sample: int = SAMPLE, text: str = "text") -> QualityModel:
+    """Fits the labellers on all rows of describe_all() and the scorer on at most `sample` of them.
+
+    Rows are taken in the order of a hash of the text, so equal tables give equal models.
+    """
+    patterns = {r["__pattern"]: r["n"] for r in seen.groupBy("__pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     posteriors, _, good = fit_labellers(patterns)
-    rows = seen.where("chosen").select("key", "pattern", "at", "value").orderBy("key", "pattern").limit(sample).collect()
+    total = sum(patterns.values())
+    share = min(1.0, 1.25 * sample / max(total, 1))
+    keyed = seen.select(F.xxhash64(F.coalesce(seen[text].cast("string"), F.lit(""))).alias("key"), "__pattern", "__at", "__value")
+    near = keyed.where(F.pmod("key", F.lit(1_000_000)) < math.ceil(share * 1_000_000))
+    rows = near.orderBy("key", "__pattern").limit(sample).collect()
     x = np.zeros((len(rows), DIMENSIONS), np.float32)
     for i, r in enumerate(rows):
-        x[i, r["at"]] = r["value"]
-    weights, bias = fit_scorer(x, np.array([posteriors[r["pattern"]] for r in rows]))
-    release(seen)
+        x[i, r["__at"]] = r["__value"]
+    weights, bias = fit_scorer(x, np.array([posteriors[r["__pattern"]] for r in rows]))
     return QualityModel(posteriors, weights, bias, good)
 
 
-def score(docs: DataFrame, model: QualityModel, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, score, posterior, votes, kept)."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+def train(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> QualityModel:
+    """The model of a table."""
+    seen = stage(_slim(describe_all(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))), "described")
+    model = fit(seen, sample)
+    release(seen)
+    return model
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [model.score(x.as_py() or "") for x in batch.column(1)]
-            scores, posteriors, patterns = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array(posteriors, pa.float64()), pa.array(patterns, pa.string()), pa.array([x >= threshold for x in scores], pa.bool_())],
-                ["doc_id", "score", "posterior", "votes", "kept"],
-            )
 
-    ship(docs.sparkSession)
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, posterior double, votes string, kept boolean")
+def _slim(seen: DataFrame) -> DataFrame:
+    """Without the text, of which a hash stays."""
+    return seen.withColumn("text", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def good_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs, unchanged, that the scorer keeps; nothing is shuffled."""
-    at = docs.columns.index(text)
+def _scored(seen: DataFrame, model: QualityModel) -> DataFrame:
+    """describe_all()'s rows with __score and __posterior, without votes and features."""
+    names = [f for f in seen.schema.fields if f.name not in ("__at", "__value")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([model.score(x.as_py() or "")[0] >= threshold for x in batch.column(at)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([pc.filter(c, keep) for c in batch.columns], batch.schema.names)
+            table = pa.table(batch)
+            lists = table["__at"].combine_chunks(), table["__value"].combine_chunks()
+            at, value = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+            scores = model.scores(pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False), at, value)
+            posteriors = [model.posteriors.get(p, model.share) for p in table["__pattern"].to_pylist()]
+            out = table.select([f.name for f in names]).append_column("__score", pa.array(scores, pa.float64())).append_column("__posterior", pa.array(posteriors, pa.float64()))
+            yield from out.combine_chunks().to_batches()
 
-    ship(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return seen.mapInArrow(run, T.StructType([*names, *T.StructType().add("__score", T.DoubleType()).add("__posterior", T.DoubleType()).fields]))
+
+
+def score(docs: DataFrame, model: QualityModel | None = None, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, score, posterior, votes, kept), by a given model or by the table's own."""
+    seen = _slim(describe_all(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
+    if model is None:
+        seen = stage(seen, "described")
+        model = fit(seen)
+    out = _scored(seen, model)
+    return out.select("doc_id", F.col("__score").alias("score"), F.col("__posterior").alias("posterior"), F.col("__pattern").alias("votes"), (F.col("__score") >= threshold).alias("kept"))
+
+
+def good_documents(docs: DataFrame, model: QualityModel | None = None, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs, unchanged, that the scorer keeps; nothing is shuffled."""
+    seen = describe_all(docs, text)
+    if model is None:
+        seen = stage(seen, "described")
+        model = fit(seen, text=text)
+    return _scored(seen, model).where(F.col("__score") >= threshold).select(*docs.columns)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, train(docs))
+    return score(docs)

@@ -203,6 +203,54 @@ def test_labellers_recover_planted_accuracies():
     assert posterior["+++"] > 0.5 > posterior["--+"]
 
 
+def test_labellers_that_err_often_are_estimated():
+    """No rate is set: one labeller votes bad on every fifth good document and is found to."""
+    rng = np.random.default_rng(12)
+    good = rng.random(30_000) < 0.7
+    rates = np.array([[0.8, 0.2], [0.7, 0.01], [0.75, 0.03], [0.6, 0.01]])
+    patterns = collections.Counter("".join("-" if rng.random() < r[int(g)] else "+" for r in rates) for g in good)
+    posterior, found, share = quality.fit_labellers(patterns)
+    assert abs(share - 0.7) < 0.05 and np.abs(found[:, :, 0] - rates).max() < 0.06
+    assert posterior["-+++"] > 0.9 > 0.1 > posterior["---+"]
+
+
+def brute_quality(texts):
+    """Scores of the texts by the operator's own description, one text at a time, with a scorer fitted here."""
+    seen = [quality.described(t or "") for t in texts]
+    posterior, _, _ = quality.fit_labellers(collections.Counter(p for p, _, _ in seen))
+    x = np.zeros((len(seen), quality.DIMENSIONS))
+    for i, (_, at, value) in enumerate(seen):
+        x[i, at] = value
+    weights, bias = quality.fit_scorer(x, np.array([posterior[p] for p, _, _ in seen]))
+    return [(1 / (1 + np.exp(-(sum(float(v) * weights[a] for a, v in zip(at, value, strict=True)) + bias))), posterior[p], p) for p, at, value in seen]
+
+
+def test_quality_equals_brute_force(spark, tmp_path):
+    """The query on a table that is smaller than the sample; repeated rows, clashing columns, ties at the threshold."""
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()] + [None, "", "!!", "x" * 5000, "ab " * 3000]
+    rows = [(k, t, "x") for k, t in enumerate(texts)] + [(7, texts[7], "y")]
+    spark.createDataFrame(rows, "doc_id long, text string, votes string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute_quality([t for _, t, _ in rows])
+    out = sorted(quality.op6_quality(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    for r, (score, posterior, votes) in zip(out, [want[k] for k in sorted(range(len(rows)), key=lambda i: rows[i][0])], strict=True):
+        assert abs(r.score - score) < 1e-3 and abs(r.posterior - posterior) < 1e-9 and r.votes == votes and r.kept == (r.score >= 0.5)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = sorted(r.doc_id for r in quality.good_documents(docs).collect())
+    assert kept == [r.doc_id for r in out if r.kept]
+    tie = quality.score(docs, quality.QualityModel({}, np.zeros(quality.DIMENSIONS), 0.0, 1.0))
+    assert {(r.score, r.kept) for r in tie.collect()} == {(0.5, True)}
+
+
+def test_quality_reads_whole_words_and_long_texts():
+    head = "a1" * 40
+    assert quality.described(head + "b")[1].tolist() != quality.described(head + "###")[1].tolist()
+    spam = [quality.described("buy this now or never again friends " * n)[0][4] for n in (20, 200, 20_000)]
+    assert spam == ["-", "-", "-"]
+    rng = random.Random(13)
+    prose = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(30_000))
+    assert quality.described(prose)[0][4] == "+"
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:

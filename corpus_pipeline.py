@@ -13,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stage
+from lodestone.llm.common import cleared, stage
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.near_copies import near_copies
 from lodestone.llm.packing import pack, pieces
 from lodestone.llm.pii import redact
-from lodestone.llm.quality import good_documents, train
+from lodestone.llm.quality import good_documents
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the scorer keeps, unchanged."""
-    return good_documents(docs, train(docs))
+    return good_documents(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what they stage on the way is removed, only the result stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+    with cleared(spark):
+        for name, step in STAGES:
+            docs = stage(step(spark, docs, sf_dir), name)
     return docs

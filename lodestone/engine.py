@@ -9,12 +9,14 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.cluster import kept
 from lodestone.functions import text as tx
 from lodestone.operators import cite, links, project, retrieve
 from lodestone.operators import rank as rk
-from lodestone.operators.state import Operation, Store, cached_search
+from lodestone.operators.state import Operation, OperationStopped, Store, cached_search, detail_fresh, write_file
 from lodestone.plans.expression import Expression, QueryError, predicate, printed
 from lodestone.plans.planner import Options, Plan, search_input
+from lodestone.sources import records
 
 INLINE_BYTES = 512 << 10
 MAX_METADATA, MAX_RESULTS, MAX_EXPORT, SELECTED = 100, 100, 1000, 100
@@ -31,12 +33,54 @@ class SearchResult:
     hits: DataFrame
     coverage: DataFrame
     operation: Operation = field(default_factory=lambda: Operation("search"))
+    ranked: DataFrame | None = None
+
+    def output(self, papers: DataFrame, limit: int = 20, kind: str = "compact") -> dict:
+        """What a client is shown first: counts, plan, coverage, and the first selected rows as {fields, rows}."""
+        total = self.summary()
+        chosen = self.entries.where("selected").orderBy("rank").limit(limit).select("ref", "rank")
+        shown = project.view(papers.join(chosen, "ref"), kind).join(chosen, "ref").orderBy("rank").drop("rank")
+        out = {k: total[k] for k in ("search_id", "candidates", "eligible", "selected")} | project.columnar(shown, limit)
+        if self.ranked is not None:
+            reasons = self.ranked.where("NOT eligible").groupBy(rk.exclusion_reason().alias("reason")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per reason
+            out |= {"not_selected": {r["reason"]: r["n"] for r in reasons}} if reasons else {}
+        out["plan"] = plan_view(self.plan)
+        out["coverage"] = project.columnar(self.coverage.orderBy("channel"), len(self.plan.channels) + 2)
+        if (n := min(limit, total["selected"])) < total["selected"]:
+            out["next_offset"] = n
+        return out if self.operation.status in ("completed", "cached") else out | {"operation": self.operation.view()}
 
     def summary(self) -> dict:
         row = self.entries.agg(F.count(F.lit(1)).alias("candidates"), F.count_if("eligible").alias("eligible"), F.count_if("selected").alias("selected")).first()
         return {"search_id": self.search_id, "method": self.plan.method, "expression": [printed(c.expression) for c in self.plan.channels], **row.asDict()}
 
 
+def plan_view(plan: Plan) -> dict:
+    """Method and channels with their expressions in print."""
+    rows = [[c.id, printed(c.expression), c.weight] for c in plan.channels]
+    return {"method": plan.method, "channels": {"fields": ["channel", "expression", "weight"], "rows": rows}}
+
+
+@dataclass
+class _Run:
+    """A search on its way: what its finished stages gave."""
+
+    plan: Plan
+    options: Options
+    key: str
+    as_of_year: int
+    as_of: str | None
+    op: Operation
+    scanned: DataFrame | None = None
+    pool: DataFrame | None = None
+    read: DataFrame | None = None
+    ranked: DataFrame | None = None
+
+    @property
+    def search_id(self) -> str:
+        return self.op.id.replace("op_", "cs_")
+
+
 def cache_key(options: Options, plan: Plan, sources: str) -> str:
     """What a search asks for; how much of it is shown does not count."""
     asked = {k: v for k, v in asdict(options).items() if k not in ("limit", "view", "freshness")}
@@ -44,56 +88,133 @@ def cache_key(options: Options, plan: Plan, sources: str) -> str:
 
 
 class Engine:
-    """Searches a papers table; root keeps entries of finished searches and snapshots of texts."""
+    """Searches a papers table; root keeps entries of finished searches, runs and snapshots of texts.
 
-    def __init__(self, spark: SparkSession, papers: DataFrame, sources: DataFrame | None = None, root: str | None = None, name: str = "papers"):
-        self.spark, self.papers, self.sources, self.name = spark, papers, sources, name
+    details (ref, parser, detail_at and the fields that a detail page adds) is what stands in for
+    reading pages: a search takes from it for the papers that it would have read.
+    """
+
+    def __init__(self, spark: SparkSession, papers: DataFrame, sources: DataFrame | None = None, root: str | None = None, name: str = "papers", details: DataFrame | None = None):
+        self.spark, self.papers, self.sources, self.name, self.details = spark, papers, sources, name, details
         self.store = Store(spark, root) if root else None
+        self._runs: dict[str, _Run] = {}
 
     # -- search --
 
-    def search(self, query: str = "", concept_groups: list[list[str]] | None = None, expression: Expression | None = None, as_of_year: int = 2026, as_of: str | None = None, **options) -> SearchResult:
-        """Concepts are ranked with feedback; an expression keeps the source's order."""
+    def search(self, query: str = "", concept_groups: list[list[str]] | None = None, expression: Expression | None = None, as_of_year: int = 2026, as_of: str | None = None, budget: int = 600, **options) -> SearchResult:
+        """Concepts are ranked with feedback; an expression keeps the source's order.
+
+        A page of a channel and a detail that is read cost one request each of the budget.
+        """
         o, plan = search_input(query, concept_groups, expression, **options)
         key = cache_key(o, plan, self.name)
         if self.store and as_of and o.freshness == "prefer_cache" and (stored := self.store.read("searches")) is not None:
             if row := cached_search(stored, key, F.lit(as_of).cast("timestamp")).first():
                 return self._stored(row["search_id"], plan, o)
-        op = Operation("search")
-        terms = [t for g in plan.concepts for t in g]
-        scan = dict(sort=o.sort, max_pages=o.max_pages)
-        with _stage(self.spark, op, "retrieve"):
-            scanned = retrieve.until_target(retrieve.scan_all(self.papers, plan.channels, terms, **scan), o.target)
-            scanned = self._kept(scanned)
-        hits = retrieve.hits(scanned, o.year_from, o.year_to)
-        if plan.method == "structured":
+        return self._go_on(_Run(plan, o, key, as_of_year, as_of, Operation("search", budget)))
+
+    def resume(self, search_id: str, extra: int = 200) -> SearchResult:
+        """Goes on with a search whose budget ended, from the last stage that it finished."""
+        run = self._runs.get(search_id)
+        if run is None:
+            raise QueryError("CONTINUE_UNAVAILABLE", search_id)
+        run.op = run.op.resumed(extra)
+        return self._go_on(run)
+
+    def _go_on(self, run: _Run) -> SearchResult:
+        """The stages that a run has not finished; what one gives is kept for the next and for a resume."""
+        self._runs[run.search_id] = run
+        stages = [("retrieve", self._retrieve)]
+        if run.plan.method != "structured":
+            stages += [("pool", self._pool), ("enrich", self._enrich), ("feedback", self._feedback), ("enrich_feedback", self._enrich_feedback), ("rank", self._rank)]
+        try:
+            for name, step in stages:
+                if name not in run.op.done:
+                    with _stage(self.spark, run.op, name):
+                        step(run)
+            run.op.status = "completed"
+        except OperationStopped as e:
+            run.op.status = "cancelled" if e.args[0] == "CANCELLED" else "partial"
+        out = self._result(run)
+        if run.op.status == "completed":
+            del self._runs[run.search_id]
+            if self.store and run.as_of:
+                self.store.append("search_entries", out.entries.withColumn("search_id", F.lit(out.search_id)), out.search_id)
+                row = self.spark.createDataFrame([(out.search_id, run.key)], "search_id string, cache_key string")
+                self.store.append("searches", row.withColumn("ts", F.lit(run.as_of).cast("timestamp")), out.search_id)
+        return out
+
+    def _scan(self, run: _Run, channels: list, max_pages: int) -> DataFrame:
+        found = self._kept(retrieve.scan_all(self.papers, channels, [t for g in run.plan.concepts for t in g], sort=run.options.sort, max_pages=max_pages))
+        pages = found.groupBy("channel").agg(F.max("page").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        run.op.charge(int(pages))
+        return found
+
+    def _retrieve(self, run: _Run) -> None:
+        run.scanned = self._kept(retrieve.until_target(self._scan(run, run.plan.channels, run.options.max_pages), run.options.target))
+
+    def _hits(self, run: _Run) -> DataFrame:
+        return retrieve.hits(run.scanned, run.options.year_from, run.options.year_to)
+
+    def _ranked(self, run: _Run) -> DataFrame:
+        """The candidates by what is known of them by now."""
+        return self._kept(rk.rank(self._known(run), run.plan, self._hits(run), self.sources, run.as_of_year))
+
+    def _known(self, run: _Run) -> DataFrame:
+        return self.papers if run.read is None else project.with_details(self.papers, run.read)
+
+    def _pool(self, run: _Run) -> None:
+        """Which candidates deserve a detail, by their preliminary rank."""
+        run.pool = self._kept(rk.pool(self._ranked(run), run.options.metadata))
+
+    def _read_details(self, run: _Run, refs: DataFrame) -> None:
+        """Details of refs; those read lately by the present parser cost nothing."""
+        if self.details is None or run.options.metadata == "basic":
+            return
+        fresh = F.lit(False) if run.as_of is None else detail_fresh("detail_at", F.col("parser"), records.PARSER_VERSION, F.lit(run.as_of).cast("timestamp"))
+        found = self.details.join(refs.select("ref").distinct(), "ref", "left_semi")
+        run.op.charge(found.where(~fresh).count())
+        run.read = self._kept(found if run.read is None else run.read.join(found.select("ref"), "ref", "left_anti").unionByName(found))
+
+    def _enrich(self, run: _Run) -> None:
+        self._read_details(run, run.pool)
+
+    def _feedback(self, run: _Run) -> None:
+        more = rk.feedback_channels(self._ranked(run), run.plan) if run.options.mode != "precise" and run.options.metadata != "basic" else []
+        if more:
+            run.scanned = self._kept(run.scanned.unionByName(self._scan(run, more, 1)))
+
+    def _enrich_feedback(self, run: _Run) -> None:
+        """Of all candidates by now the best that have no detail yet."""
+        if self.details is not None and run.options.metadata != "basic":
+            best = rk.pool(self._ranked(run), run.options.metadata)
+            self._read_details(run, best if run.read is None else best.join(run.read.select("ref"), "ref", "left_anti"))
+
+    def _rank(self, run: _Run) -> None:
+        run.ranked = self._ranked(run)
+
+    def _result(self, run: _Run) -> SearchResult:
+        """What a run has so far; a partial one is ranked by what it knows."""
+        if run.scanned is None:
+            none = self.spark.createDataFrame([], "ref string, rank long, score double, eligible boolean, selected boolean")
+            hits = self.spark.createDataFrame([], "ref string, channel string, position long, weight double")
+            return SearchResult(run.search_id, run.plan, run.options, none, hits, retrieve.coverage(hits.withColumn("page", F.lit(0))), run.op)
+        hits, o = self._hits(run), run.options
+        if run.plan.method == "structured":
             entries = hits.select("ref", F.col("position").alias("rank"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("eligible"), (F.col("position") <= SELECTED).alias("selected"))
+            return SearchResult(run.search_id, run.plan, o, self._kept(entries), hits, retrieve.coverage(run.scanned), run.op)
+        ranked = run.ranked if run.ranked is not None else self._ranked(run)
+        ordered = rk.ordered(ranked)
+        if o.metadata == "basic":
+            entries = ordered.select("ref", "rank", "score", "eligible", (F.col("rank") <= SELECTED).alias("selected"))
         else:
-            with _stage(self.spark, op, "rank"):
-                ranked = self._kept(rk.rank(self.papers, plan, hits, self.sources, as_of_year))
-            more = rk.feedback_channels(ranked, plan) if o.mode != "precise" and o.metadata != "basic" else []
-            if more:
-                with _stage(self.spark, op, "feedback"):
-                    scanned = self._kept(scanned.unionByName(retrieve.scan_all(self.papers, more, terms, sort=o.sort, max_pages=1)))
-                    hits = retrieve.hits(scanned, o.year_from, o.year_to)
-                    ranked = self._kept(rk.rank(self.papers, plan, hits, self.sources, as_of_year))
-            ordered = rk.ordered(ranked)
-            if o.metadata == "basic":
-                entries = ordered.select("ref", "rank", "score", "eligible", (F.col("rank") <= SELECTED).alias("selected"))
-            else:
-                chosen = rk.select(ranked, SELECTED).select("ref", F.lit(True).alias("selected"))
-                entries = ordered.join(chosen, "ref", "left").select("ref", "rank", "score", "eligible", F.coalesce("selected", F.lit(False)).alias("selected"))
-        op.status = "completed"
-        out = SearchResult(op.id.replace("op_", "cs_"), plan, o, self._kept(entries), hits, retrieve.coverage(scanned), op)
-        if self.store and as_of:
-            self.store.append("search_entries", out.entries.withColumn("search_id", F.lit(out.search_id)))
-            row = self.spark.createDataFrame([(out.search_id, key)], "search_id string, cache_key string")
-            self.store.append("searches", row.withColumn("ts", F.lit(as_of).cast("timestamp")))
-        return out
+            chosen = rk.select(ranked, SELECTED).select("ref", F.lit(True).alias("selected"))
+            entries = ordered.join(chosen, "ref", "left").select("ref", "rank", "score", "eligible", F.coalesce("selected", F.lit(False)).alias("selected"))
+        return SearchResult(run.search_id, run.plan, o, self._kept(entries), hits, retrieve.coverage(run.scanned), run.op, ranked)
 
     def _kept(self, df: DataFrame) -> DataFrame:
         """A phase's result, written so that later phases and retries start from it."""
-        return df.checkpoint() if self.spark.sparkContext.getCheckpointDir() else df
+        return kept(df)
 
     def _stored(self, search_id: str, plan: Plan, o: Options) -> SearchResult:
         entries = self.store.read("search_entries").where(F.col("search_id") == search_id).drop("search_id")
@@ -119,14 +240,14 @@ class Engine:
     def get_metadata(self, refs: list[str] | None = None, titles: list[str] | None = None, fields: list[str] | None = None) -> DataFrame:
         """Records in request order; unknown refs are left out, titles must name one paper."""
         asked = list(dict.fromkeys(refs or []))
+        if len(asked) + len(titles or []) > MAX_METADATA:
+            raise QueryError("BATCH_TOO_LARGE", f"at most {MAX_METADATA} records")
         if titles:
             status = project.title_status(self.spark.createDataFrame([(t,) for t in titles], "title string"), self.papers).collect()
             for r in status:
                 if r["status"] != "one":
                     raise QueryError("DOCUMENT_NOT_FOUND" if r["status"] == "not_found" else "IDENTITY_AMBIGUOUS", r["title"])
             asked += [r["ref"] for r in status if r["ref"] not in asked]
-        if len(asked) > MAX_METADATA:
-            raise QueryError("BATCH_TOO_LARGE", f"at most {MAX_METADATA} records")
         wanted = self.spark.createDataFrame(list(enumerate(asked)), "pos int, ref string")
         return project.in_order(wanted, project.fields(self.papers, fields or self.papers.columns)).orderBy("pos")
 
@@ -161,15 +282,16 @@ class Engine:
     # -- output --
 
     def export(self, refs: list[str], style: str = "gbt7714", template: str = "", path: str | None = None) -> DataFrame:
-        """(text, count) of all citations in request order; with a path the text is written there as one file."""
+        """(text, count) of all citations in request order; with a path the text is written there as one file, never over another."""
         if len(refs) > MAX_EXPORT:
             raise QueryError("BATCH_TOO_LARGE", f"at most {MAX_EXPORT} records")
         wanted = self.spark.createDataFrame(list(enumerate(refs)), "pos int, ref string")
         papers = project.in_order(wanted, self.papers)
         style = cite.ALIASES.get(style, style)
         out = cite.joined(cite.citations(papers, style, template, "pos"), style)
-        if path is not None:
-            out.select("text").coalesce(1).write.mode("errorifexists").text(path)
+        if path is not None:  # at most MAX_EXPORT citations
+            folder, _, name = path.rpartition("/")
+            write_file(self.spark, folder, name, (out.first()["text"] or "").encode())
         elif (out.select(F.octet_length("text")).first()[0] or 0) > INLINE_BYTES:
             raise QueryError("OUTPUT_TOO_LARGE", "give a path")
         return out
@@ -198,5 +320,5 @@ class _stage:
     def __enter__(self) -> None:
         self.op.start(self.spark, self.name)
 
-    def __exit__(self, *problem) -> None:
-        self.op.finish(self.spark, self.name)
+    def __exit__(self, kind, *problem) -> None:
+        self.op.finish(self.spark, self.name, failed=kind is not None)

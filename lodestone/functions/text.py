@@ -50,16 +50,26 @@ def native_key(dbname: Column | str, filename: Column | str) -> Column:
     return F.when((a == "") | (b == ""), "").otherwise(F.upper(F.concat_ws(":", a, b)))
 
 
+def json_string(c: Column | str) -> Column:
+    """The JSON string of a text, with the characters escaped that are unsafe in HTML."""
+    out = F.replace(F.replace(_col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+    odd = out
+    for code in (*range(32), 0x3C, 0x3E, 0x26, 0x2028, 0x2029):
+        odd = F.replace(odd, F.lit(chr(code)), F.lit(short.get(code, f"\\u{code:04x}")))
+    return F.concat(F.lit('"'), F.when(out.rlike(r"[\x00-\x1F<>&\x{2028}\x{2029}]"), odd).otherwise(out), F.lit('"'))
+
+
 def bibliography_key(title: Column | str, authors: Column | str, source: Column | str, year: Column | str) -> Column:
-    """SHA-256 of title key, authors, source and year; empty if one is missing."""
+    """SHA-256 of the JSON array of title key, authors, source and year; empty if one is missing."""
     t, a, s, y = map(_col, (title, authors, source, year))
     missing = (F.coalesce(t, F.lit("")) == "") | (F.coalesce(F.size(a), F.lit(0)) <= 0) | (F.coalesce(s, F.lit("")) == "") | (F.coalesce(y, F.lit(0)) == 0)
-    return F.when(missing, "").otherwise(F.sha2(F.concat_ws("\x1f", title_key(t), normalize(F.array_join(a, "|")), normalize(s), y.cast("string")), 256))
+    return F.when(missing, "").otherwise(F.sha2(F.concat(F.lit("["), F.concat_ws(",", json_string(title_key(t)), json_string(normalize(F.array_join(a, "|"))), json_string(normalize(s)), y.cast("string")), F.lit("]")), 256))
 
 
 def record_ref(key: Column | str) -> Column:
     """Stable reference from the strongest key."""
-    return F.concat(F.lit("cr_"), F.substr(F.sha2(F.concat(F.lit('"'), _col(key), F.lit('"')), 256), F.lit(1), F.lit(16)))
+    return F.concat(F.lit("cr_"), F.substr(F.sha2(json_string(key), 256), F.lit(1), F.lit(16)))
 
 
 def latin_tokens(c: Column | str) -> Column:
@@ -110,9 +120,13 @@ def parse_year(c: Column | str) -> Column:
     return F.nullif(F.regexp_extract(_col(c), "(1[89][0-9]{2}|2[01][0-9]{2})", 1), F.lit("")).try_cast("int")
 
 
+# Roles that stand in brackets behind a name.
+ROLE = r"\s*[（(](?:文|著|编|译|主编|编著|编译|撰|撰文|执笔|整理|口述|摄|图|供稿)[）)]$"
+
+
 def author_names(a: Column | str) -> Column:
-    """Names without their role suffix (numbers, commas, stars at the end), each once."""
-    return unique_strings(F.transform(_col(a), lambda x: F.regexp_replace(x, r"[\s,;*0-9]+$", "")))
+    """Names without the role behind them, each once."""
+    return unique_strings(F.transform(_col(a), lambda x: F.regexp_replace(x, ROLE, "")))
 
 
 def nonspace_chars(c: Column | str) -> Column:
@@ -143,9 +157,13 @@ def bib_text(c: Column | str) -> Column:
     return F.regexp_replace(out, r"\\(?![{}%&#_$])", r"\\textbackslash{}")
 
 
+# Characters that file names may not hold, names that systems keep for themselves, what stands before a title that cannot be a name.
+UNSAFE = r'[\x00-\x1F/\\<>:"|?*]'
+RESERVED = r"(?i)^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(?:\.|$)"
+NAME_PREFIX = "论文_"
+
+
 def safe_file_name(c: Column | str) -> Column:
-    """A title as a file name: odd characters become _, at most 75 characters, no dots or blanks at the ends."""
-    name = F.regexp_replace(_col(c), r'[\x00-\x1F\x7F<>:"/\\|?*]', "_")
-    name = F.btrim(F.substr(F.btrim(name, F.lit(" .")), F.lit(1), F.lit(75)), F.lit(" ."))
-    reserved = F.upper(name).rlike(r"^(CON|PRN|AUX|NUL|COM[0-9]|LPT[0-9])([.].*)?$")
-    return F.when(name == "", "untitled").when(reserved, F.concat(F.lit("_"), name)).otherwise(name)
+    """A title as a file name: odd characters become _, no dots or blanks at the ends, then at most 75 characters."""
+    name = F.substr(F.btrim(F.regexp_replace(_col(c), UNSAFE, "_"), F.lit(". ")), F.lit(1), F.lit(75))
+    return F.when((name == "") | name.rlike(RESERVED), F.concat(F.lit(NAME_PREFIX), name)).otherwise(name)

@@ -199,8 +199,11 @@ def citations(papers: DataFrame, style: str = "gbt7714", template: str = "", ord
     return numbered(papers, order).select("n", "ref", citation(style, template).alias("text"), missing_fields().alias("missing_fields"))
 
 
-def joined(cited: DataFrame, style: str = "gbt7714") -> DataFrame:
-    """One row with all texts of an export in order; CSV gets its header and CRLF."""
+def joined(cited: DataFrame, style: str = "gbt7714", size: int | None = None) -> DataFrame:
+    """All texts of an export in order as one row (text, count); CSV gets its header and CRLF.
+
+    With a size, consecutive citations make exports of at most so many: (export, text, count).
+    """
     sep = "\r\n" if style == "csv" else "\n\n"
     texts = F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"])
     body = F.array_join(texts, sep)
@@ -208,4 +211,5 @@ def joined(cited: DataFrame, style: str = "gbt7714") -> DataFrame:
         body = F.concat(F.lit("title,authors,source,year,volume,issue,pages,doi,url\r\n"), body, F.lit("\r\n"))
     if style in ("json", "csl_json"):
         body = F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
-    return cited.agg(body.alias("text"), F.count(F.lit(1)).alias("count"))
+    grouped = cited.groupBy() if size is None else cited.groupBy(F.floor((F.col("n") - 1) / size).alias("export"))
+    return grouped.agg(body.alias("text"), F.count(F.lit(1)).alias("count"))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.cluster import kept, ship
 from lodestone.functions import text as tx
 
 
@@ -56,18 +57,64 @@ def detail_matches(a: str, b: str) -> Column:
     return ~conflicting(a, b) & (tx.title_key(f"{a}.title") == tx.title_key(f"{b}.title")) & authors & source
 
 
-def same_pairs(papers: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) of refs that share a key, each with the smallest ref that has it.
+IDS = ("doi_key", "native_key", "dbcode")
+
+
+def classes(papers: DataFrame) -> DataFrame:
+    """papers' refs by class: rows (ref, rep, doi_key, native_key, dbcode, bib_key).
+
+    A class holds what agrees in all identifiers and in the bibliography, so it is compared as one;
+    its smallest ref represents it. An aggregate finds that, and refs join it on flat columns.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    slim = papers.select("ref", text("doi_key").alias("doi_key"), text("native_key").alias("native_key"), F.lower(text("dbcode")).alias("dbcode"), text("bib_key").alias("bib_key"))
+    keys = (*IDS, "bib_key")
+    return slim.join(slim.groupBy(*keys).agg(F.min("ref").alias("rep")), list(keys)).select("ref", "rep", *keys)
 
-    Per key the smallest ref stands for all, so a key that many records share gives as many rows as
-    it has records, not their square.
+
+def members(found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a class's representative and its other members; a class without a key links none."""
+    known = (F.col("doi_key") != "") | (F.col("native_key") != "") | (F.col("bib_key") != "")
+    return found.where(known & (F.col("ref") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("ref").alias("b"))
+
+
+def class_pairs(found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of representatives of different classes that are the same paper, all of them.
+
+    Two classes are one paper if they share a key and no identifier that both have differs. Which
+    identifiers a class has is one of eight masks; for each pair of masks the common identifiers
+    are part of the join key. So the join gives linked pairs only, however many classes share a key,
+    and conflicting ones never meet.
     """
-    keyed = papers.withColumn("key", F.explode(identity_keys()))
-    low = keyed.groupBy("key").agg(F.min("ref").alias("low"))
-    pairs = keyed.join(low, "key").where("ref <> low").select(F.col("low").alias("a"), F.col("ref").alias("b")).distinct()
-    slim = papers.select("ref", F.struct("doi_key", "native_key", "bib_key", "dbcode").alias("p"))
-    x, y = slim.select(F.col("ref").alias("a"), F.col("p").alias("x")), slim.select(F.col("ref").alias("b"), F.col("p").alias("y"))
-    return pairs.join(x, "a").join(y, "b").where(same_paper("x", "y")).select("a", "b")
+    one = found.where("ref = rep").drop("ref").withColumn("mask", sum(F.when(F.col(c) != "", 1 << n).otherwise(0) for n, c in enumerate(IDS)))
+    key = F.explode(identity_keys()).alias("key")
+
+    def side(mine: str, theirs: str, name: str) -> DataFrame:
+        other = one.select(key, "rep", "mask", *IDS, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("other"))
+        both = F.col("mask").bitwiseAND(F.col("other"))
+        shared = [F.when(both.bitwiseAND(F.lit(1 << n)) != 0, F.col(c)).otherwise("").alias(c) for n, c in enumerate(IDS)]
+        return other.select("key", F.col("mask").alias(mine), F.col("other").alias(theirs), *shared, F.col("rep").alias(name))
+
+    met = side("left", "right", "a").join(side("right", "left", "b"), ["key", "left", "right", *IDS]).where("a < b")
+    return met.select("a", "b").distinct()
+
+
+def same_pairs(papers: DataFrame) -> DataFrame:
+    """All verified links: pairs (a, b) of class representatives, and of each with its members (kind)."""
+    found = kept(classes(papers))
+    return class_pairs(found).withColumn("kind", F.lit("pair")).union(members(found).withColumn("kind", F.lit("member")))
+
+
+def link_counts(papers: DataFrame) -> DataFrame:
+    """(ref, n): with how many others each paper is linked; the sizes of its class and of the classes linked to it."""
+    found = kept(classes(papers))
+    pairs = class_pairs(found)
+    sizes = found.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beside = both.join(sizes, both["b"] == sizes["rep"]).groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("beside"))
+    known = (F.col("doi_key") != "") | (F.col("native_key") != "") | (F.col("bib_key") != "")
+    n = F.when(known, F.col("size") - 1).otherwise(0) + F.coalesce("beside", F.lit(0))
+    return found.join(sizes, "rep").join(beside, "rep", "left").select("ref", n.alias("n")).where("n > 0")
 
 
 def merge_observations(observations: DataFrame, by: str = "ref") -> DataFrame:
@@ -98,31 +145,33 @@ def resolve(observations: DataFrame) -> DataFrame:
     """
     keyed = with_component(observations)
 
+    names = ("native_key", "doi_key", "bib_key", "dbcode")
+
+    def agrees(a: dict, r: dict) -> bool:
+        if any(a[c] and r[c] and a[c].lower() != r[c].lower() for c in IDS):
+            return False
+        return bool((a["doi_key"] and r["doi_key"]) or (a["native_key"] and r["native_key"]) or (a["bib_key"] and a["bib_key"] == r["bib_key"]))
+
     def run(df: pd.DataFrame) -> pd.DataFrame:
         known: dict[str, dict] = {}
+        by_key: dict[str, set[str]] = {}
         out = []
         for r in df.sort_values("seq").to_dict("records"):
-            keys = {k for k in (r["native_key"], r["doi_key"], r["bib_key"]) if k}
-
-            def agrees(a: dict, r: dict = r) -> bool:
-                for name in ("doi_key", "native_key", "dbcode"):
-                    x, y = a[name] or "", r[name] or ""
-                    if x and y and x.lower() != y.lower():
-                        return False
-                return bool((a["doi_key"] and r["doi_key"]) or (a["native_key"] and r["native_key"]) or (a["bib_key"] and a["bib_key"] == r["bib_key"]))
-
-            match = next((ref for ref in sorted(known) if keys & known[ref]["all"] and agrees(known[ref])), None)
+            r |= {c: r[c] or "" for c in names}
+            keys = [(c, r[c]) for c in names[:3] if r[c]]
+            candidates = sorted(set().union(*(by_key.get(k, ()) for k in keys)))
+            match = next((ref for ref in candidates if agrees(known[ref], r)), None)
             if match is None:
-                ref = r["ref"] if r["ref"] not in known else f"{r['ref']}_{r['seq']}"
-                known[ref] = {k: r[k] for k in ("native_key", "doi_key", "bib_key", "dbcode")} | {"all": keys}
-                match = ref
+                match = r["ref"] if r["ref"] not in known else f"{r['ref']}_{r['seq']}"
+                known[match] = {c: r[c] for c in names}
             else:
-                for k in ("native_key", "doi_key", "bib_key", "dbcode"):
-                    known[match][k] = r[k] or known[match][k]
-                known[match]["all"] |= keys
+                known[match] |= {c: r[c] for c in names if r[c]}
+            for k in keys:
+                by_key.setdefault(k, set()).add(match)
             out.append((r["seq"], match))
         return pd.DataFrame(out, columns=["seq", "ref"])
 
+    ship(observations.sparkSession)
     return keyed.groupBy("component").applyInPandas(run, "seq long, ref string")
 
 
@@ -133,16 +182,16 @@ def with_component(observations: DataFrame) -> DataFrame:
     that long chains settle in few rounds; there is no limit to them.
     """
     links = observations.select("seq", F.explode(identity_keys()).alias("key"))
-    label = observations.select("seq", F.col("seq").alias("component")).distinct().checkpoint()
+    label = kept(observations.select("seq", F.col("seq").alias("component")).distinct())
     moved = True
     while moved:
         per_key = links.join(label, "seq").groupBy("key").agg(F.min("component").alias("low"))
         per_seq = links.join(per_key, "key").groupBy("seq").agg(F.min("low").alias("low"))
-        near = label.join(per_seq, "seq", "left").checkpoint()
+        near = kept(label.join(per_seq, "seq", "left"))
         hook = near.groupBy("component").agg(F.min("low").alias("hook")).select(F.col("component").alias("seq"), "hook")
-        low = near.join(hook, "seq", "left").select("seq", F.col("component").alias("old"), F.least("component", "low", "hook").alias("component")).checkpoint()
+        low = kept(near.join(hook, "seq", "left").select("seq", F.col("component").alias("old"), F.least("component", "low", "hook").alias("component")))
         up = low.select(F.col("seq").alias("component"), F.col("component").alias("up"))
-        new = low.join(up, "component").select("seq", F.least("component", "up").alias("component"), (F.col("up") < F.col("old")).alias("moved")).checkpoint()
+        new = kept(low.join(up, "component").select("seq", F.least("component", "up").alias("component"), (F.col("up") < F.col("old")).alias("moved")))
         moved = new.where("moved").limit(1).count() > 0
         label = new.select("seq", "component")
     return observations.join(label, "seq")

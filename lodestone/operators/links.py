@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.cluster import ship
 from lodestone.functions import text as tx
 
 # The marks around a title.
@@ -50,6 +51,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             rows = [(d, k, a, b, t) for d, x in zip(df[doc_id], df[text], strict=True) for k, (a, b, t) in enumerate(reference_spans(x))]
             yield pd.DataFrame(rows, columns=["doc_id", "span", "start", "end", "title"])
 
+    ship(docs.sparkSession)
     marked = docs.where(F.contains(F.col(text), F.lit(OPEN))).select(doc_id, text)
     return marked.mapInPandas(run, f"doc_id {kind}, span long, start long, end long, title string")
 

@@ -51,6 +51,42 @@ def nonempty(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if flags[c]])
 
 
+def columnar(df: DataFrame, limit: int) -> dict:
+    """At most `limit` rows as {fields, rows} without the columns that are empty in all of them."""
+    rows = df.limit(limit).collect()
+    names = [c for c in df.columns if any(r[c] not in (None, "", []) for r in rows)]
+    return {"fields": names, "rows": [[r[c] for c in names] for r in rows]}
+
+
+def quality_view(papers: DataFrame) -> DataFrame:
+    """(ref, quality): JSON of tiers, impacts, metric year and the page's title where it is another name; a state where nothing is shown."""
+    other = F.when(tx.source_key(F.coalesce("canonical", F.lit(""))) != tx.source_key(F.coalesce("source", F.lit(""))), F.nullif("canonical", F.lit("")))
+    shown = F.struct(
+        F.when(F.size("tiers") > 0, F.col("tiers")).alias("tiers"), F.col("composite").alias("composite_impact"), F.col("aggregate").alias("aggregate_impact"),
+        F.when(F.col("metric_year") > 0, F.col("metric_year")).alias("metric_year"), other.alias("journal_page_title"),
+    )
+    text = F.to_json(shown)
+    return papers.select("ref", F.when(F.col("state").isNotNull(), F.when(text == "{}", '{"state":"no_indexing_or_metrics_shown"}').otherwise(text)).alias("quality"))
+
+
+def with_details(papers: DataFrame, details: DataFrame) -> DataFrame:
+    """papers with the values of their details where these have any; titles must agree, else the detail is of another paper.
+
+    Native keys that a detail lacks stay.
+    """
+    names = [c for c in papers.columns if c in details.columns and c != "ref"]
+    found = details.select("ref", F.struct("*").alias("__d"))
+    both = papers.join(found, "ref", "left")
+    same = tx.title_key("title") == tx.title_key(F.coalesce(F.col("__d.title"), F.lit(""))) if "title" in details.columns else F.col("__d").isNotNull()
+
+    def merged(name: str) -> Column:
+        new = F.col(f"__d.{name}")
+        empty = F.size(new) <= 0 if dict(papers.dtypes)[name].startswith("array") else new.cast("string") == ""
+        return F.when(F.coalesce(same & new.isNotNull() & ~empty, F.lit(False)), new).otherwise(F.col(name)).alias(name)
+
+    return both.select(*[merged(c) if c in names else F.col(c) for c in papers.columns])
+
+
 def page_of(entries: DataFrame, scope: str = "candidates", offset: int = 0, limit: int = 50) -> DataFrame:
     """Entries of a scope by rank from offset; a bounded page, so the sort keeps offset + limit rows a task."""
     if scope not in ("candidates", "eligible", "selected"):
@@ -103,6 +139,6 @@ def section_lengths(sections: DataFrame, by: str = "snapshot_id") -> DataFrame:
 
 
 def missing_headings(catalog: Column, body: Column) -> Column:
-    """Headings of the catalog whose key is not in the body."""
-    keys = F.transform(body, tx.title_key)
-    return F.filter(catalog, lambda h: ~F.array_contains(keys, tx.title_key(h)))
+    """Headings of the catalog whose key is not in the body; missing headings on either side do not count."""
+    keys = F.transform(F.filter(body, lambda h: h.isNotNull()), tx.title_key)
+    return F.filter(catalog, lambda h: h.isNotNull() & ~F.array_contains(keys, tx.title_key(h)))

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import RESERVED, UNSAFE
+from lodestone.plans.expression import QueryError
+
 SCHEMA_VERSION = 1
 RETENTION_DAYS = {"operations": 7, "searches": 14, "snapshots": 60}
 CACHE_MINUTES, DETAIL_DAYS, PRESENT_DAYS, UNKNOWN_DAYS = 10, 30, 7, 1
-RESUMABLE = ("BUDGET_EXHAUSTED", "SITE_TEMPORARILY_EMPTY", "SITE_LIMITED", "TIMEOUT")
+RESUMABLE = ("BUDGET_EXHAUSTED", "SITE_TEMPORARILY_EMPTY", "RATE_LIMITED", "TIMEOUT")
 
 
 def newest(df: DataFrame, key: str, ts: str = "ts") -> DataFrame:
@@ -36,9 +43,14 @@ def prune(df: DataFrame, kind: str, as_of: Column, ts: str = "ts") -> DataFrame:
     return df.where(fresh(ts, as_of, days=RETENTION_DAYS[kind]))
 
 
+def cached(searches: DataFrame, as_of: Column) -> DataFrame:
+    """Searches that may answer again."""
+    return searches.where(fresh("ts", as_of, minutes=CACHE_MINUTES))
+
+
 def cached_search(searches: DataFrame, cache_key: str, as_of: Column) -> DataFrame:
     """The newest search of a key within ten minutes, or no row."""
-    return searches.where((F.col("cache_key") == cache_key) & fresh("ts", as_of, minutes=CACHE_MINUTES)).orderBy(F.desc("ts")).limit(1)
+    return cached(searches.where(F.col("cache_key") == cache_key), as_of).orderBy(F.desc("ts")).limit(1)
 
 
 def spacing(events: DataFrame, interval_ms: int, by: str, ts_ms: str, order: list[str]) -> DataFrame:
@@ -56,17 +68,37 @@ def resumable(status: Column, errors: Column) -> Column:
     return (status == "interrupted") | F.exists(errors, lambda e: e.isin(*RESUMABLE))
 
 
-def error_class(status: Column, body: Column) -> Column:
-    """ok, limited, denied, challenge or temporary, from a response."""
+# Marks of a page that asks for a human, codes that end a run.
+CHALLENGE = """<title>\\s*安全验证\\s*</title>|id=["']?vericode|name=["']?vericodeForm"""
+FATAL = ("BUDGET_EXHAUSTED", "RATE_LIMITED", "SITE_UNAVAILABLE", "VERIFICATION_TIMEOUT", "LOGIN_REQUIRED", "QUERY_TEMPLATE_UNAVAILABLE", "QUERY_TEMPLATE_UNSUPPORTED", "CANCELLED", "BROWSER_UNAVAILABLE")
+
+
+def error_class(status: Column, body: Column, url: Column) -> Column:
+    """Code of the problem that a response shows; null if it shows none."""
     return (
-        F.when(status == 429, "SITE_LIMITED").when(status.isin(401, 403), "ACCESS_DENIED").when(status >= 500, "SITE_LIMITED")
-        .when(F.lower(body).rlike("captcha|verify you are human|security check"), "VERIFICATION_REQUIRED").otherwise("OK")
+        F.when(status == 429, "RATE_LIMITED").when(body.rlike(CHALLENGE), "VERIFICATION_REQUIRED").when((status == 401) | F.contains(url, F.lit("//login.")), "LOGIN_REQUIRED")
+        .when(status == 403, "ACCESS_DENIED").when(status == 404, "LOCATOR_EXPIRED").when(status >= 500, "SITE_UNAVAILABLE")
     )
 
 
+def fatal(code: Column) -> Column:
+    """Whether a problem ends the run; the others concern one record."""
+    return F.coalesce(code.isin(*FATAL), F.lit(False))
+
+
+def with_context(problems: DataFrame, stage: str, *keys: str) -> DataFrame:
+    """problems (code, ref, title) with the stage they arose in: (keys, code, fatal, details); details name the record where the problem is not fatal."""
+    about = F.struct(F.col("ref").alias("record_ref"), "title", F.lit(stage).alias("stage"))
+    return problems.select(*keys, "code", fatal(F.col("code")).alias("fatal"), F.when(~fatal(F.col("code")), F.to_json(about)).alias("details"))
+
+
 @dataclass
 class Operation:
-    """Audit record of a run; cancelling interrupts its Spark jobs by tag."""
+    """Audit record of a run: budget, stages, progress, errors; cancelling interrupts its Spark jobs by tag.
+
+    A run whose budget ends is partial: what its stages have finished is its checkpoint, from which
+    a run of the same id goes on with a larger budget.
+    """
 
     kind: str
     budget: int = 600
@@ -76,53 +108,211 @@ class Operation:
     used: int = 0
     errors: list[str] = field(default_factory=list)
     done: list[str] = field(default_factory=list)
+    progress: tuple[int, int] | None = None
 
     def charge(self, n: int = 1) -> None:
+        if self.status == "cancelled":
+            raise OperationStopped("CANCELLED")
         if self.used + n > self.budget:
             self.status = "interrupted"
             self.errors.append("BUDGET_EXHAUSTED")
-            raise RuntimeError("BUDGET_EXHAUSTED")
+            raise OperationStopped("BUDGET_EXHAUSTED")
         self.used += n
 
+    def resumed(self, extra: int = 200) -> Operation:
+        """The same run with more budget, its errors cleared."""
+        if self.status == "completed":
+            raise QueryError("OPERATION_STATE", "the run is finished")
+        if not resumable_run(self):
+            raise QueryError("CONTINUE_UNAVAILABLE", self.id)
+        return replace(self, budget=max(self.budget, self.used) + extra, status="running", errors=[], done=list(self.done))
+
     def start(self, spark: SparkSession, stage: str) -> None:
         spark.addTag(self.id)
         self.stage = stage
 
-    def finish(self, spark: SparkSession, stage: str) -> None:
+    def finish(self, spark: SparkSession, stage: str, failed: bool = False) -> None:
         spark.removeTag(self.id)
-        self.done.append(stage)
+        if not failed:
+            self.done.append(stage)
 
     def cancel(self, spark: SparkSession) -> None:
         spark.interruptTag(self.id)
         self.status = "cancelled"
 
+    def view(self) -> dict:
+        """What a client sees: a finished run is its status, any other one says how to go on."""
+        if self.status == "completed":
+            return {"status": "completed"}
+        out: dict = {"status": self.status}
+        if self.status in ("running", "interrupted", "partial"):
+            out["operation_id"] = self.id
+        if self.status == "running":
+            out |= {"stage": self.stage} if self.stage else {}
+            out |= {"progress": "{}/{}".format(*self.progress)} if self.progress else {}
+        elif self.errors:
+            out["errors"] = [{"code": e} for e in self.errors]
+        if self.kind == "search" and resumable_run(self):
+            out["next"] = "resume(search_id)"
+        return out
+
+
+class OperationStopped(RuntimeError):
+    """A run's budget is used up or it was cancelled."""
+
+
+def resumable_run(op: Operation) -> bool:
+    return op.status in ("interrupted", "partial") or any(e in RESUMABLE for e in op.errors)
+
 
 class Store:
-    """Parquet tables below a root, one folder per version; the newest complete version is read."""
+    """Parquet tables below a root.
+
+    A table is a base version, written as a whole, and the batches appended since. A batch has a name;
+    one that is there already is not written again, so a replay changes nothing, and writers of
+    different batches do not meet. compact() makes a new base, whose list of batches is written before
+    it, so that a crash between the two neither loses nor doubles a row.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        schema = f"{self.root}/schema"
+        if self.root and not self._names(f"{self.root}") and not self._exists(schema):
+            spark.createDataFrame([(SCHEMA_VERSION,)], "version int").coalesce(1).write.mode("ignore").json(schema)
+        elif self._exists(schema):
+            version = spark.read.json(schema).first()["version"]
+            if version != SCHEMA_VERSION:
+                raise QueryError("STORE_VERSION", f"version {version}, expected {SCHEMA_VERSION}")
+
+    def _exists(self, path: str) -> bool:
+        p = self._path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def _names(self, path: str) -> list[str]:
+        p = self._path(path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _complete(self, name: str, lead: str) -> list[str]:
+        base = f"{self.root}/v{SCHEMA_VERSION}/{name}"
+        return [n[2:] for n in self._names(base) if n.startswith(lead) and self._exists(f"{base}/{n}/_SUCCESS")]
 
     def versions(self, name: str) -> list[int]:
-        fs, p = self._fs(f"{self.root}/v{SCHEMA_VERSION}/{name}")
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n[2:]) for n in names if n.startswith("n=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{p}/{n}/_SUCCESS")))
+        return sorted({int(n.split("-")[0]) for n in self._complete(name, "n=")})
+
+    def batches(self, name: str) -> list[str]:
+        """Names of the appended batches that the base does not hold."""
+        held = self._held(name)
+        return [b for b in self._complete(name, "a=") if b not in held]
+
+    def _base(self, name: str) -> str | None:
+        found = sorted(self._complete(name, "n="), key=lambda n: (int(n.split("-")[0]), n))
+        return found[-1] if found else None
+
+    def _held(self, name: str) -> set[str]:
+        base = self._base(name)
+        path = f"{self.root}/v{SCHEMA_VERSION}/{name}/m={base}"
+        return {r["batch"] for r in self.spark.read.schema("batch string").json(path).collect()} if base and self._exists(path) else set()
+
+    def has(self, name: str, batch: str) -> bool:
+        return batch in self._held(name) or batch in self._complete(name, "a=")
 
     def read(self, name: str) -> DataFrame | None:
-        found = self.versions(name)
-        return self.spark.read.parquet(f"{self.root}/v{SCHEMA_VERSION}/{name}/n={found[-1]}") if found else None
+        folder, base = f"{self.root}/v{SCHEMA_VERSION}/{name}", self._base(name)
+        parts = [self.spark.read.parquet(f"{folder}/n={base}")] if base else []
+        parts += [self.spark.read.parquet(f"{folder}/a={b}") for b in self.batches(name)]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
     def write(self, name: str, df: DataFrame) -> None:
-        """A new version; readers keep theirs."""
-        found = self.versions(name)
-        df.write.mode("errorifexists").parquet(f"{self.root}/v{SCHEMA_VERSION}/{name}/n={(found[-1] if found else 0) + 1}")
+        """A new base in place of all that the table holds; readers keep theirs."""
+        self._rebase(name, df, sorted(self._held(name) | set(self._complete(name, "a="))))
 
-    def append(self, name: str, df: DataFrame) -> None:
-        old = self.read(name)
-        self.write(name, df if old is None else old.unionByName(df, allowMissingColumns=True))
+    def _rebase(self, name: str, df: DataFrame, held: list[str]) -> None:
+        found = self.versions(name)
+        base, folder = f"{(found[-1] if found else 0) + 1}-{uuid.uuid4().hex[:8]}", f"{self.root}/v{SCHEMA_VERSION}/{name}"
+        if held:
+            self.spark.createDataFrame([(b,) for b in held], "batch string").coalesce(1).write.json(f"{folder}/m={base}")
+        df.write.mode("errorifexists").parquet(f"{folder}/n={base}")
+
+    def append(self, name: str, df: DataFrame, batch: str | None = None, partition: str | None = None) -> None:
+        """Adds a batch; one whose name is known is left alone."""
+        batch = batch or uuid.uuid4().hex
+        if self.has(name, batch):
+            return
+        writer = df.write.mode("overwrite")  # what a broken attempt left behind
+        (writer.partitionBy(partition) if partition else writer).parquet(f"{self.root}/v{SCHEMA_VERSION}/{name}/a={batch}")
+
+    def compact(self, name: str, reduce_rows=lambda df: df) -> None:
+        """One base of the base and its batches; reduce_rows may drop rows that others replace."""
+        now = self.read(name)
+        if now is not None and self.batches(name):
+            self._rebase(name, reduce_rows(now), sorted(self._held(name) | set(self.batches(name))))
+
+    def update(self, name: str, key: str, value: str, change) -> None:
+        """Changes the newest row of one key by a function of a one-row table; a new row that supersedes it."""
+        row = current(self.read(name), key).where(F.col(key) == value)
+        self.append(name, change(row.drop("version")).withColumn("version", F.lit(self.next_version(name)).cast("long")))
+
+    def next_version(self, name: str) -> int:
+        """Larger than the version of any row that is stored."""
+        now = self.read(name)
+        return 0 if now is None or "version" not in now.columns else (now.agg(F.max("version")).first()[0] or 0) + 1
+
+
+def current(df: DataFrame, key: str) -> DataFrame:
+    """The row of the highest version of each key; all rows where there are no versions."""
+    return newest(df, key, "version") if "version" in df.columns else df
+
+
+def import_legacy(store: Store, path: str) -> bool:
+    """Papers, sources and artifacts of a version-5 JSON file; another version or an unreadable file leaves the store as it is.
+
+    The file's maps become rows by from_json, so Spark reads it, and each table is one append.
+    """
+    spark = store.spark
+    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("t"))
+    head = text.select(F.try_variant_get(F.try_parse_json("t"), "$.version", "int").alias("v")).first()
+    if head is None or head["v"] != 5:
+        return False
+    for name, key in (("papers", "ref"), ("sources", "key"), ("artifacts", "key")):
+        raw = text.select(F.explode(F.from_json(F.get_json_object("t", f"$.{name}"), "map<string,string>")).alias("key", "record"))
+        rows = raw.where(F.col("record").isNotNull() & (F.col("record") != "null"))
+        if name == "papers":
+            rows = rows.withColumn("ref", F.get_json_object("record", "$.record_ref")).where("ref <> ''").drop("key")
+        store.append(name, rows.select(key, "record"), f"legacy-{name}")
+    return True
+
+
+def check_name(name: str) -> None:
+    if not name or len(name) > 180 or name[0] == "." or name[-1] in ". " or re.search(UNSAFE, name) or re.match(RESERVED, name):
+        raise QueryError("INVALID_FILENAME", name)
+
+
+def write_file(spark: SparkSession, folder: str, name: str, data: bytes) -> tuple[str, int, str]:
+    """Writes one file, whole or not at all and never over another: (path, bytes, SHA-256).
+
+    The bytes go to a file beside the target, which is then renamed; the file system refuses a name
+    that is taken. For outputs of bounded size, such as exports.
+    """
+    check_name(name)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    target, draft = path(f"{folder.rstrip('/')}/{name}"), path(f"{folder.rstrip('/')}/.write_{uuid.uuid4().hex}")
+    fs = target.getFileSystem(conf)
+    if fs.exists(target):
+        raise QueryError("FILE_EXISTS", name)
+    fs.mkdirs(target.getParent())
+    try:
+        out = fs.create(draft, False)
+        out.write(bytearray(data))
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), conf)
+        none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(fs.makeQualified(draft), fs.makeQualified(target), none)
+        except Py4JJavaError as e:
+            raise QueryError("FILE_EXISTS", name) from e
+    finally:
+        fs.delete(draft, False)
+    return target.toString(), len(data), hashlib.sha256(data).hexdigest()

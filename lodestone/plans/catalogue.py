@@ -38,6 +38,14 @@ def s_title(x: str) -> str:
     return f"regexp_replace({s_norm(x)}, ' ?({tx.TITLE_MARKS}) ?', '\\1', 'g')"
 
 
+def s_json(x: str) -> str:
+    """JSON string with the escapes of characters that are unsafe in HTML."""
+    out = f"replace(replace({x}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))"
+    for code in (0x3C, 0x3E, 0x26):
+        out = f"replace({out}, chr({code}), chr(92) || 'u{code:04x}')"
+    return f"(chr(34) || {out} || chr(34))"
+
+
 def s_tokens(x: str) -> str:
     return f"list_distinct(regexp_extract_all(lower({x}), '{TOK}'))"
 
@@ -45,15 +53,17 @@ def s_tokens(x: str) -> str:
 PAPERS = f"""
 base AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title, coalesce(text, '') AS body, source, n_chars FROM documents),
 abst AS (SELECT *, substr(body, length(title) + 2, 400) AS abstract FROM base),
-papers AS (SELECT doc_id, 'cr_' || substr(sha256('"DOC:' || doc_id || '"'), 1, 16) AS ref, title, abstract, source,
-  list_slice(list_sort(list_filter({s_tokens("concat_ws(' ', substr(title, 1, 200), abstract)")}, lambda x: length(x) >= 6)), 1, 5) AS keywords,
+toks AS (SELECT doc_id, regexp_extract_all(lower(concat_ws(' ', title, abstract)), '{TOK}') AS ts FROM abst),
+words AS (SELECT doc_id, w, min(p) AS p FROM (SELECT doc_id, unnest(ts) AS w, unnest(range(len(ts))) AS p FROM toks) WHERE length(w) >= 6 GROUP BY ALL),
+five AS (SELECT doc_id, list_slice(list(w ORDER BY p), 1, 5) AS ws FROM words GROUP BY doc_id),
+papers AS (SELECT doc_id, 'cr_' || substr(sha256('"DOC:' || doc_id || '"'), 1, 16) AS ref, title, abstract, source, coalesce(ws, []) AS keywords,
   ['Author ' || (doc_id % 97), 'Author ' || (doc_id % 89)] AS authors,
   CAST(CASE WHEN doc_id % 17 = 0 THEN 0 ELSE 2015 + doc_id % 11 END AS INTEGER) AS year,
   ['期刊', '会议', '博士', '硕士', '报纸', '其他'][CAST(doc_id % 6 + 1 AS INTEGER)] AS doc_type,
   CASE WHEN doc_id % 13 = 0 THEN NULL ELSE n_chars % 50 END AS cited,
   CASE WHEN doc_id % 7 = 0 THEN '' ELSE '10.1000/' || doc_id END AS doi, CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'https://example.org/abstract/' || doc_id END AS url,
   CAST(doc_id % 30 + 1 AS VARCHAR) AS volume, CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(doc_id % 6 + 1 AS VARCHAR) END AS issue, (doc_id % 100 + 1) || '-' || (doc_id % 100 + 9) AS pages
-  FROM abst)"""
+  FROM abst LEFT JOIN five USING (doc_id))"""
 JOURNAL = """
 src AS (SELECT DISTINCT source, coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER), 4) AS n FROM documents),
 journal AS (SELECT lower(trim(source)) AS source_key, CASE WHEN n % 5 = 4 THEN '' ELSE ['CSSCI', 'SCI', '北大核心', 'EI'][n % 5 + 1] END AS tier_tag,
@@ -309,7 +319,7 @@ def source_keys(spark, d):
     return tables.table(spark, d, "documents").select(tx.source_key(F.concat("source", F.lit(" （A）. 。"))).alias("key")).distinct()
 
 
-@query("doi_keys", "SELECT doc_id, 'x/' || doc_id AS key FROM documents")
+@query("doi_keys", """SELECT doc_id, regexp_replace(lower(trim(['https://doi.org/', 'http://doi.org/', 'doi:', ' DOI:', ''][CAST(doc_id % 5 + 1 AS INTEGER)] || 'X/' || doc_id)), '^(https://doi[.]org/)?(http://doi[.]org/)?(doi:)?', '') AS key FROM documents""")
 def doi_keys(spark, d):
     prefix = F.element_at(F.array(*map(F.lit, ("https://doi.org/", "http://doi.org/", "doi:", " DOI:", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
     return tables.table(spark, d, "documents").select("doc_id", tx.doi_key(F.concat(prefix, F.lit("X/"), "doc_id")).alias("key"))
@@ -332,7 +342,7 @@ def _linked_papers(spark, d):
 
 LINKED = f"""{PAPERS}, lp AS (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN '10.1/' || (doc_id // 6) ELSE '' END AS doi), CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'DB:F' || (doc_id // 2) END AS native_key,
   CASE WHEN doc_id % 11 = 0 THEN 'cj' ELSE '' END AS dbcode FROM papers),
-  lk AS (SELECT *, doi AS doi_key, CASE WHEN title = '' OR source IS NULL OR year = 0 THEN '' ELSE sha256(concat_ws(chr(31), {s_title('title')}, lower(array_to_string(authors, '|')), {s_norm('source')}, CAST(year AS VARCHAR))) END AS bib_key FROM lp),
+  lk AS (SELECT *, doi AS doi_key, CASE WHEN title = '' OR source IS NULL OR year = 0 THEN '' ELSE sha256('[' || {s_json(s_title('title'))} || ',' || {s_json("lower(array_to_string(authors, '|'))")} || ',' || {s_json(s_norm('source'))} || ',' || year || ']') END AS bib_key FROM lp),
   ks AS (SELECT doc_id, ref, unnest(list_filter([CASE WHEN native_key <> '' THEN 'native:' || native_key END, CASE WHEN doi_key <> '' THEN 'doi:' || doi_key END, CASE WHEN bib_key <> '' THEN 'bib:' || bib_key END], lambda x: x IS NOT NULL)) AS key FROM lk)"""
 
 
@@ -341,14 +351,32 @@ def identity_keys(spark, d):
     return _linked_papers(spark, d).select("ref", F.explode(identity.identity_keys()).alias("key"))
 
 
-@query("dedup_pairs", f"""WITH {LINKED}, lo AS (SELECT key, min(ref) AS a FROM ks GROUP BY key), pr AS (SELECT DISTINCT a, ref AS b FROM ks JOIN lo USING (key) WHERE ref <> a)
-  SELECT a, b FROM pr JOIN lk x ON x.ref = a JOIN lk y ON y.ref = b
-  WHERE NOT (x.doi_key <> '' AND y.doi_key <> '' AND x.doi_key <> y.doi_key) AND NOT (x.native_key <> '' AND y.native_key <> '' AND x.native_key <> y.native_key) AND NOT (x.dbcode <> '' AND y.dbcode <> '' AND x.dbcode <> y.dbcode)
-  AND ((x.doi_key <> '' AND y.doi_key <> '') OR (x.native_key <> '' AND y.native_key <> '') OR (x.bib_key <> '' AND x.bib_key = y.bib_key))""")
+SAME = """NOT (x.doi_key <> '' AND y.doi_key <> '' AND x.doi_key <> y.doi_key) AND NOT (x.native_key <> '' AND y.native_key <> '' AND x.native_key <> y.native_key)
+  AND NOT (x.dbcode <> '' AND y.dbcode <> '' AND lower(x.dbcode) <> lower(y.dbcode)) AND ((x.doi_key <> '' AND y.doi_key <> '') OR (x.native_key <> '' AND y.native_key <> '') OR (x.bib_key <> '' AND x.bib_key = y.bib_key))"""
+
+
+@query("dedup_pairs", f"""WITH {LINKED}, linked AS (SELECT DISTINCT x.ref AS a, y.ref AS b FROM ks kx JOIN ks ky ON kx.key = ky.key AND kx.ref < ky.ref JOIN lk x ON x.ref = kx.ref JOIN lk y ON y.ref = ky.ref WHERE {SAME}),
+  cl AS (SELECT ref, min(ref) OVER (PARTITION BY doi_key, native_key, lower(dbcode), bib_key) AS rep FROM lk)
+  SELECT a, b, CASE WHEN p.rep = q.rep THEN 'member' ELSE 'pair' END AS kind FROM linked JOIN cl p ON p.ref = a JOIN cl q ON q.ref = b WHERE a = p.rep AND (p.rep = q.rep OR b = q.rep)""")
 def dedup_pairs(spark, d):
+    """Links between classes of equal identifiers, and each class's members."""
     return identity.same_pairs(_linked_papers(spark, d))
 
 
+@query("dedup_links", f"""WITH {LINKED} SELECT x.ref AS ref, count(DISTINCT y.ref) AS n FROM ks kx JOIN ks ky ON kx.key = ky.key AND kx.ref <> ky.ref JOIN lk x ON x.ref = kx.ref JOIN lk y ON y.ref = ky.ref WHERE {SAME} GROUP BY x.ref""")
+def dedup_links(spark, d):
+    """Number of links of each linked paper, from the classes' sizes alone."""
+    return identity.link_counts(_linked_papers(spark, d))
+
+
+@query("key_components", f"""WITH RECURSIVE {LINKED}, e AS (SELECT DISTINCT kx.doc_id AS a, ky.doc_id AS b FROM ks kx JOIN ks ky USING (key)),
+  r(a, b) AS (SELECT doc_id, doc_id FROM lk UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+  SELECT a AS seq, min(b) AS component FROM r GROUP BY a""")
+def key_components(spark, d):
+    """Records that shared keys bring together, directly or through others."""
+    return identity.with_component(_linked_papers(spark, d).withColumn("seq", F.col("doc_id"))).select("seq", "component")
+
+
 @query("merge_observations", f"""WITH {PAPERS}, o AS (
   SELECT ref, s AS seq, s = 2 AS is_detail, CASE WHEN s = 3 THEN title || ' (late)' ELSE title END AS title, source, CASE WHEN s = 3 THEN year + 1 ELSE year END AS year,
     CASE WHEN s = 2 THEN abstract ELSE '' END AS abstract, CASE WHEN s = 1 THEN NULL ELSE cited + s END AS cited FROM papers, (SELECT unnest([1, 2, 3]) AS s) WHERE s = 1 OR (s = 2 AND doc_id % 2 = 0) OR (s = 3 AND doc_id % 3 = 0)),
@@ -370,13 +398,12 @@ def enrich_join(spark, d):
     return p.join(tables.source_quality(spark, d), "source_key", "left").select("ref", F.coalesce(F.col("state") == "present", F.lit(False)).alias("present"), F.round("composite", 6).alias("composite"))
 
 
-@query("title_lookup_status", f"""WITH {PAPERS}, asked AS (SELECT DISTINCT title, {s_title('title')} AS key FROM papers WHERE doc_id % 3 = 0 UNION SELECT 'no such title', 'no such title'),
-  k AS (SELECT {s_title('title')} AS key, count(*) AS n, min(ref) AS ref FROM papers WHERE doc_id % 2 = 0 GROUP BY 1)
+@query("title_lookup_status", f"""WITH {PAPERS}, asked AS (SELECT DISTINCT title, {s_title('title')} AS key FROM papers UNION SELECT 'no such title', 'no such title'),
+  k AS (SELECT {s_title('title')} AS key, count(*) AS n, min(ref) AS ref FROM papers GROUP BY 1)
   SELECT title, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'one' ELSE 'ambiguous' END AS status, coalesce(n, 0) AS matches, CASE WHEN n = 1 THEN ref END AS ref FROM asked LEFT JOIN k USING (key)""")
 def title_lookup_status(spark, d):
     p = tables.papers(spark, d)
-    asked = p.where("doc_id % 3 = 0").select("title").union(spark.createDataFrame([("no such title",)], "title string"))
-    return project.title_status(asked, p.where("doc_id % 2 = 0"))
+    return project.title_status(p.select("title").union(spark.createDataFrame([("no such title",)], "title string")), p)
 
 
 @query("multi_get_ordered", f"WITH {PAPERS} SELECT pos, ref, title FROM papers JOIN (SELECT 'cr_' || substr(sha256('\"DOC:' || (7 * r % 300) || '\"'), 1, 16) AS ref, r AS pos FROM range(0, 40) t(r)) USING (ref)")
@@ -409,11 +436,12 @@ def link_spans_flat(spark, d):
 # ---- projection, paging, text --------------------------------------------------------------------
 
 
-@query("missing_headings", f"SELECT doc_id, array_to_string(list_filter(['Methods', 'A: B', 'Data'], lambda h: NOT list_contains(b, {s_title('h')})), ',') AS missing FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['methods', 'a:b'] ELSE ['data'] END AS b FROM documents)")
+@query("missing_headings", f"""WITH {PAPERS}, h AS (SELECT doc_id, [title, 'Methods', 'A: B', source] AS c, [' METHODS ', 'a : b', CASE WHEN doc_id % 2 = 0 THEN chr(12288) || title || '  ' ELSE source END] AS b FROM papers)
+  SELECT doc_id, md5(array_to_string(list_filter(c, lambda x: NOT list_contains(list_transform(b, lambda y: {s_title('y')}), {s_title('x')})), ',')) AS missing FROM h""")
 def missing_headings(spark, d):
-    body = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(" METHODS "), F.lit("a : b"))).otherwise(F.array(F.lit("data")))
-    catalog = F.array(*map(F.lit, ("Methods", "A: B", "Data")))
-    return tables.table(spark, d, "documents").select("doc_id", F.array_join(project.missing_headings(catalog, body), ",").alias("missing"))
+    catalog = F.array("title", F.lit("Methods"), F.lit("A: B"), "source")
+    body = F.array(F.lit(" METHODS "), F.lit("a : b"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\u3000"), "title", F.lit("  "))).otherwise(F.col("source")))
+    return tables.papers(spark, d).select("doc_id", F.md5(F.array_join(project.missing_headings(catalog, body), ",")).alias("missing"))
 
 
 @query("scope_page", f"WITH {RANKED} SELECT rank, ref FROM ordered WHERE eligible ORDER BY rank LIMIT 20 OFFSET 10")
@@ -480,9 +508,10 @@ def parse_years(spark, d):
     return tables.table(spark, d, "orders").select("o_orderkey", big(tx.parse_year(F.concat(F.lit("on "), F.date_format("o_orderdate", "dd.MM.yyyy")))).alias("y"))
 
 
-@query("author_roles", "SELECT c_custkey, array_to_string(CASE WHEN c_custkey % 2 = 0 THEN ['Ann', 'Bo'] ELSE ['Ann'] END, ';') AS names FROM customer")
+@query("author_roles", """WITH n AS (SELECT c_custkey, list_transform([' ' || c_name || '(文)', lower(c_name) || ' （主编）', CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || '（其他）' ELSE c_mktsegment END], lambda x: trim(regexp_replace(x, '\\s*[（(](?:文|著|编|译|主编|编著|编译|撰|撰文|执笔|整理|口述|摄|图|供稿)[）)]$', ''))) AS a FROM customer)
+  SELECT c_custkey, array_to_string(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(y)), lower(x)) = i), ';') AS names FROM n""")
 def author_roles(spark, d):
-    names = F.array(F.lit(" Ann1,2"), F.lit("ann *"), F.when(F.col("c_custkey") % 2 == 0, F.lit("Bo;3")).otherwise("ANN"))
+    names = F.array(F.concat(F.lit(" "), "c_name", F.lit("(文)")), F.concat(F.lower("c_name"), F.lit(" （主编）")), F.when(F.col("c_custkey") % 2 == 0, F.concat("c_mktsegment", F.lit("（其他）"))).otherwise(F.col("c_mktsegment")))
     return tables.table(spark, d, "customer").select("c_custkey", F.array_join(tx.author_names(names), ";").alias("names"))
 
 
@@ -491,19 +520,22 @@ def nonspace_chars(spark, d):
     return tables.table(spark, d, "documents").select("doc_id", big(tx.nonspace_chars(F.coalesce("text", F.lit("")))).alias("n"))
 
 
-@query("public_urls", """SELECT page_id, CASE WHEN page_id % 3 = 0 OR page_id % 5 = 0 THEN '' ELSE u END AS public FROM (SELECT page_id,
-  'https://www.example.org/Abstract/' || page_id || '?a=1' AS u FROM pages)""")
+@query("public_urls", r"""WITH u AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'http' ELSE 'https' END || '://' || ['www.example.org', 'example.com', 'evil.org', 'example.org.evil.net'][CAST(page_id % 4 + 1 AS INTEGER)] || '/Abstract/' || page_id || '?a=1' || CASE WHEN page_id % 3 = 0 THEN '&AccessToken=x' ELSE '' END AS u FROM pages)
+  SELECT page_id, CASE WHEN u LIKE 'https://%' AND regexp_matches(split_part(u, '/', 3), '^(.*[.])?example[.](org|com)$') AND contains(lower(u), '/abstract') AND NOT regexp_matches(lower(u), 'token|ticket|session|password|signature') THEN u ELSE '' END AS public FROM u""")
 def public_urls(spark, d):
     i = F.col("page_id")
     bad = F.when(i % 3 == 0, "&AccessToken=x").otherwise("")
     scheme = F.when(i % 5 == 0, "http").otherwise("https")
-    return tables.table(spark, d, "pages").select("page_id", tx.public_url(F.concat(scheme, F.lit("://www.example.org/Abstract/"), i, F.lit("?a=1"), bad)).alias("public"))
+    host = F.element_at(F.array(*map(F.lit, ("www.example.org", "example.com", "evil.org", "example.org.evil.net"))), (i % 4 + 1).cast("int"))
+    return tables.table(spark, d, "pages").select("page_id", tx.public_url(F.concat(scheme, F.lit("://"), host, F.lit("/Abstract/"), i, F.lit("?a=1"), bad)).alias("public"))
 
 
-@query("safe_file_names", f"""WITH {PAPERS}, n AS (SELECT doc_id, regexp_replace(title, '[\\x00-\\x1F\\x7F<>:"/\\\\|?*]', '_', 'g') AS t FROM papers),
-  m AS (SELECT doc_id, trim(substr(trim(t, ' .'), 1, 75), ' .') AS t FROM n) SELECT doc_id, CASE WHEN t = '' THEN 'untitled' WHEN regexp_matches(upper(t), '^(CON|PRN|AUX|NUL|COM[0-9]|LPT[0-9])([.].*)?$') THEN '_' || t ELSE t END AS name FROM m""")
+@query("safe_file_names", f"""WITH {PAPERS}, n AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'com' || (doc_id % 10) || '.x' WHEN 1 THEN ' . ' WHEN 2 THEN title || chr(127) ELSE title END AS t FROM papers),
+  m AS (SELECT doc_id, substr(trim(regexp_replace(t, '[\\x00-\\x1F/\\\\<>:"|?*]', '_', 'g'), '. '), 1, 75) AS t FROM n) SELECT doc_id, CASE WHEN t = '' OR regexp_matches(t, '^(?i:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])([.]|$)') THEN '论文_' || t ELSE t END AS name FROM m""")
 def safe_file_names(spark, d):
-    return tables.papers(spark, d).select("doc_id", tx.safe_file_name("title").alias("name"))
+    i = F.col("doc_id")
+    title = F.when(i % 5 == 0, F.concat(F.lit("com"), i % 10, F.lit(".x"))).when(i % 5 == 1, " . ").when(i % 5 == 2, F.concat("title", F.lit("\x7f"))).otherwise(F.col("title"))
+    return tables.papers(spark, d).select("doc_id", tx.safe_file_name(title).alias("name"))
 
 
 # ---- citations -----------------------------------------------------------------------------------
@@ -571,10 +603,10 @@ for _style in cite.FORMATS:
     query(f"cite_{_style}", f"{NUMBERED} SELECT n, ref, {STYLES[_style]} AS text FROM c" if _style in STYLES else None)(_cite(_style))
 
 
-@query("cite_joined", f"""{NUMBERED} SELECT string_agg({STYLES["apa"]}, chr(10) || chr(10) ORDER BY n) AS text, count(*) AS "count" FROM c WHERE n <= 20""")
+@query("cite_joined", f"""{NUMBERED} SELECT (n - 1) // 1000 AS export, string_agg({STYLES["apa"]}, chr(10) || chr(10) ORDER BY n) AS text, count(*) AS "count" FROM c GROUP BY 1""")
 def cite_joined(spark, d):
-    """An export is a bounded list: the first twenty."""
-    return cite.joined(cite.citations(tables.papers(spark, d).orderBy("ref").limit(20), "apa"))
+    """All papers in exports of the largest size."""
+    return cite.joined(cite.citations(tables.papers(spark, d), "apa"), size=1000)
 
 
 @query("missing_fields", f"WITH {PAPERS} SELECT ref, CASE WHEN year = 0 THEN 'year' ELSE '' END AS missing FROM papers")
@@ -689,8 +721,28 @@ def conversation_pages(spark, d):
     return tables.table(spark, d, "conversations").select("conv_id", "turn", "role", big(F.floor((F.row_number().over(w) - 1) / 3)).alias("page"))
 
 
-@query("error_classes", """SELECT page_id, CASE WHEN s = 429 THEN 'SITE_LIMITED' WHEN s = 403 THEN 'ACCESS_DENIED' WHEN s >= 500 THEN 'SITE_LIMITED' WHEN regexp_matches(lower(html), 'captcha|verify you are human|security check') THEN 'VERIFICATION_REQUIRED' ELSE 'OK' END AS class
-  FROM (SELECT page_id, html, [200, 429, 403, 503][CAST(page_id % 4 + 1 AS INTEGER)] AS s FROM pages)""")
+STATUSES = (200, 429, 403, 503, 401, 404, 200)
+
+
+@query("error_classes", f"""SELECT page_id, CASE WHEN s = 429 THEN 'RATE_LIMITED' WHEN regexp_matches(b, '<title>\\s*安全验证\\s*</title>|id=["'']?vericode|name=["'']?vericodeForm') THEN 'VERIFICATION_REQUIRED' WHEN s = 401 OR contains(u, '//login.') THEN 'LOGIN_REQUIRED'
+  WHEN s = 403 THEN 'ACCESS_DENIED' WHEN s = 404 THEN 'LOCATOR_EXPIRED' WHEN s >= 500 THEN 'SITE_UNAVAILABLE' END AS class
+  FROM (SELECT page_id, {list(STATUSES)}[CAST(page_id % 7 + 1 AS INTEGER)] AS s, html || CASE WHEN page_id % 5 = 0 THEN '<title> 安全验证</title>' WHEN page_id % 5 = 1 THEN '<input id=vericode>' ELSE '' END AS b, CASE WHEN page_id % 11 = 0 THEN 'https://login.example.org/' ELSE url END AS u FROM pages)""")
 def error_classes(spark, d):
-    status = F.element_at(F.array(*map(F.lit, (200, 429, 403, 503))), (F.col("page_id") % 4 + 1).cast("int"))
-    return tables.table(spark, d, "pages").select("page_id", state.error_class(status, F.col("html")).alias("class"))
+    i = F.col("page_id")
+    status = F.element_at(F.array(*map(F.lit, STATUSES)), (i % 7 + 1).cast("int"))
+    body = F.concat("html", F.when(i % 5 == 0, "<title> 安全验证</title>").when(i % 5 == 1, "<input id=vericode>").otherwise(""))
+    return tables.table(spark, d, "pages").select("page_id", state.error_class(status, body, F.when(i % 11 == 0, "https://login.example.org/").otherwise(F.col("url"))).alias("class"))
+
+
+@query("problem_details", """SELECT page_id, c AS code, c = 'RATE_LIMITED' AS fatal, CASE WHEN c <> 'RATE_LIMITED' THEN '{"record_ref":"p' || page_id || '","title":"t","stage":"detail"}' END AS details
+  FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'RATE_LIMITED' ELSE 'ACCESS_DENIED' END AS c FROM pages)""")
+def problem_details(spark, d):
+    p = tables.table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, "RATE_LIMITED").otherwise("ACCESS_DENIED").alias("code"), F.concat(F.lit("p"), "page_id").alias("ref"), F.lit("t").alias("title"))
+    return state.with_context(p, "detail", "page_id")
+
+
+@query("cached_searches", f"""SELECT event_type AS cache_key, arg_max(event_id, (ts, event_id)) AS event_id FROM events WHERE ts > TIMESTAMP '{AS_OF}' - INTERVAL 10 MINUTE AND ts <= TIMESTAMP '{AS_OF}' GROUP BY event_type""")
+def cached_searches(spark, d):
+    """The newest search of each key within ten minutes."""
+    e = _events(spark, d).where(F.col("ts") <= _as_of()).withColumnRenamed("event_type", "cache_key").withColumn("at", F.struct("ts", "event_id"))
+    return state.newest(state.cached(e, _as_of()).select("cache_key", "event_id", "at"), "cache_key", "at").select("cache_key", "event_id")

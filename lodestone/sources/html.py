@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.cluster import ship
+
 MAX_BYTES = 8 << 20
 DROPPED = {"script", "style", "noscript", "template"}
 BLOCKS = {"p", "div", "section", "article", "li", "tr", "td", "th", "table", "ul", "ol", "br", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "header", "footer", "main", "title"}
@@ -111,5 +113,6 @@ def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
                 ["page_id", "title", "text", "sections", "links", "error"],
             )
 
+    ship(pages.sparkSession)
     schema = f"page_id {kind}, title string, text string, sections array<struct<level:int,title:string,offset:bigint>>, links array<string>, error string"
     return pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, schema)

@@ -31,10 +31,10 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.coalesce("text", F.lit(""))
     df = table(spark, sf_dir, "documents").select("doc_id", F.substring_index(body, "\n", 1).alias("title"), body.alias("body"), "source", "n_chars")
     df = df.withColumn("abstract", F.substr("body", F.char_length("title") + 2, F.lit(400))).drop("body")
-    words = F.filter(tx.latin_tokens(F.concat_ws(" ", F.substr("title", F.lit(1), F.lit(200)), "abstract")), lambda x: F.char_length(x) >= 6)
+    words = F.filter(tx.latin_tokens(F.concat_ws(" ", "title", "abstract")), lambda x: F.char_length(x) >= 6)
     kind = F.element_at(F.array(*map(F.lit, DOC_TYPES)), (i % 6 + 1).cast("int"))
     return df.select(
-        "doc_id", tx.record_ref(tx.native_key(F.lit("DOC"), i.cast("string"))).alias("ref"), "title", "abstract", "source", F.slice(F.array_sort(words), 1, 5).alias("keywords"),
+        "doc_id", tx.record_ref(tx.native_key(F.lit("DOC"), i.cast("string"))).alias("ref"), "title", "abstract", "source", F.slice(words, 1, 5).alias("keywords"),
         F.array(F.concat(F.lit("Author "), i % 97), F.concat(F.lit("Author "), i % 89)).alias("authors"),
         F.when(i % 17 == 0, 0).otherwise(2015 + i % 11).cast("int").alias("year"), kind.alias("doc_type"),
         F.when(i % 13 == 0, None).otherwise(F.col("n_chars") % 50).alias("cited"),

@@ -37,7 +37,7 @@ def test_identity_pairs(spark, other, same, detail):
 def test_conflicts_veto(spark):
     rows = [("a", "T", ["A"], "S", 2020, "10.1/x", "D", "CJ", "f1"), ("b", "T", ["A"], "S", 2020, "https://doi.org/10.1/Y", "D", "cj", "f1"), ("c", "T", ["A"], "S", 2020, "DOI:10.1/X", "", "", ""), ("d", "T", ["A"], "S", 2020, "", "d", "ZZ", "F1")]
     df = identity.with_keys(spark.createDataFrame(rows, FIELDS))
-    assert sorted(tuple(r) for r in identity.same_pairs(df).collect()) == [("a", "c")]
+    assert sorted(tuple(r) for r in identity.same_pairs(df).collect()) == [("a", "c", "pair"), ("c", "d", "pair")]
     seq = df.withColumn("seq", F.ascii("ref").cast("long"))
     assert {r.seq: r.ref for r in identity.resolve(seq).collect()} == {97: "a", 98: "b", 99: "a", 100: "d"}
 
@@ -138,7 +138,10 @@ def test_text_functions(spark):
     assert one(tx.source_key(F.lit("J　（X）。."))) == "j (x)"
     assert one(tx.title_key(F.lit(" A ： B"))) == "a：b"
     assert one(tx.public_url(F.lit("https://evil.org/abstract/1"))) == ""
-    assert one(tx.safe_file_name(F.lit("con.txt"))) == "_con.txt"
+    names = {"con.txt": "论文_con.txt", "com0": "com0", "COM1": "论文_COM1", "a\x7fb/c": "a\x7fb_c", " .": "论文_", "x" * 74 + ". y": "x" * 74 + "."}
+    assert {k: one(tx.safe_file_name(F.lit(k))) for k in names} == names
+    assert one(tx.json_string(F.lit('a"b\\c<&>\x01\n'))) == '"a\\"b\\\\c\\u003c\\u0026\\u003e\\u0001\\n"'
+    assert one(tx.author_names(F.array(F.lit("Li(文)"), F.lit("Li （主编）"), F.lit("Bo3")))) == ["Li", "Bo3"]
     assert one(tx.parse_count(F.lit("x"))) is None
 
 
@@ -151,7 +154,19 @@ def test_state(spark, tmp_path):
     assert store.read("t") is None
     store.append("t", df)
     store.append("t", df)
-    assert store.read("t").count() == 6 and store.versions("t") == [1, 2]
+    assert store.read("t").count() == 6 and store.versions("t") == [] and len(store.batches("t")) == 2
+    store.append("t", df, "named")
+    store.append("t", df, "named")
+    assert store.read("t").count() == 9
+    store.compact("t")
+    assert store.read("t").count() == 9 and store.versions("t") == [1] and store.batches("t") == []
+    store.append("t", df, "named")
+    assert store.read("t").count() == 9
+    store.write("t", df)
+    assert store.read("t").count() == 3
+    spark.createDataFrame([(99,)], "version int").write.json(str(tmp_path / "foreign" / "schema"))
+    with pytest.raises(ex.QueryError):
+        state.Store(spark, str(tmp_path / "foreign"))
     op = state.Operation("search", budget=2)
     op.charge(2)
     with pytest.raises(RuntimeError):
@@ -201,7 +216,7 @@ def test_streaming_upsert(spark, tmp_path):
     upsert.run_upserts(stream, store, str(tmp_path / "check")).awaitTermination(300)
     columns = ("ref", "title", "source", "year", "abstract", "cited")
     want = {tuple(r) for r in identity.merge_observations(o).select(*columns).collect()}
-    assert {tuple(r) for r in store.read("papers").select(*columns).collect()} == want
+    assert {tuple(r) for r in upsert.merged_papers(store).select(*columns).collect()} == want
 
 
 def test_components_of_a_long_chain(spark):
@@ -211,3 +226,125 @@ def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame(rows + [(n, "alone", "", "", "", "")], "seq long, ref string, native_key string, doi_key string, bib_key string, dbcode string")
     got = {r.seq: r.component for r in identity.with_component(df).collect()}
     assert got == {s: 0 for s in order} | {n: n}
+
+
+def test_replayed_batches_change_nothing(spark, tmp_path):
+    o = tables.observations(spark, str(DATA))
+    store = state.Store(spark, str(tmp_path / "store"))
+    for seq in (1, 2, 2, 1, 3):
+        upsert.upsert(store, o.where(F.col("seq") == seq), f"b{seq}")
+    columns = ("ref", "title", "source", "year", "abstract", "cited")
+    want = {tuple(r) for r in identity.merge_observations(o).select(*columns).collect()}
+    assert store.read("observations").count() == o.count()
+    upsert.compact(store)
+    assert {tuple(r) for r in upsert.merged_papers(store).select(*columns).collect()} == want
+    ref = o.first().ref
+    store.update("papers", "ref", ref, lambda row: row.withColumn("title", F.lit("new")))
+    assert [r.title for r in upsert.merged_papers(store).where(F.col("ref") == ref).collect()] == ["new"]
+
+
+def test_links_survive_a_conflicting_first_record(spark):
+    """a and b share a DOI with c, a conflicts with both by database: b-c stays."""
+    rows = [("a", "", "D", "x", ""), ("b", "", "D", "y", ""), ("c", "", "D", "y", ""), ("d", "N", "", "", "B"), ("e", "M", "", "", "B"), ("f", "", "", "", "B"), ("g", "", "", "z", ""), ("h", "", "", "z", "")]
+    df = spark.createDataFrame(rows, "ref string, native_key string, doi_key string, dbcode string, bib_key string")
+    assert {(r.a, r.b, r.kind) for r in identity.same_pairs(df).collect()} == {("b", "c", "member"), ("d", "f", "pair"), ("e", "f", "pair")}
+    assert {r.ref: r.n for r in identity.link_counts(df).collect()} == {"b": 1, "c": 1, "d": 1, "e": 1, "f": 2}
+
+
+def brute_resolve(rows):
+    known, out = {}, {}
+    for seq, ref, native, doi, bib, dbcode in sorted(rows):
+        new = {"native": native, "doi": doi, "bib": bib, "dbcode": dbcode}
+        match = None
+        for r in sorted(known):
+            old = known[r]
+            shares = any(new[k] and (k, new[k]) in old["all"] for k in ("native", "doi", "bib"))
+            conflict = any(old["now"][k] and new[k] and old["now"][k].lower() != new[k].lower() for k in ("native", "doi", "dbcode"))
+            agree = any(old["now"][k] and new[k] for k in ("native", "doi")) or (new["bib"] and new["bib"] == old["now"]["bib"])
+            if shares and agree and not conflict:
+                match = r
+                break
+        if match is None:
+            match = ref if ref not in known else f"{ref}_{seq}"
+            known[match] = {"now": dict(new), "all": set()}
+        known[match]["now"] |= {k: v for k, v in new.items() if v}
+        known[match]["all"] |= {(k, v) for k, v in new.items() if v}
+        out[seq] = match
+    return out
+
+
+def test_resolve_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    pick = lambda lead, n: rng.choice(["", *(f"{lead}{k}" for k in range(n))])
+    rows = [(k, f"r{rng.randint(0, 150)}", pick("N", 30), pick("D", 30), pick("B", 30), pick("c", 2)) for k in range(300)]
+    df = spark.createDataFrame(rows, "seq long, ref string, native_key string, doi_key string, bib_key string, dbcode string")
+    assert {r.seq: r.ref for r in identity.resolve(df).collect() if any(rows[r.seq][2:5])} == {k: v for k, v in brute_resolve(rows).items() if any(rows[k][2:5])}
+
+
+def test_search_phases_budget_and_resume(spark, tmp_path):
+    p = tables.papers(spark, str(DATA))
+    bare = p.withColumn("abstract", F.lit(""))
+    details = p.select("ref", "title", "abstract", F.lit(1).alias("parser"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("detail_at"))
+    engine = Engine(spark, bare, tables.source_quality(spark, str(DATA)), str(tmp_path / "e"), details=details)
+    asked = {"concept_groups": [["tion", "ment"], ["the", "der"]]}
+    stopped = engine.search(**asked, as_of="2026-06-01 00:00:00", budget=20)  # the details are too old to be free
+    assert stopped.operation.status == "partial" and stopped.operation.done == ["retrieve", "pool"] and stopped.operation.used <= 20
+    assert stopped.output(bare)["operation"]["errors"] == [{"code": "BUDGET_EXHAUSTED"}]
+    whole = engine.resume(stopped.search_id, 500)
+    assert whole.operation.status == "completed" and whole.search_id == stopped.search_id
+    assert whole.operation.done == ["retrieve", "pool", "enrich", "feedback", "enrich_feedback", "rank"]
+    n = whole.summary()["candidates"]
+    assert whole.operation.used > 20 and n >= whole.summary()["eligible"]
+    fresh = engine.search(**asked, as_of="2024-01-15 00:00:00")
+    assert fresh.operation.used < whole.operation.used  # details read lately cost nothing
+    shown = fresh.output(p, limit=3)
+    assert len(shown["rows"]) <= 3 and shown["plan"]["channels"]["rows"][0][0] == "q1" and "abstract" not in shown["fields"]
+    for bad in (lambda: engine.resume("cs_nope"), lambda: whole.operation.resumed()):
+        with pytest.raises(ex.QueryError):
+            bad()
+
+
+def test_details_of_another_paper_are_refused(spark):
+    papers = spark.createDataFrame([("a", "One", "", ["x"]), ("b", "Two", "kept", [])], "ref string, title string, abstract string, keywords array<string>")
+    details = spark.createDataFrame([("a", " ONE", "new", ["k"]), ("b", "Other", "lost", ["k"])], "ref string, title string, abstract string, keywords array<string>")
+    assert {r.ref: (r.abstract, r.keywords) for r in project.with_details(papers, details).collect()} == {"a": ("new", ["k"]), "b": ("kept", [])}
+
+
+def test_quality_view(spark):
+    rows = [("a", "J", "J.", ["EI"], 2.5, None, 2023, "present"), ("b", "J", "K", [], None, None, 0, "unknown"), ("c", "J", "", [], None, None, 0, "unknown"), ("d", "J", "", [], None, None, 0, None)]
+    df = spark.createDataFrame(rows, "ref string, source string, canonical string, tiers array<string>, composite double, aggregate double, metric_year int, state string")
+    got = {r.ref: r.quality and json.loads(r.quality) for r in project.quality_view(df).collect()}
+    assert got == {"a": {"tiers": ["EI"], "composite_impact": 2.5, "metric_year": 2023}, "b": {"journal_page_title": "K"}, "c": {"state": "no_indexing_or_metrics_shown"}, "d": None}
+
+
+def test_files_are_whole_and_never_replaced(spark, tmp_path):
+    path, size, digest = state.write_file(spark, str(tmp_path / "out"), "a.txt", "é\n".encode())
+    assert (tmp_path / "out" / "a.txt").read_bytes() == "é\n".encode() and size == 3 and len(digest) == 64
+    for name in ("a.txt", "con", ".x", "a/b", "x.", ""):
+        with pytest.raises(ex.QueryError):
+            state.write_file(spark, str(tmp_path / "out"), name, b"x")
+    assert sorted(x.name for x in (tmp_path / "out").iterdir() if not x.name.endswith(".crc")) == ["a.txt"]
+
+
+def test_legacy_import(spark, tmp_path):
+    old = {"version": 5, "papers": {"r1": {"record_ref": "r1", "title": "T"}, "x": None, "y": {"title": "no ref"}}, "sources": {"j": {"tiers": ["EI"]}}, "artifacts": {}}
+    (tmp_path / "old.json").write_text(json.dumps(old))
+    store = state.Store(spark, str(tmp_path / "s"))
+    assert state.import_legacy(store, str(tmp_path / "old.json")) and state.import_legacy(store, str(tmp_path / "old.json"))
+    assert [(r.ref, json.loads(r.record)["title"]) for r in store.read("papers").collect()] == [("r1", "T")]
+    assert [r.key for r in store.read("sources").collect()] == ["j"]
+    for text in ("{", json.dumps({"version": 4, "papers": old["papers"]})):
+        (tmp_path / "bad.json").write_text(text)
+        assert not state.import_legacy(state.Store(spark, str(tmp_path / "t")), str(tmp_path / "bad.json"))
+
+
+def test_classes_generate_code(spark):
+    """No fallback to interpreted expressions: the plan of the pairs compiles."""
+    plan = identity.class_pairs(identity.classes(spark.createDataFrame([("a", "", "D", "x", "")], "ref string, native_key string, doi_key string, dbcode string, bib_key string")))
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert plan.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")

@@ -3,43 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+from lodestone.cluster import shared_dir, ship  # noqa: F401
 
-def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, unless their Python path has it anyway."""
-    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
-    if str(root) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_lodestone_sent", False):
-        return
-    target = Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for file in sorted((root / "lodestone").rglob("*.py")):
-            z.write(file, file.relative_to(root))
-    sc.addPyFile(str(target))
-    sc._lodestone_sent = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where the session names none, as in tests, a temporary one, but in local mode only."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
+ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @contextmanager

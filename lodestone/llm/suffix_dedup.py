@@ -9,13 +9,17 @@ just the windows that also start in a smaller document.
 
 One suffix array over a large corpus fits no machine, so equal windows are brought together first.
 Each window of `least` bytes selects its least-hashed k-mer, a choice by content alone. Neighbouring
-windows that select one k-mer form a segment. Segments are grouped by the hash of the k-mer:
-1. within a batch, equal segments keep only those of the smallest document (so a passage that a
-   third of all documents share leaves one row a batch), and across batches they do the same;
-2. segments that share the k-mer and 17 more bytes to one side, but are not equal, fetch their
-   bytes and are resolved by suffix arrays, bucket by bucket. A shared window reaches at least 17
-   bytes beyond the k-mer on one side, so no other segments can share one.
-Buckets are hash ranges whose number follows the input's bytes, so their size stays bounded.
+windows that select one k-mer form a segment, a plain row with the hash of its k-mer:
+1. A batch of text keeps of segments with equal bytes, which are compared there, that of the smallest
+   document, and marks the others. So a passage that a third of all documents share is a row a batch.
+2. One exchange sorts the rows by k-mer. A task reads them as a stream: a k-mer of one document is
+   done; of segments of one identity (128 bits, from two hash families) the smallest document's
+   stays and the others are marked.
+3. A shared window reaches at least 17 bytes beyond the k-mer on one side. So only segments that share
+   the k-mer and 17 bytes to one side, but are not equal, can share a window. They fetch their bytes
+   and meet in groups of k-mer and side, which cut a frequent k-mer up; each group is resolved by the
+   interval tree of its suffix array.
+Tasks hold a bounded number of rows at a time, but for the differing segments of one group.
 
 Defined cases: a null text counts as empty; texts shorter than `least` lose nothing; rows of one
 doc_id are one document, so they take nothing from each other; a missing doc_id counts as the
@@ -31,19 +35,22 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, small_batches, stage, text_of, trim
+from .common import release, ship, small_batches, stage, text_of, trim
 
 LEAST = 50
 KMER = 16
 SIDE = (LEAST - KMER + 1) // 2
 SLICE = 1 << 17
 BATCH_BYTES = 8 << 20
-BYTES_PER_BUCKET = 12 << 20
+BYTES_PER_TASK = 48 << 20
+ROWS_AT_ONCE, ROWS_HELD = 1 << 16, 1 << 20
+SEGMENTS_AT_ONCE = 4096
 NO_ID = (1 << 63) - 1
-_ODD = 0x9E3779B97F4A7C15
+_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POS = 21
 """Bits of a k-mer's sort key that hold its place; slices are shorter than that."""
 
@@ -57,37 +64,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least n, and a random number for each byte."""
-    return _power_table(1 << max(18, (n - 1).bit_length()))  # few sizes, so that few tables are kept
+def _powers(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of a family's base and of its inverse modulo 2^64, at least n, and a random number for each byte."""
+    return _power_table(1 << max(18, (n - 1).bit_length()), family)  # few sizes, so that few tables are kept
 
 
 @cache
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(_ODD, -1, 1 << 64))
-    up, down = np.full(n, _ODD, np.uint64), np.full(n, inverse, np.uint64)
+def _power_table(n: int, family: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    base = _ODD[family]
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64), mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64), mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
+
+
+class _Hashes:
+    """Hashes of all parts of some bytes in one family."""
+
+    def __init__(self, data: np.ndarray, family: int):
+        up, self.down, table = _powers(len(data), family)
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * up[: len(data)], dtype=np.uint64, out=self.total[1:])
+
+    def spans(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (self.total[b] - self.total[a]) * self.down[a]
 
 
 def segments(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     """Segments of concatenated documents that end at `ends` (a slice of at most 2 SLICE bytes).
 
-    Per segment: h (k-mer), seg (all its bytes and their place), lo and hi (first and last window),
-    at (k-mer's place), left and right (hashes of the SIDE bytes beside the k-mer).
+    Per segment: h (k-mer), id and id2 (all its bytes and their place), lo and hi (first and last
+    window), at (k-mer's place), left and right (hashes of the SIDE bytes beside the k-mer).
     """
     n = len(data)
-    empty = {k: np.zeros(0, np.uint64 if k in ("h", "seg", "left", "right") else np.int64) for k in ("h", "seg", "lo", "hi", "at", "left", "right")}
+    empty = {k: np.zeros(0, np.uint64 if k in ("h", "id", "id2", "left", "right") else np.int64) for k in ("h", "id", "id2", "lo", "hi", "at", "left", "right")}
     if n < LEAST:
         return empty
-    up, down, table = _powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(table[data] * up[:n], dtype=np.uint64, out=total[1:])
-
-    def spans(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (total[b] - total[a]) * down[a]
-
-    h = mixed((total[KMER:] - total[:-KMER]) * down[: n - KMER + 1])
+    first_family, second = _Hashes(data, 0), _Hashes(data, 1)
+    spans = first_family.spans
+    h = mixed(spans(np.arange(n - KMER + 1), np.arange(KMER, n + 1)))
     place = np.arange(len(h), dtype=np.uint64)
     key = ((h >> np.uint64(_POS)) << np.uint64(_POS)) | place
     width, low = LEAST - KMER + 1, key
@@ -120,7 +134,8 @@ def segments(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     left = np.where(at - a == SIDE, mixed(spans(a, at)) % np.uint64(65535) + np.uint64(1), np.uint64(0))
     right = np.where(b - at - KMER == SIDE, mixed(spans(at + KMER, b)) % np.uint64(65535) + np.uint64(1), np.uint64(0))
     shape = ((at - lo) * 64 + (hi - lo)).astype(np.uint64)
-    return {"h": h[at], "seg": mixed(spans(lo, hi + LEAST) ^ mixed(shape + np.uint64(1))), "lo": lo, "hi": hi, "at": at, "left": left, "right": right}
+    identity = [mixed(f.spans(lo, hi + LEAST) ^ mixed(shape + np.uint64(1))) for f in (first_family, second)]
+    return {"h": h[at], "id": identity[0], "id2": identity[1], "lo": lo, "hi": hi, "at": at, "left": left, "right": right}
 
 
 def _slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -137,36 +152,40 @@ def _slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         i = j
 
 
-def _first_of_groups(key: np.ndarray) -> np.ndarray:
-    """Number of the run that each sorted key is in."""
-    return np.cumsum(np.append(False, key[1:] != key[:-1]))
+_ROW = ("h", "id", "id2", "doc", "place", "more")
+_SEGMENTS = ", ".join(f"{c} long" for c in _ROW)
+_FOUND = "g long, doc long, row int, lo int, hi int"
+MARK = -1
+"""`more` of a row that is a mark: place is row and lo, id is hi, h only spreads it."""
 
 
-def _least(doc: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Per row the smallest doc of its group; rows are sorted by group."""
-    at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    return np.minimum.reduceat(doc, at)[group] if len(doc) else doc
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
 
-_COLUMNS = {"h": "long", "seg": "long", "left": "short", "right": "short", "lo": "int", "span": "byte", "at": "byte"}
-_OWNERS = {"d_doc": "long", "d_row": "int", "d_n": "int"}
-_MARKS = {"m_doc": "long", "m_row": "int", "m_lo": "int", "m_hi": "int"}
-_TYPES = {"long": (np.int64, pa.int64(), "long"), "int": (np.int32, pa.int32(), "int"), "short": (np.int16, pa.int16(), "short"), "byte": (np.int8, pa.int8(), "tinyint")}
-_ARRAYS = _COLUMNS | _OWNERS | _MARKS
-_BLOCK = "bucket int, " + ", ".join(f"{c} array<{_TYPES[t][2]}>" for c, t in _ARRAYS.items())
-_FOUND = "h long, doc long, row int, lo int, hi int"
+def _spread(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """A value per run to a value per row."""
+    return np.repeat(values, np.diff(np.append(starts, n)))
 
 
-def _block(bucket: int, values: dict[str, np.ndarray]) -> pa.RecordBatch:
-    cols = [pa.array([bucket], pa.int32())]
-    for c, t in _ARRAYS.items():
-        kind, arrow, _ = _TYPES[t]
-        cols.append(pa.ListArray.from_arrays(pa.array([0, len(values[c])], pa.int32()), pa.array(values[c].astype(kind, copy=False), arrow)))
-    return pa.RecordBatch.from_arrays(cols, ["bucket", *_ARRAYS])
+def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes at a and at b agree."""
+    out = np.ones(len(a), bool)
+    for k in range(int(size.max(initial=0))):
+        some = np.flatnonzero(out & (size > k))
+        out[some] = data[a[some] + k] == data[b[some] + k]
+    return out
 
 
-def _blocks_of(ids: np.ndarray, rows: np.ndarray, offsets: np.ndarray, data: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of some documents: segments that may matter to others, marks that these documents alone decide."""
+def _rows_of(ids: np.ndarray, rows: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of some documents: segments that may matter to others, marks that these documents alone decide."""
     got = []
     for ends, at in _slices(data, offsets):
         part = segments(data[at : at + int(ends[-1])], ends)
@@ -176,38 +195,31 @@ def _blocks_of(ids: np.ndarray, rows: np.ndarray, offsets: np.ndarray, data: np.
     if not got:
         return
     s = {c: np.concatenate([p.pop(c) for p in got]) for c in list(got[0])}
-    if not len(s["h"]):
+    total = len(s["h"])
+    if not total:
         return
     n = np.searchsorted(offsets, s["lo"], side="right") - 1
-    span, doc = s["hi"] - s["lo"], ids[n]
-    both = mixed(s["h"]) ^ s["seg"]
-    order = np.argsort(both, kind="stable")
-    run = np.flatnonzero(np.append(True, both[order][1:] != both[order][:-1]))
-    size = np.diff(np.append(run, len(order)))
-    lost = np.zeros(len(order), bool)
-    lost[order] = doc[order] > np.repeat(np.minimum.reduceat(doc[order], run), size)
+    doc, size = ids[n], s["hi"] - s["lo"] + LEAST
+    order = np.lexsort((doc, s["id2"], s["id"]))
+    run = _starts(s["id"][order], s["id2"][order])
+    first = np.empty(total, np.int64)
+    first[order] = _spread(order[run], run, total)
+    copy = np.flatnonzero((doc > doc[first]) & (size == size[first]))
+    copy = copy[_equal_bytes(data, s["lo"][copy], s["lo"][first[copy]], size[copy])]
+    lost = np.zeros(total, bool)
+    lost[copy] = True
     lo = s["lo"] - offsets[n]
-    marks = _joined(doc[lost], rows[n[lost]], lo[lost], (lo + span)[lost] + LEAST)
-    bucket = (s["h"] % np.uint64(buckets)).astype(np.int64)
-    keep = np.flatnonzero(~lost)
-    order = keep[np.argsort(bucket[keep], kind="stable")]
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    turn = np.argsort(marks[0] % buckets, kind="stable")
-    marks = tuple(m[turn] for m in marks)
-    where = np.searchsorted(marks[0] % buckets, np.arange(buckets + 1))
-    s |= {"left": s["left"].astype(np.uint16), "right": s["right"].astype(np.uint16), "at": s["at"] - s["lo"], "lo": lo, "span": span}
-    for k in range(buckets):
-        mine, c, d = order[cuts[k] : cuts[k + 1]], where[k], where[k + 1]
-        if len(mine) or d > c:
-            # rows stay in the order of the documents, so a document is a run
-            new = np.flatnonzero(np.append(True, n[mine][1:] != n[mine][:-1])) if len(mine) else mine
-            owners = n[mine[new]] if len(mine) else mine
-            values = {x: s[x][mine] for x in _COLUMNS} | {"d_doc": ids[owners], "d_row": rows[owners], "d_n": np.diff(np.append(new, len(mine)))}
-            yield _block(k, values | {x: m[c:d] for x, m in zip(_MARKS, marks, strict=True)})
-
-
-def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Per few megabytes of text and bucket one row of arrays."""
+    m_doc, m_row, m_lo, m_hi = _joined(doc[lost], rows[n[lost]], lo[lost], (lo + size)[lost])
+    keep = ~lost
+    more = (s["hi"] - s["lo"]) | (s["at"] - s["lo"]) << 8 | s["left"].astype(np.int64) << 16 | s["right"].astype(np.int64) << 32
+    place = lambda row, at: (row.astype(np.int64) << 32) | at
+    marks = {"h": mixed(m_doc.astype(np.uint64)).view(np.int64), "id": m_hi, "id2": m_hi, "doc": m_doc, "place": place(m_row, m_lo), "more": np.full(len(m_doc), MARK)}
+    found = {"h": s["h"].view(np.int64), "id": s["id"].view(np.int64), "id2": s["id2"].view(np.int64), "doc": doc, "place": place(rows[n], lo), "more": more}
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(found[c][keep], marks[c]).astype(np.int64)) for c in _ROW], list(_ROW))
+
+
+def _segments(docs: DataFrame) -> DataFrame:
+    """Plain rows of docs (doc, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,11 +233,11 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
             i = 0
             while i < len(ids):
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BATCH_BYTES, side="right")) - 1)
-                yield from _blocks_of(ids[i:j], rows[i:j], offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], buckets)
+                yield from _rows_of(ids[i:j], rows[i:j], offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
                 i = j
             trim()
 
-    return docs.select("doc", "row", "text").mapInArrow(run, _BLOCK)
+    return docs.select("doc", "row", "text").mapInArrow(run, _SEGMENTS)
 
 
 def _joined(doc: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -242,47 +254,76 @@ def _joined(doc: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     return doc[at], row[at], lo[at], (np.maximum.reduceat(base + hi, at) - base[at])
 
 
-def _matched(table: pa.Table) -> pa.Table:
-    """Of a bucket: marks (h null), and segments to be resolved by their bytes."""
-    trim()
+def _streamed(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """Batches sorted by key as columns of whole keys; True with a part of a key that has too many rows to hold.
 
-    def column(name: str) -> np.ndarray:
-        return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-
-    s = {c: column(c) for c in _COLUMNS}
-    owners, n = {c: column(c) for c in ("d_doc", "d_row")}, column("d_n")
-    s |= {"doc": np.repeat(owners["d_doc"], n), "row": np.repeat(owners["d_row"], n)}
-    # most k-mers occur once and are done
-    order = np.argsort(s["h"], kind="stable")
-    h = s["h"][order]
-    run = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else order
-    size = np.diff(np.append(run, len(h)))
-    order = order[np.repeat(size > 1, size)]
-    order = order[np.lexsort((s["seg"][order], s["h"][order]))]
-    s = {c: v[order] for c, v in s.items()}
-    h_group = _first_of_groups(s["h"]) if len(order) else order
-    seg_group = np.cumsum(np.append(False, (s["h"][1:] != s["h"][:-1]) | (s["seg"][1:] != s["seg"][:-1]))) if len(order) else order
-    lost = s["doc"] > _least(s["doc"], seg_group)
-    lo, hi = s["lo"].astype(np.int64), s["lo"].astype(np.int64) + s["span"] + LEAST
-    marks = _joined(*(np.append(column(m), x[lost]) for m, x in (("m_doc", s["doc"]), ("m_row", s["row"]), ("m_lo", lo), ("m_hi", hi))))
-    near = np.zeros(len(order), bool)
-    for side in ("left", "right"):
-        # group and side in one number; a side that leaves the document is 0
-        value = h_group * (1 << 16) + (s[side].astype(np.int64) & 0xFFFF)
-        turn = np.argsort(value, kind="stable")
-        v, q, d = value[turn], seg_group[turn], s["doc"][turn]
-        at = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else turn
-        if len(at):
-            several = (np.maximum.reduceat(q, at) > np.minimum.reduceat(q, at)) & (np.maximum.reduceat(d, at) > np.minimum.reduceat(d, at)) & (v[at] % (1 << 16) != 0)
-            near[turn] |= np.repeat(several, np.diff(np.append(at, len(v))))
-    ask = near & ~lost
-    m, k = len(marks[0]), int(ask.sum())
-    cols = {
-        "h": pa.array(np.append(np.zeros(m, np.int64), s["h"][ask]).astype(np.int64), pa.int64(), mask=np.append(np.ones(m, bool), np.zeros(k, bool))),
-        "doc": pa.array(np.append(marks[0], s["doc"][ask]).astype(np.int64)), "row": pa.array(np.append(marks[1], s["row"][ask]).astype(np.int32)),
-        "lo": pa.array(np.append(marks[2], lo[ask]).astype(np.int32)), "hi": pa.array(np.append(marks[3], hi[ask]).astype(np.int32)),
-    }
-    return pa.table(cols)
+    Such a part ends where its id does, or it is one id alone, of which the first row goes on.
+    """
+    held: list[dict[str, np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
+        rows += batch.num_rows
+        last = held[-1][key]
+        if rows < ROWS_AT_ONCE or (last[-1] == held[0][key][0] and rows < ROWS_HELD):
+            continue  # few rows, or one key so far
+        all_ = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+        cut, part = int(np.searchsorted(all_[key], last[-1])), False
+        if not cut:
+            cut, part = int(_starts(all_["id"], all_["id2"])[-1]), True
+        if cut:
+            yield {c: v[:cut] for c, v in all_.items()}, part
+            held = [{c: v[cut:] for c, v in all_.items()}]
+        else:
+            yield all_, True
+            held = [{c: v[:1] for c, v in all_.items()}]
+        rows = len(held[0][key])
+    if held:
+        yield {c: np.concatenate([x[c] for x in held]) for c in held[0]}, False
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by k-mer, identity and document: marks (g null), and segments to be resolved in group g."""
+    for s, part in _streamed(batches, "h"):
+        is_mark = s["more"] == MARK
+        marks = [(s["doc"][is_mark], s["place"][is_mark] >> 32, s["place"][is_mark] & 0xFFFFFFFF, s["id"][is_mark])]
+        s = {c: v[~is_mark] for c, v in s.items()}
+        total = len(s["h"])
+        run = _starts(s["h"], s["id"], s["id2"])
+        lost = s["doc"] > _spread(s["doc"][run], run, total)
+        row, lo = s["place"] >> 32, s["place"] & 0xFFFFFFFF
+        hi = lo + (s["more"] & 0xFF) + LEAST
+        marks.append((s["doc"][lost], row[lost], lo[lost], hi[lost]))
+        # what differs: a row for each side on which another segment of another document agrees
+        out = []
+        for shift, salt in ((16, 0), (32, 1 << 16)):
+            side = s["more"] >> shift & 0xFFFF
+            some = np.flatnonzero(side > 0)  # a side that leaves the document is 0
+            group = mixed(s["h"][some].view(np.uint64) ^ mixed((side[some] + salt + 1).astype(np.uint64))).view(np.int64)
+            number = np.searchsorted(run, some, side="right")
+            if not part:
+                order = np.argsort(group, kind="stable")
+                g, q, d = group[order], number[order], s["doc"][some][order]
+                at = _starts(g)
+                if not len(at):
+                    continue
+                several = (np.maximum.reduceat(q, at) > np.minimum.reduceat(q, at)) & (np.maximum.reduceat(d, at) > np.minimum.reduceat(d, at))
+                near = np.zeros(len(some), bool)
+                near[order] = _spread(several, at, len(g))
+            else:
+                near = np.ones(len(some), bool)  # others of the k-mer are elsewhere in the stream
+            near &= ~lost[some]
+            out.append((group[near], some[near]))
+        g = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in out)])
+        ask = np.concatenate([np.zeros(0, np.int64), *(x for _, x in out)])
+        m = [np.concatenate(x) for x in zip(*marks, strict=True)]
+        cols = [np.append(a, b) for a, b in zip(m, (s["doc"][ask], row[ask], lo[ask], hi[ask]), strict=True)]
+        none = np.append(np.ones(len(m[0]), bool), np.zeros(len(ask), bool))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.zeros(len(m[0]), np.int64), g), mask=none), *(pa.array(c.astype(np.int64)).cast(k) for c, k in zip(cols, kinds, strict=True))], ["g", "doc", "row", "lo", "hi"])
+    trim()
 
 
 def maximal_repeats(data: np.ndarray, ends: np.ndarray, least: int = LEAST) -> Iterator[tuple[int, np.ndarray]]:
@@ -299,9 +340,7 @@ def maximal_repeats(data: np.ndarray, ends: np.ndarray, least: int = LEAST) -> I
     suffix = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner]
     left = ends[owner] - suffix
     # a suffix whose first bytes occur once is in no interval; equal bytes have equal hashes
-    up, down, table = _powers(len(data))
-    total = np.append(np.zeros(1, np.uint64), np.cumsum(table[data] * up[: len(data)], dtype=np.uint64))
-    window = (total[suffix + least] - total[suffix]) * down[suffix]
+    window = _Hashes(data, 0).spans(suffix, suffix + least)
     order = np.argsort(window, kind="stable")
     run = np.flatnonzero(np.append(True, window[order][1:] != window[order][:-1]))
     size = np.diff(np.append(run, len(order)))
@@ -352,37 +391,49 @@ def maximal_repeats(data: np.ndarray, ends: np.ndarray, least: int = LEAST) -> I
                     stack.append([depth, first, side])
 
 
-def _resolved(table: pa.Table) -> pa.Table:
-    """Marks from the bytes of a bucket's segments, one suffix array for each of its k-mers' groups."""
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks from the bytes of segments sorted by group, document and place; whole groups share a suffix array up to a number of segments.
+
+    Equal windows of a group lie at equal distance from its k-mer, so what other groups add is sorted out by the windows' own bytes.
+    """
+    held = None
+
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        g, doc, row, lo = (table[c].to_numpy() for c in ("g", "doc", "row", "lo"))
+        part = table["bytes"].to_pylist()
+        edges = np.append(_starts(g), len(g))
+        i = 0
+        while i < len(edges) - 1:
+            j = i + 1
+            while j < len(edges) - 1 and edges[j + 1] - edges[i] < SEGMENTS_AT_ONCE:
+                j += 1
+            a, b = int(edges[i]), int(edges[j])
+            ends = np.cumsum([len(x) for x in part[a:b]])
+            begin, out = np.append(0, ends[:-1]), []
+            for size, occurrences in maximal_repeats(np.frombuffer(b"".join(part[a:b]), np.uint8), ends):
+                n = np.searchsorted(ends, occurrences, side="right")
+                lost = doc[a + n] > doc[a + n].min()
+                if lost.any():
+                    n = n[lost]
+                    at = lo[a + n] + occurrences[lost] - begin[n]
+                    out.append((doc[a + n], row[a + n], at, at + size))
+            if out:
+                cols = _joined(*(np.concatenate(c) for c in zip(*out, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)).cast(k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc", "row", "lo", "hi"])
+            i = j
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        g = held["g"].to_numpy()
+        cut = int(np.searchsorted(g, g[-1])) if g[0] <= g[-1] else 0
+        if cut >= SEGMENTS_AT_ONCE:
+            yield from found(held.slice(0, cut))
+            held = held.slice(cut).combine_chunks()
+    if held is not None:
+        yield from found(held)
     trim()
-    table = table.sort_by([("h", "ascending"), ("doc", "ascending"), ("row", "ascending"), ("lo", "ascending")])
-    h, doc, row, lo = (table[c].to_numpy() for c in ("h", "doc", "row", "lo"))
-    ctx = table["bytes"].to_pylist()
-    out: list[list[np.ndarray]] = [[], [], [], []]
-    edges = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
-    # groups are gathered up to a bound: equal windows have one k-mer, so groups do not mix
-    i = 0
-    while i < len(edges) - 1:
-        j = i + 1
-        while j < len(edges) - 1 and edges[j + 1] - edges[i] < 4096:
-            j += 1
-        a, b = int(edges[i]), int(edges[j])
-        part = ctx[a:b]
-        ends = np.cumsum([len(x) for x in part])
-        begin = np.append(0, ends[:-1])
-        for size, occurrences in maximal_repeats(np.frombuffer(b"".join(part), np.uint8), ends):
-            n = np.searchsorted(ends, occurrences, side="right")
-            n_doc = doc[a + n]
-            lost = n_doc > n_doc.min()
-            if lost.any():
-                n = n[lost]
-                at = lo[a + n] + occurrences[lost] - begin[n]
-                for col, x in zip(out, (doc[a + n], row[a + n], at, at + size), strict=True):
-                    col.append(x)
-        i = j
-    none = np.zeros(0, np.int64)
-    doc, row, first, last = _joined(*(np.concatenate(c) if c else none for c in out))
-    return pa.table({"doc": pa.array(doc.astype(np.int64)), "row": pa.array(row.astype(np.int32)), "lo": pa.array(first.astype(np.int32)), "hi": pa.array(last.astype(np.int32))})
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -392,30 +443,34 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     body = text_of(docs, text)
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(body).alias("row"), body.alias("text"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(size / BYTES_PER_BUCKET))
-    with small_batches(spark):
-        found = stage(_blocks(keyed, buckets).groupBy("bucket").applyInArrow(_matched, _FOUND), "segments")
-    marks = found.where("h IS NULL").select("doc", "row", "lo", "hi")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BYTES_PER_TASK))
+    with small_batches(spark, 4000):
+        found = stage(_segments(keyed).repartition(tasks, "h").sortWithinPartitions("h", "id", "id2", "doc").mapInArrow(_matched, _FOUND), "segments")
+    marks = found.where("g IS NULL").select("doc", "row", "lo", "hi")
 
-    asked = found.where("h IS NOT NULL").groupBy("doc", "row").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("asked"))
+    asked = found.where("g IS NOT NULL").groupBy("doc", "row").agg(F.collect_list(F.struct("g", "lo", "hi")).alias("asked"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for doc, row, raw, asked in zip(*(batch.column(i) for i in range(4)), strict=True):
+            lists = batch.column(3)
+            n, inner = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten()
+            g, lo, hi = (inner.field(i) for i in range(3))
+            owner = pa.array(np.repeat(np.arange(len(n)), n))
+            texts, at = batch.column(2), 0
+            cut = []
+            for k, raw in zip(n.tolist(), texts, strict=True):
                 data = raw.as_py()
-                for x in asked.as_py():
-                    values = (x["h"] % buckets, x["h"], doc.as_py(), row.as_py(), x["lo"], data[x["lo"] : x["hi"]])
-                    for col, v in zip(cols, values, strict=True):
-                        col.append(v)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "h", "doc", "row", "lo", "bytes"])
+                cut += [data[a:b] for a, b in zip(lo[at : at + k].to_pylist(), hi[at : at + k].to_pylist(), strict=True)]
+                at += k
+            yield pa.RecordBatch.from_arrays([g, batch.column(0).take(owner), batch.column(1).take(owner), lo, pa.array(cut, pa.binary())], ["g", "doc", "row", "lo", "bytes"])
 
     texts = keyed.join(asked, ["doc", "row"]).select("doc", "row", F.col("text").cast("binary").alias("bytes"), "asked")
-    bytes_of = texts.mapInArrow(fetch, "bucket int, h long, doc long, row int, lo int, bytes binary")
+    bytes_of = texts.mapInArrow(fetch, "g long, doc long, row int, lo int, bytes binary")
     with small_batches(spark):
-        resolved = stage(bytes_of.groupBy("bucket").applyInArrow(_resolved, "doc long, row int, lo int, hi int"), "resolved")
-    return marks.union(resolved).groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        resolved = stage(bytes_of.repartition(tasks, "g").sortWithinPartitions("g", "doc", "row", "lo").mapInArrow(_resolved, "doc long, row int, lo int, hi int"), "resolved")
+    out = stage(marks.union(resolved).groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    release(found, resolved)
+    return out
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:

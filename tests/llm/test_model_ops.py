@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -342,7 +343,7 @@ def brute_removal(rows):
 
 
 def test_suffix_dedup_equals_brute_force(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BYTES_PER_BUCKET", 1 << 14)
+    monkeypatch.setattr(suffix_dedup, "BYTES_PER_TASK", 1 << 14)
     rng = random.Random(7)
     blocks = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(20, 120))) for _ in range(30)]
     rows = [
@@ -356,6 +357,35 @@ def test_suffix_dedup_equals_brute_force(spark, tmp_path, monkeypatch):
     assert suffix_dedup.without_spans(none, suffix_dedup.repeated_spans(none)).count() == 0
 
 
+@pytest.mark.parametrize(("at_once", "held"), [(1, 4), (1, 10_000), (50, 60)])
+def test_suffix_streams_of_any_size(monkeypatch, at_once, held):
+    """The stages in one process, on streams cut anywhere: k-mers with more rows than a task holds lose nothing."""
+    monkeypatch.setattr(suffix_dedup, "ROWS_AT_ONCE", at_once)
+    monkeypatch.setattr(suffix_dedup, "ROWS_HELD", held)
+    monkeypatch.setattr(suffix_dedup, "SEGMENTS_AT_ONCE", 5)
+    rng = random.Random(14)
+    hot = "the very same passage that a third of all documents share, " * 2
+    rows = [(k, (hot if k % 3 == 0 else "") + "".join(rng.choice(["a" * rng.randint(1, 90), hot[rng.randint(0, 40) :], "".join(rng.choice("xyz") for _ in range(30))]) for _ in range(4))) for k in range(120)]
+    rng.shuffle(rows)
+    got = []
+    for k in range(0, len(rows), 10):
+        some = [t.encode() for _, t in rows[k : k + 10]]
+        ids = np.array([i for i, _ in rows[k : k + 10]], np.int64)
+        got += suffix_dedup._rows_of(ids, ids.astype(np.int32), np.cumsum([0, *map(len, some)]), np.frombuffer(b"".join(some), np.uint8))
+
+    def dealt(table, *by):
+        return table.sort_by([(c, "ascending") for c in by]).to_batches(max_chunksize=7)
+
+    found = pa.Table.from_batches(suffix_dedup._matched(iter(dealt(pa.Table.from_batches(got), "h", "id", "id2", "doc")))).to_pylist()
+    text = {i: t.encode() for i, t in rows}
+    asked = [{**r, "bytes": text[r["doc"]][r["lo"] : r["hi"]]} for r in found if r["g"] is not None]
+    resolved = pa.Table.from_batches(suffix_dedup._resolved(iter(dealt(pa.Table.from_pylist(asked), "g", "doc", "row", "lo")))).to_pylist()
+    want = {k: n for k, _, n, _, _ in brute_removal(rows)}
+    for i, _ in rows:
+        gone = {x for r in [r for r in found if r["g"] is None] + resolved if r["doc"] == i for x in range(r["lo"], r["hi"])}
+        assert len(gone) == want[i], i
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

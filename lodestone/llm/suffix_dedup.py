@@ -260,28 +260,37 @@ def _streamed(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[dic
     Such a part ends where its id does, or it is one id alone, of which the first row goes on.
     """
     held: list[dict[str, np.ndarray]] = []
-    rows = 0
+    rows, open_key = 0, None
+
+    def whole(table: dict[str, np.ndarray]) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+        """Complete keys; the first may be the rest of one that was given in parts."""
+        more = int(np.searchsorted(table[key], open_key, side="right")) if open_key is not None and len(table[key]) and table[key][0] == open_key else 0
+        if more:
+            yield {c: v[:more] for c, v in table.items()}, True
+        if more < len(table[key]):
+            yield {c: v[more:] for c, v in table.items()}, False
+
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
         rows += batch.num_rows
-        last = held[-1][key]
-        if rows < ROWS_AT_ONCE or (last[-1] == held[0][key][0] and rows < ROWS_HELD):
+        last = held[-1][key][-1]
+        if rows < ROWS_AT_ONCE or (last == held[0][key][0] and rows < ROWS_HELD):
             continue  # few rows, or one key so far
-        all_ = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
-        cut, part = int(np.searchsorted(all_[key], last[-1])), False
-        if not cut:
-            cut, part = int(_starts(all_["id"], all_["id2"])[-1]), True
+        table = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+        cut = int(np.searchsorted(table[key], last))
         if cut:
-            yield {c: v[:cut] for c, v in all_.items()}, part
-            held = [{c: v[cut:] for c, v in all_.items()}]
+            yield from whole({c: v[:cut] for c, v in table.items()})
+            held = [{c: v[cut:] for c, v in table.items()}]
         else:
-            yield all_, True
-            held = [{c: v[:1] for c, v in all_.items()}]
+            open_key = last
+            cut = int(_starts(table["id"], table["id2"])[-1])
+            yield ({c: v[:cut] for c, v in table.items()} if cut else table), True
+            held = [{c: v[cut:] if cut else v[:1] for c, v in table.items()}]
         rows = len(held[0][key])
     if held:
-        yield {c: np.concatenate([x[c] for x in held]) for c in held[0]}, False
+        yield from whole({c: np.concatenate([x[c] for x in held]) for c in held[0]})
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

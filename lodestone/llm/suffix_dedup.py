@@ -13,8 +13,8 @@ windows that select one k-mer form a segment, a plain row with the hash of its k
 1. A batch of text keeps of segments with equal bytes, which are compared there, that of the smallest
    document, and marks the others. So a passage that a third of all documents share is a row a batch.
 2. One exchange sorts the rows by k-mer. A task reads them as a stream: a k-mer of one document is
-   done; of segments of one identity (128 bits, from two hash families) the smallest document's
-   stays and the others are marked.
+   done; of segments of one identity (64 bits of all bytes, 16 of either side, beside the k-mer and the
+   shape) the smallest document's stays and the others are marked.
 3. A shared window reaches at least 17 bytes beyond the k-mer on one side. So only segments that share
    the k-mer and 17 bytes to one side, but are not equal, can share a window. They fetch their bytes
    and meet in groups of k-mer and side, which cut a frequent k-mer up; each group is resolved by the
@@ -50,7 +50,7 @@ BYTES_PER_TASK = 48 << 20
 ROWS_AT_ONCE, ROWS_HELD = 1 << 16, 1 << 20
 SEGMENTS_AT_ONCE = 4096
 NO_ID = (1 << 63) - 1
-_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_ODD = 0x9E3779B97F4A7C15
 _POS = 21
 """Bits of a k-mer's sort key that hold its place; slices are shorter than that."""
 
@@ -64,24 +64,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of a family's base and of its inverse modulo 2^64, at least n, and a random number for each byte."""
-    return _power_table(1 << max(18, (n - 1).bit_length()), family)  # few sizes, so that few tables are kept
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, at least n, and a random number for each byte."""
+    return _power_table(1 << max(18, (n - 1).bit_length()))  # few sizes, so that few tables are kept
 
 
 @cache
-def _power_table(n: int, family: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = _ODD[family]
-    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    up, down = np.full(n, _ODD, np.uint64), np.full(n, pow(_ODD, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64), mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64), mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 
 
 class _Hashes:
-    """Hashes of all parts of some bytes in one family."""
+    """Hashes of all parts of some bytes."""
 
-    def __init__(self, data: np.ndarray, family: int):
-        up, self.down, table = _powers(len(data), family)
+    def __init__(self, data: np.ndarray):
+        up, self.down, table = _powers(len(data))
         self.total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(table[data] * up[: len(data)], dtype=np.uint64, out=self.total[1:])
 
@@ -92,15 +91,14 @@ class _Hashes:
 def segments(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     """Segments of concatenated documents that end at `ends` (a slice of at most 2 SLICE bytes).
 
-    Per segment: h (k-mer), id and id2 (all its bytes and their place), lo and hi (first and last
-    window), at (k-mer's place), left and right (hashes of the SIDE bytes beside the k-mer).
+    Per segment: h (k-mer), id (all its bytes and their place), lo and hi (first and last window), at
+    (k-mer's place), left and right (hashes of the SIDE bytes beside the k-mer).
     """
     n = len(data)
-    empty = {k: np.zeros(0, np.uint64 if k in ("h", "id", "id2", "left", "right") else np.int64) for k in ("h", "id", "id2", "lo", "hi", "at", "left", "right")}
+    empty = {k: np.zeros(0, np.uint64 if k in ("h", "id", "left", "right") else np.int64) for k in ("h", "id", "lo", "hi", "at", "left", "right")}
     if n < LEAST:
         return empty
-    first_family, second = _Hashes(data, 0), _Hashes(data, 1)
-    spans = first_family.spans
+    spans = _Hashes(data).spans
     h = mixed(spans(np.arange(n - KMER + 1), np.arange(KMER, n + 1)))
     place = np.arange(len(h), dtype=np.uint64)
     key = ((h >> np.uint64(_POS)) << np.uint64(_POS)) | place
@@ -134,8 +132,7 @@ def segments(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     left = np.where(at - a == SIDE, mixed(spans(a, at)) % np.uint64(65535) + np.uint64(1), np.uint64(0))
     right = np.where(b - at - KMER == SIDE, mixed(spans(at + KMER, b)) % np.uint64(65535) + np.uint64(1), np.uint64(0))
     shape = ((at - lo) * 64 + (hi - lo)).astype(np.uint64)
-    identity = [mixed(f.spans(lo, hi + LEAST) ^ mixed(shape + np.uint64(1))) for f in (first_family, second)]
-    return {"h": h[at], "id": identity[0], "id2": identity[1], "lo": lo, "hi": hi, "at": at, "left": left, "right": right}
+    return {"h": h[at], "id": mixed(spans(lo, hi + LEAST) ^ mixed(shape + np.uint64(1))), "lo": lo, "hi": hi, "at": at, "left": left, "right": right}
 
 
 def _slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -152,7 +149,7 @@ def _slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         i = j
 
 
-_ROW = ("h", "id", "id2", "doc", "place", "more")
+_ROW = ("h", "id", "more", "doc", "place")
 _SEGMENTS = ", ".join(f"{c} long" for c in _ROW)
 _FOUND = "g long, doc long, row int, lo int, hi int"
 MARK = -1
@@ -200,8 +197,8 @@ def _rows_of(ids: np.ndarray, rows: np.ndarray, offsets: np.ndarray, data: np.nd
         return
     n = np.searchsorted(offsets, s["lo"], side="right") - 1
     doc, size = ids[n], s["hi"] - s["lo"] + LEAST
-    order = np.lexsort((doc, s["id2"], s["id"]))
-    run = _starts(s["id"][order], s["id2"][order])
+    order = np.lexsort((doc, s["id"]))
+    run = _starts(s["id"][order])
     first = np.empty(total, np.int64)
     first[order] = _spread(order[run], run, total)
     copy = np.flatnonzero((doc > doc[first]) & (size == size[first]))
@@ -213,8 +210,8 @@ def _rows_of(ids: np.ndarray, rows: np.ndarray, offsets: np.ndarray, data: np.nd
     keep = ~lost
     more = (s["hi"] - s["lo"]) | (s["at"] - s["lo"]) << 8 | s["left"].astype(np.int64) << 16 | s["right"].astype(np.int64) << 32
     place = lambda row, at: (row.astype(np.int64) << 32) | at
-    marks = {"h": mixed(m_doc.astype(np.uint64)).view(np.int64), "id": m_hi, "id2": m_hi, "doc": m_doc, "place": place(m_row, m_lo), "more": np.full(len(m_doc), MARK)}
-    found = {"h": s["h"].view(np.int64), "id": s["id"].view(np.int64), "id2": s["id2"].view(np.int64), "doc": doc, "place": place(rows[n], lo), "more": more}
+    marks = {"h": mixed(m_doc.astype(np.uint64)).view(np.int64), "id": m_hi, "doc": m_doc, "place": place(m_row, m_lo), "more": np.full(len(m_doc), MARK)}
+    found = {"h": s["h"].view(np.int64), "id": s["id"].view(np.int64), "doc": doc, "place": place(rows[n], lo), "more": more}
     yield pa.RecordBatch.from_arrays([pa.array(np.append(found[c][keep], marks[c]).astype(np.int64)) for c in _ROW], list(_ROW))
 
 
@@ -285,7 +282,7 @@ def _streamed(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[dic
             held = [{c: v[cut:] for c, v in table.items()}]
         else:
             open_key = last
-            cut = int(_starts(table["id"], table["id2"])[-1])
+            cut = int(_starts(table["id"], table["more"])[-1])
             yield ({c: v[:cut] for c, v in table.items()} if cut else table), True
             held = [{c: v[cut:] if cut else v[:1] for c, v in table.items()}]
         rows = len(held[0][key])
@@ -300,7 +297,7 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = [(s["doc"][is_mark], s["place"][is_mark] >> 32, s["place"][is_mark] & 0xFFFFFFFF, s["id"][is_mark])]
         s = {c: v[~is_mark] for c, v in s.items()}
         total = len(s["h"])
-        run = _starts(s["h"], s["id"], s["id2"])
+        run = _starts(s["h"], s["id"], s["more"])
         lost = s["doc"] > _spread(s["doc"][run], run, total)
         row, lo = s["place"] >> 32, s["place"] & 0xFFFFFFFF
         hi = lo + (s["more"] & 0xFF) + LEAST
@@ -349,7 +346,7 @@ def maximal_repeats(data: np.ndarray, ends: np.ndarray, least: int = LEAST) -> I
     suffix = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner]
     left = ends[owner] - suffix
     # a suffix whose first bytes occur once is in no interval; equal bytes have equal hashes
-    window = _Hashes(data, 0).spans(suffix, suffix + least)
+    window = _Hashes(data).spans(suffix, suffix + least)
     order = np.argsort(window, kind="stable")
     run = np.flatnonzero(np.append(True, window[order][1:] != window[order][:-1]))
     size = np.diff(np.append(run, len(order)))
@@ -454,7 +451,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BYTES_PER_TASK))
     with small_batches(spark, 4000):
-        found = stage(_segments(keyed).repartition(tasks, "h").sortWithinPartitions("h", "id", "id2", "doc").mapInArrow(_matched, _FOUND), "segments")
+        found = stage(_segments(keyed).repartition(tasks, "h").sortWithinPartitions("h", "id", "more", "doc").mapInArrow(_matched, _FOUND), "segments")
     marks = found.where("g IS NULL").select("doc", "row", "lo", "hi")
 
     asked = found.where("g IS NOT NULL").groupBy("doc", "row").agg(F.collect_list(F.struct("g", "lo", "hi")).alias("asked"))

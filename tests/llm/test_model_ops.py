@@ -376,7 +376,7 @@ def test_suffix_streams_of_any_size(monkeypatch, at_once, held):
     def dealt(table, *by):
         return table.sort_by([(c, "ascending") for c in by]).to_batches(max_chunksize=7)
 
-    found = pa.Table.from_batches(suffix_dedup._matched(iter(dealt(pa.Table.from_batches(got), "h", "id", "id2", "doc")))).to_pylist()
+    found = pa.Table.from_batches(suffix_dedup._matched(iter(dealt(pa.Table.from_batches(got), "h", "id", "more", "doc")))).to_pylist()
     text = {i: t.encode() for i, t in rows}
     asked = [{**r, "bytes": text[r["doc"]][r["lo"] : r["hi"]]} for r in found if r["g"] is not None]
     resolved = pa.Table.from_batches(suffix_dedup._resolved(iter(dealt(pa.Table.from_pylist(asked), "g", "doc", "row", "lo")))).to_pylist()

@@ -146,7 +146,9 @@ def components(edges: DataFrame) -> DataFrame:
         release(now)
         now = step
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = stage(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
+    release(now)
+    return out
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -155,7 +155,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v")).withColumn("v", F.when(F.coalesce(valid, F.lit(False)), v))
     classes = stage(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")), "vectors")
     found = stage(tile_links(classes, threshold, tile), "tiles")
-    parts = stage(components(found.select(F.col("first").alias("u"), F.col("root").alias("v"))), "components")
+    parts = components(found.select(F.col("first").alias("u"), F.col("root").alias("v")))
     gained = found.groupBy("first").agg(F.sum("n").alias("n"))
     named = classes.join(gained, "first", "left").join(parts.withColumnRenamed("node", "first"), "first", "left")
     named = named.select(F.col("v").alias("of"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id"))

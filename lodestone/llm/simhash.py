@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, shingle: int = 3, doc_id
     rows = stage(fingerprints(docs, shingle, doc_id, text), "fingerprints")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     found = stage(links(classes.repartition("fp"), max_bits), "links")
-    parts = stage(components(found), "components")
+    parts = components(found)
     release(found)
     linked = classes.join(parts, classes["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     linked = stage(linked, "linked")

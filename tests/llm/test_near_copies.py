@@ -38,5 +38,15 @@ def test_near_stage_equals_brute_force(spark, monkeypatch):
     assert sum((fp[a] ^ fp[b]).bit_count() > 3 for a, b in close) > 50
     assert {r.doc_id for r in corpus_pipeline.near_stage(spark, df, "").collect()} == want
     monkeypatch.setattr(nc, "PAIRS_PER_MEMBER", 0)  # by pivots as long as they help
-    monkeypatch.setattr(nc, "GROUP", 5)
     assert {r.doc_id for r in corpus_pipeline.near_stage(spark, df, "").collect()} == want
+
+
+def test_sketches_keep_similar_pairs():
+    """At similarity 0.8 sketches agree in LIKELY places; texts that share little do not."""
+    rng = random.Random(9)
+    for _ in range(200):
+        both = [rng.getrandbits(64) for _ in range(800)]
+        a, b = (nc.np.array(sorted({*both, *(rng.getrandbits(64) for _ in range(100))}), nc.np.uint64) for _ in range(2))
+        assert nc.similar(a, b) and nc.alike(nc.sketch(nc.minima(a)), nc.sketch(nc.minima(b)))
+        other = nc.np.array([rng.getrandbits(64) for _ in range(900)], nc.np.uint64)
+        assert not nc.alike(nc.sketch(nc.minima(a)), nc.sketch(nc.minima(other)))

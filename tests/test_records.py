@@ -348,3 +348,26 @@ def test_classes_generate_code(spark):
         assert plan.count() == 0
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_python_stages_run_without_the_path():
+    """Workers get the package from the driver: a session started elsewhere, without PYTHONPATH."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[1])
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from lodestone.plans import catalogue
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+for name in ("html_sections", "grid_records", "link_spans", "resolve_batch"):
+    assert catalogue.QUERIES[name](spark, {str(DATA)!r}).count() > 0, name
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd="/tmp", env=env, capture_output=True, text=True, timeout=300)
+    assert "all ran" in done.stdout, done.stderr[-2000:]

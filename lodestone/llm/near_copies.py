@@ -9,8 +9,9 @@ these texts make. Pairs within three bits of SimHash are linked as well.
 
 A bucket's pairs are not formed at once: members are first compared with one pivot a bucket, which
 is the same one in all buckets that a group of copies shares, and from then on only pairs whose ends
-are still in different components count. When pivots link few, all those pairs are looked at, by
-their sketches first.
+are still in different components count. When pivots link few, all those pairs are looked at where
+their bucket is read as a stream: by sketches, which leave the members that may have a partner, then
+these by their whole sets. Only links leave a bucket, so no table grows with the square of its size.
 
 Defined cases: as in SimHash; a text without words has no MinHash keys; rows without doc_id take part
 in the links of SimHash only.
@@ -128,20 +129,92 @@ def similar_sets(a: bytes, b: bytes) -> bool:
     return similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Of the pairs (u, v) those that are similar, a staged table; nodes has (node, first, sketch)."""
-    spark = docs.sparkSession
-    likely = stage(_kept(pairs, nodes, "sketch", alike), "likely")
-    ends = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
+def asked_sets(ends: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The sets (node, items) of some nodes, made from their texts; nodes has (node, first, sketch)."""
     # by sort-merge at every size: what is asked for grows with the corpus
     texts = docs.join(nodes.join(ends, "node", "left_semi").select(F.col("first").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("text")
-    with small_batches(spark, 500):
-        sets = stage(sets_of(texts, shingle), "sets")
+    with small_batches(docs.sparkSession, 500):
+        return stage(sets_of(texts, shingle), "sets")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Of the pairs (u, v) those that are similar, a staged table."""
+    likely = stage(_kept(pairs, nodes, "sketch", alike), "likely")
+    sets = asked_sets(likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct(), nodes, docs, shingle)
+    with small_batches(docs.sparkSession, 500):
         out = stage(_kept(likely, sets, "items", similar_sets), "verified")
     release(likely, sets)
     return out
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A table for each key of sorted batches."""
+    held: list[pa.Table] = []
+    current = None
+    for batch in batches:
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else []
+        for a, b in zip(edges, edges[1:], strict=False):
+            if held and key[a] != current:
+                yield pa.concat_tables(held)
+                held = []
+            current = key[a]
+            held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _likely(bucket: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, later members of other components that i's sketch allows, components); links may change the components on the way."""
+    n, component = bucket.num_rows, bucket["component"].to_numpy().copy()
+    short = np.frombuffer(b"".join(bucket["sketch"].to_pylist()), np.uint8).reshape(n, -1)
+    for i in range(n - 1):
+        other = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
+        for part in np.array_split(other, len(other) // AT_ONCE + 1):
+            near = part[np.count_nonzero(short[part] == short[i], axis=1) >= LIKELY]
+            if len(near):
+                yield i, near, component
+
+
+def _with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the members of buckets (key, node, component, sketch) those that may be similar to one of another component."""
+    for bucket in _buckets(batches):
+        hit = np.zeros(bucket.num_rows, bool)
+        for i, near, _ in _likely(bucket):
+            hit[i] = True
+            hit[near] = True
+        if hit.any():
+            yield from bucket.filter(pa.array(hit)).combine_chunks().to_batches()
+
+
+def _linked_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) that connect what is similar in buckets (key, node, component, sketch, items)."""
+    for bucket in _buckets(batches):
+        node = bucket["node"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in bucket["items"].to_pylist()]
+        out = []
+        for i, near, component in _likely(bucket):
+            for j in near.tolist():
+                if component[i] != component[j] and similar(sets[i], sets[j]):
+                    out.append((node[i], node[j]))
+                    component[component == component[j]] = component[i]
+        if out:
+            u, v = np.array(out, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def links_of_buckets(open_: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Links (u, v) that connect all that is similar in the buckets (key, node, component), a staged table."""
+    rows = open_.select("key", "node", "component").join(nodes.select("node", "sketch"), "node").select("key", "node", "component", "sketch")
+    some = stage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_with_partners, rows.schema), "partners")
+    sets = asked_sets(some.select("node").distinct(), nodes, docs, shingle)
+    whole = some.join(sets, "node").select("key", "node", "component", "sketch", "items")
+    with small_batches(docs.sparkSession, 500):
+        out = stage(whole.repartition("key").sortWithinPartitions("key").mapInArrow(_linked_members, "u long, v long").distinct(), "verified")
+    release(some, sets)
+    return out
+
+
 def _pairs(found: DataFrame) -> DataFrame:
     """Distinct pairs (u, v), u < v, of rows (a, b)."""
     return found.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
@@ -175,18 +248,17 @@ def jaccard_links(docs: DataFrame, rows: DataFrame, known: DataFrame, shingle: i
             release(open_, members, nodes)
             return found
         if rest:
-            other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-            pairs = _pairs(open_.join(other, "key").where("node < b and component <> other").select(F.col("node").alias("a"), "b"))
+            more = links_of_buckets(open_, nodes, docs, shingle)
         else:
             # of the largest component, first the member that meets most others, then any: what is outside is compared with it
             rank = F.struct("degree", F.xxhash64("node")) if not turn else F.struct(F.xxhash64(F.lit(turn), "key", "node"))
             pivot = open_.where("component = main").groupBy("key").agg(F.max_by(F.struct("node", "component"), rank).alias("p"))
-            pairs = _pairs(open_.join(pivot, "key").where("component <> p.component").select(F.col("node").alias("a"), F.col("p.node").alias("b")))
-        pairs = stage(pairs, "pairs")
-        more = verified(pairs, nodes, docs, shingle)
-        useful, turn = 10 * more.count() > pairs.count(), turn + 1
+            pairs = stage(_pairs(open_.join(pivot, "key").where("component <> p.component").select(F.col("node").alias("a"), F.col("p.node").alias("b"))), "pairs")
+            more = verified(pairs, nodes, docs, shingle)
+            useful, turn = 10 * more.count() > pairs.count(), turn + 1
+            release(pairs)
         both = stage(found.union(more), "found")
-        release(pairs, open_, more, found)
+        release(open_, more, found)
         found = both
         if rest:
             release(members, nodes)

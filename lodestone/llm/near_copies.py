@@ -221,7 +221,7 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def jaccard_links(docs: DataFrame, rows: DataFrame, known: DataFrame, shingle: int) -> DataFrame:
-    """Links (u, v) between nodes that, with the known ones, connect all verified pairs of the buckets."""
+    """Links (u, v) between nodes that, with the known ones, connect all verified pairs of the buckets; rows, a staged table, is removed."""
     per_node = rows.where("doc_id is not null and size(keys) > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
     all_nodes = stage(per_node, "nodes")
     keyed = all_nodes.select("node", F.explode("keys").alias("key"))
@@ -232,7 +232,7 @@ def jaccard_links(docs: DataFrame, rows: DataFrame, known: DataFrame, shingle: i
     members = stage(sized.join(degree, "node").select("key", "node", "degree"), "members")
     release(sized)
     nodes = stage(all_nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first", "sketch"), "sketched")
-    release(all_nodes)
+    release(all_nodes, rows)
     found, useful, turn = known, True, 0
     while True:
         parts = components(found)
@@ -267,13 +267,14 @@ def jaccard_links(docs: DataFrame, rows: DataFrame, known: DataFrame, shingle: i
 
 def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """Rows (doc_id, component_id): the smallest doc_id reachable by links of SimHash or Jaccard similarity."""
-    rows = stage(sketches(docs, shingle), "sketches")
+    whole = stage(sketches(docs, shingle), "sketches")
+    rows = stage(whole.select("doc_id", "fp", "node"), "rows")
     classes = stage(rows.groupBy("fp").agg(F.min("node").alias("low")), "classes")
     same = rows.join(classes, "fp").where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
     near = stage(links(classes.select("fp").repartition("fp")), "links")
     u, v = classes.select(F.col("fp").alias("u"), F.col("low").alias("a")), classes.select(F.col("fp").alias("v"), F.col("low").alias("b"))
     known = stage(near.join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").union(same), "known")
-    found = jaccard_links(docs, rows, known, shingle)
+    found = jaccard_links(docs, whole, known, shingle)
     parts = components(found)
     named = rows.join(parts, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     low = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe
+from .decontaminate import OP13_SQL, op13_decontamination
 from .embed_dedup import op4_embedding_dedup
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .license_scan import op2_license
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe": op10_bpe,
+    "op13_decontamination": op13_decontamination,
 }
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL}
+ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op13_decontamination": OP13_SQL}

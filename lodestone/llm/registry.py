@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .bpe import op10_bpe
 from .decontaminate import OP13_SQL, op13_decontamination
 from .embed_dedup import op4_embedding_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe": op10_bpe,
+    "op11_alignment": op11_alignment,
     "op13_decontamination": op13_decontamination,
 }
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op13_decontamination": OP13_SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .alignment import op11_alignment
 from .bpe import op10_bpe
+from .co_bucket import op12_co_bucket
 from .decontaminate import OP13_SQL, op13_decontamination
 from .embed_dedup import op4_embedding_dedup
 from .exact_dedup import OP5_SQL, op5_exact_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe": op10_bpe,
     "op11_alignment": op11_alignment,
+    "op12_co_bucket": op12_co_bucket,
     "op13_decontamination": op13_decontamination,
 }
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op13_decontamination": OP13_SQL}

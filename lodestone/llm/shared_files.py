@@ -22,11 +22,6 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def plain(uri: str) -> str:
-    """The path alone where the URI names a mounted file, else the URI."""
-    return opened(uri)[1] if uri.startswith("file:") else uri
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder of its own below the shared one."""
     folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -4,11 +4,13 @@ A line per rule, the most telling first within a license: label | keyword | patt
 a cheap filter, looked for where runs of white space and comment marks are one blank: a text without
 it cannot match the pattern. Patterns see text with A-Z lower-cased
 and are Java regular expressions; a blank in them stands for any run of white space and comment
-marks. Priority is by kind: tags (spdx), then named versions, then names and links, then notices.
+marks, of any length. What follows >> is a second pattern that a match must hold: such a rule takes the
+rest of its sentence. Priority is by kind: tags (spdx), then named versions, then names and links, then notices.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 TAG, VERSION, NAME, NOTICE = 0, 1, 2, 3
@@ -199,7 +201,7 @@ ncsa | opensource.org/licenses/ncsa | opensource\.org/licenses/ncsa
 #: Names, sentences of the license texts and links.
 NAMES = r"""
 apache | apache | \bapache(?: software)? license\b
-gpl | general public license | (?<!lesser )(?<!affero )(?<!library )\b(?:gnu )?general public license\b
+gpl | general public license | (?<!lesser )(?<!affero )(?<!library )\bgeneral public license\b
 lgpl | lesser general public license | \b(?:gnu )?lesser general public license\b
 lgpl | library general public license | \b(?:gnu )?library general public license\b
 agpl | affero general public license | \b(?:gnu )?affero general public license\b
@@ -216,7 +218,7 @@ isc | isc license | \bisc license\b
 isc | permission to use, copy, modify, and/or distribute | permission to use, copy, modify, and/or distribute this software for any purpose
 bsd | bsd | \bbsd(?:-style)? license\b
 bsd | redistribution and use | redistribution and use in source and binary forms,? with or without modification
-bsd-3-clause | endorse or promote | neither the names? of .{1,80}? may be used to endorse or promote products
+bsd-3-clause | endorse or promote | neither the names? of [^.;]*+ >> may be used to endorse or promote products
 bsd-4-clause | advertising materials | all advertising materials mentioning features or use of this software
 mpl | mozilla public license | \bmozilla public license\b
 mpl | mozilla.org/mpl | mozilla\.org/mpl
@@ -386,7 +388,7 @@ non-commercial | commercial use | \b(?:not for|non-?|no) ?commercial use\b
 non-commercial | personal use only | \bfor personal use only\b
 research-only | research purposes only | \bfor (?:academic |scientific )?research purposes only\b
 warranty-disclaimer | provided "as is" | provided "as is",? without
-liability-disclaimer | be liable | \bin no event shall .{1,120}? be liable\b
+liability-disclaimer | be liable | \bin no event shall [^.;]*+ >>  be liable\b
 license-grant | to use, copy | \bnon-exclusive,? (?:worldwide,? )?(?:royalty-free )?(?:license|right) to use, copy\b
 end-user-license | end user license agreement | \bend user license agreement\b
 end-user-license | end-user license agreement | \bend-user license agreement\b
@@ -405,22 +407,38 @@ STEMS = (
 )
 
 
+BLANK = r"[\s*#/]"
+
+
 class Rule(NamedTuple):
     label: str
     priority: int
     keyword: str
     pattern: str
+    also: str = ""
+    """A second pattern that a match must hold, if there is one."""
+
+
+def _blanks(pattern: str) -> str:
+    """A blank takes its whole run, so that no match depends on how long a run is."""
+    return pattern.replace("[- ]", "(?:-| )").replace(" ?", rf"{BLANK}*+").replace(" ", rf"{BLANK}++")
 
 
 def _parsed(lines: str, priority: int) -> list[Rule]:
+    """Rules from lines. A pattern that must not follow words of its own is matched with them, and dropped if they are there, as an assertion cannot look back over a run of any length."""
     out = []
     for line in lines.strip("\n").split("\n"):
         label, keyword, pattern = (x.lstrip() for x in line.split("|", 2))
-        pattern = pattern.replace("[- ]", "(?:-| )").replace(" ?", r"[\s*#/]{0,8}").replace(" ", r"[\s*#/]{1,8}")
-        out.append(Rule(label.strip(), priority, keyword.strip(), pattern))
+        pattern, _, also = pattern.partition(" >> ")
+        if before := NOT_BEFORE.findall(pattern):
+            pattern, also = f"(?:(?:{'|'.join(before)}) )?" + NOT_BEFORE.sub("", pattern), f"^(?!(?:{'|'.join(before)}){BLANK})"
+        out.append(Rule(label.strip(), priority, keyword.strip(), _blanks(pattern), also if before else _blanks(also)))
     return out
 
 
+NOT_BEFORE = re.compile(r"\(\?<!(\w+) \)")
+
+
 def rules() -> list[Rule]:
     """All rules in order."""
     tags = [Rule(t, TAG, "spdx-license-identifier", rf"spdx-license-identifier:[^\n]*?(?<![a-z0-9.-]){t.replace('.', '[.]')}(?:-only|-or-later|\+)?(?![a-z0-9.-])") for t in TAGGED]

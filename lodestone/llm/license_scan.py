@@ -31,7 +31,7 @@ def _rule_column() -> Column:
     """The rules by keyword, so that a keyword is looked for once however many rules it gates."""
     by_keyword: dict[str, list[Column]] = {}
     for n, r in enumerate(rules()):
-        rule = F.struct(F.lit(n).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"))
+        rule = F.struct(F.lit(n).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.also).alias("also"))
         by_keyword.setdefault(re.sub(MARKS, " ", r.keyword), []).append(rule)
     return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in by_keyword.items()])
 
@@ -45,8 +45,9 @@ def detections(low: Column, gate: Column) -> Column:
     """Detections of a lower-cased text that no other suppresses: (start, end, priority, rule, label)."""
 
     def of_rule(r: Column) -> Column:
+        found = find_all(low, r["pattern"])
         return F.transform(
-            find_all(low, r["pattern"]),
+            F.when(r["also"] == "", found).otherwise(F.filter(found, lambda m: F.regexp_like(m["match"], r["also"]))),
             lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.char_length(m["match"])).alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")),
         )
 

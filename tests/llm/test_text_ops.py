@@ -69,11 +69,26 @@ def brute_license(text):
     return len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
 
 
+def written_rules():
+    """The rules read anew from their lines: (priority, label, pattern, second pattern), a blank being any run."""
+    out = [(license_rules.TAG, r.label, r.pattern, "") for r in license_rules.rules() if r.priority == license_rules.TAG]
+    for lines, priority in ((license_rules.VERSIONS, license_rules.VERSION), (license_rules.NAMES, license_rules.NAME), (license_rules.NOTICES, license_rules.NOTICE)):
+        for line in lines.strip("\n").split("\n"):
+            label, _, pattern = line.split("|", 2)
+            pattern, _, also = pattern.removeprefix(" ").partition(" >> ")
+            runs = [regex.sub(r"\[- \]|( \?)| ", lambda m: r"(?:-|[\s*#/]+)" if m[0] == "[- ]" else r"[\s*#/]*" if m[1] else r"[\s*#/]+", x) for x in (pattern, also)]
+            out.append((priority, label.strip(), *runs))
+    return out
+
+
+WRITTEN_RULES = written_rules()
+
+
 def brute_rules(text):
-    """Labels of the rules by another engine, without keywords; it takes look-behinds of any width as Java does."""
+    """Labels of the rules as written by another engine, whose look-behinds have any width, without keywords."""
     low, found = re.sub("[A-Z]", lambda m: m[0].lower(), text or ""), []
-    for n, r in enumerate(license_rules.rules()):
-        found += [(m.start(), m.end(), r.priority, n, r.label) for m in regex.finditer(r.pattern, low, regex.ASCII)]
+    for n, (priority, label, pattern, also) in enumerate(WRITTEN_RULES):
+        found += [(m.start(), m.end(), priority, n, label) for m in regex.finditer(pattern, low, regex.ASCII) if regex.search(also, m[0], regex.ASCII)]
 
     def stronger(e, d):
         return e[0] <= d[0] and e[1] >= d[1] and (e[2] < d[2] or (e[2] == d[2] and (e[1] - e[0] > d[1] - d[0] or (e[:2] == d[:2] and e[3] < d[3]))))
@@ -85,6 +100,9 @@ def test_license_words_and_rules(spark, tmp_path):
     rng = random.Random(3)
     parts = ["gnu", "General", "public", "license", "apache", "CC", "by", "mit", " ", "-", "\n", "é", "SPDX-License-Identifier: MIT", "Apache License, Version 2.0", "GPLv3", "\0", "😀", "GNU Lesser General Public License v2.1", "all rights reserved", "BSD-3-Clause", "Creative Commons Attribution-ShareAlike\n * 4.0", "the zlib/libpng license", "GNU Lesser General Public\n * License, version 2.1"]
     texts = [rng.choice([" ", "-", "  "]).join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    run = lambda: "".join(rng.choice(" \n\t*#/ ") for _ in range(rng.randint(1, rng.choice([2, 12, 200]))))
+    wrapped = "GNU General Public License, version 3|GNU Lesser General Public License, version 2.1|Mozilla Public License 2.0|GNU Affero General Public License|Apache License, Version 2.0|all rights reserved|in no event shall the authors or holders of rights named in this long file be liable|in no event. shall be liable|neither the name of a very long list of people and places, and more of them than in eighty letters, may be used to endorse or promote products|copyright (c) 2020|library general public license v2".split("|")
+    texts += [re.sub(" ", lambda m: run(), " ".join(rng.choice(wrapped) for _ in range(rng.randint(1, 6)))) for _ in range(200)]
     texts += [None, "", "mit license " * 300, "Licensed under the GNU General Public License, version 3."]
     rows = list(enumerate(texts))
     out = {r.doc_id: r for r in license_scan.op2_license(spark, saved(spark, tmp_path, rows)).collect()}
@@ -116,7 +134,8 @@ def test_license_rules_are_gated():
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         for r in written:
-            sample = strategies.from_regex(re.compile(without_assertions(r.pattern), re.A), fullmatch=True).example()
+            made = [re.sub(r"([+*])\+", r"\1", without_assertions(p)).strip("^") for p in (r.pattern, r.also) if p]
+            sample = "".join(strategies.from_regex(re.compile(p, re.A), fullmatch=True).example() for p in made if p)
             assert blank(r.keyword) in blank(sample), (r, sample)
 
 

@@ -7,12 +7,12 @@ sample of documents train a linear scorer on hashed word shapes and document sta
 scorer decides on every document.
 
 Texts are read once: what describes a document, its votes and its features, is staged, and both the
-fit and the scores come from there. The training sample is bounded by SAMPLE documents, taken by hash
-over the whole table; votes, patterns and scores cover all rows and whole texts.
+fit and the scores come from there. The training sample is bounded by SAMPLE texts, taken by hash
+over the whole table and weighted by their rows; votes, patterns and scores cover all rows and whole texts.
 
 Defined cases: a null text counts as empty; a text without words gets no bad vote and is scored like
 any other; repeated rows get equal scores; on an empty table the result is empty; good_documents()
-passes all columns through.
+passes all columns through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -125,12 +125,14 @@ def features(s: dict[str, float], n: int, shapes: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit_labellers(patterns: dict[str, int], rounds: int = 500, belief: tuple = ((0.01, 0.4), (0.02, 0.02))) -> tuple[dict[str, float], np.ndarray, float]:
+def fit_labellers(patterns: dict[str, int], rounds: int = 50_000, belief: tuple = ((0.01, 0.4), (0.02, 0.02))) -> tuple[dict[str, float], np.ndarray, float]:
     """EM over vote patterns: posterior of good per pattern, vote rates [labeller, class, vote], share of good.
 
     Rates are of the votes cast, bad and good; an abstention says nothing. They are estimated with a
     prior: for bad and for good documents a weight, as a part of the corpus, and the share of bad
-    votes that it holds, which says which class is which. No rate is set or bounded.
+    votes that it holds, which says which class is which; of the share, one document of each class is
+    believed in beforehand. No rate or share is set or bounded. It ends when no posterior moves, and fails
+    where that takes more than `rounds`.
     """
     if not patterns:
         return {}, np.zeros((0, 2, 2)), 1.0
@@ -144,23 +146,24 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 500, belief: tuple = (
         both = np.stack([1 - good, good], axis=1) * w[:, None]
         rates = np.einsum("pc,plv->lcv", both, hot) + held + 1e-9
         rates /= rates.sum(axis=2, keepdims=True)
-        share = float(np.clip(both[:, 1].sum() / w.sum(), 0.02, 0.98))
+        share = float((both[:, 1].sum() + 1) / (w.sum() + 2))
         log = np.einsum("plv,lcv->pc", hot, np.log(rates)) + np.log([1 - share, share])
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
         done, good = np.abs(new - good).max() < 1e-9, new
         if done:
-            break
-    return dict(zip(names, good.tolist(), strict=True)), rates, share
+            return dict(zip(names, good.tolist(), strict=True)), rates, share
+    raise RuntimeError(f"the labellers' rates have not settled in {rounds} rounds")
 
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, steps: int = 400, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_scorer(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 400, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by full-batch Adam from zero; deterministic."""
+    share = np.full(len(x), 1 / max(len(x), 1)) if weight is None else weight / max(weight.sum(), 1e-9)
     x, w = x.astype(np.float64), np.zeros(x.shape[1] + 1)
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     m, s = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        g = x.T @ (p - y) / max(len(x), 1) + decay * np.append(w[:-1], 0)
+        g = x.T @ (share * (p - y)) + decay * np.append(w[:-1], 0)
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -213,21 +216,23 @@ def describe_all(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit(seen: DataFrame, sample: int = SAMPLE, text: str = "text") -> QualityModel:
-    """Fits the labellers on all rows of describe_all() and the scorer on at most `sample` of them.
+    """Fits the labellers on all rows of describe_all() and the scorer on at most `sample` of their texts.
 
-    Rows are taken in the order of a hash of the text, so equal tables give equal models.
+    Texts are taken in the order of their hash, each once and weighted by its number of rows, so no text
+    fills the sample, however often it occurs, and equal tables give equal models.
     """
+    key = F.xxhash64(F.coalesce(seen[text].cast("string"), F.lit("")))
     patterns = {r["__pattern"]: r["n"] for r in seen.groupBy("__pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     posteriors, _, good = fit_labellers(patterns)
-    total = sum(patterns.values())
-    share = min(1.0, 1.25 * sample / max(total, 1))
-    keyed = seen.select(F.xxhash64(F.coalesce(seen[text].cast("string"), F.lit(""))).alias("key"), "__pattern", "__at", "__value")
-    near = keyed.where(F.pmod("key", F.lit(1_000_000)) < math.ceil(share * 1_000_000))
-    rows = near.orderBy("key", "__pattern").limit(sample).collect()
+    texts = seen.agg(F.approx_count_distinct(key, 0.02)).first()[0]
+    share = min(1.0, 1.25 * sample / max(texts, 1))
+    near = seen.select(key.alias("key"), "__pattern", "__at", "__value").where(F.pmod("key", F.lit(1_000_000)) < math.ceil(share * 1_000_000))
+    once = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("__pattern", "__at", "__value")))
+    rows = once.orderBy("key").limit(sample).collect()
     x = np.zeros((len(rows), DIMENSIONS), np.float32)
     for i, r in enumerate(rows):
         x[i, r["__at"]] = r["__value"]
-    weights, bias = fit_scorer(x, np.array([posteriors[r["__pattern"]] for r in rows]))
+    weights, bias = fit_scorer(x, np.array([posteriors[r["__pattern"]] for r in rows]), np.array([r["n"] for r in rows], float))
     return QualityModel(posteriors, weights, bias, good)
 
 
@@ -272,12 +277,14 @@ def score(docs: DataFrame, model: QualityModel | None = None, threshold: float =
 
 
 def good_documents(docs: DataFrame, model: QualityModel | None = None, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs, unchanged, that the scorer keeps; nothing is shuffled."""
-    seen = describe_all(docs, text)
+    """The rows of docs, unchanged, that the scorer keeps; no text is shuffled."""
+    own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # so that no name clashes
+    text = f"c{docs.columns.index(text)}"
+    seen = describe_all(own, text)
     if model is None:
         seen = stage(seen, "described")
         model = fit(seen, text=text)
-    return _scored(seen, model).where(F.col("__score") >= threshold).select(*docs.columns)
+    return _scored(seen, model).where(F.col("__score") >= threshold).select(*own.columns).toDF(*docs.columns)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

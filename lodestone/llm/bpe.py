@@ -8,8 +8,9 @@ and word splitting. Two libraries agree on these for the scripts named in SHARED
 data have long been settled; a part with any other character goes through the tokenizers library's own
 normaliser and splitter. Words repeat, so each Python worker remembers a bounded number of them.
 
-Defined cases: a null text counts as empty and gives no ids; repeated rows give equal results;
-other columns are not read.
+Defined cases: a null text counts as empty and gives no ids; a text of any length is encoded whole, and
+a heap holds one word at a time; equal ranks merge from left to right; repeated rows give equal results;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -6,6 +6,8 @@ import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,8 @@ def setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
-_staged: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+"""Tables staged by the innermost cleared() or tidied() of this thread."""
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -37,38 +40,71 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
+    own = _scope.get()
+    if own is not None:
+        own.append(path)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
-    _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(*tables: DataFrame) -> None:
-    """Removes staged tables that nothing reads any more."""
+    """Removes staged tables that nothing reads any more; what is not staged is left alone."""
+    own = _scope.get()
     for df in tables:
-        for file in df.inputFiles()[:1]:
-            folder = file.rsplit("/", 1)[0]
-            for path in [p for p in _staged if folder.endswith(p.split(":", 1)[-1])]:
-                _staged.remove(path)
-                _delete(df.sparkSession, path)
+        if (path := getattr(df, "staged_at", None)) is not None:
+            delete(df.sparkSession, path)
+            if own is not None and path in own:
+                own.remove(path)
 
 
 @contextmanager
-def cleared(spark: SparkSession) -> Iterator[None]:
-    """Removes the tables that are staged within, but for the last one: the result that stays."""
-    before = len(_staged)
+def cleared(spark: SparkSession, keep: Callable[[], DataFrame | None] = lambda: None) -> Iterator[None]:
+    """Removes the tables staged within, but for the one that keep() names at the end, if all went well.
+
+    Each thread has its own, so runs at the same time do not touch each other's tables.
+    """
+    outer, own = _scope.get(), []
+    token, stays = _scope.set(own), None
     try:
         yield
+        stays = getattr(keep(), "staged_at", None)
     finally:
-        gone = _staged[before:-1]
-        del _staged[before:-1]
-        for path in gone:
-            _delete(spark, path)
+        _scope.reset(token)
+        for path in own:
+            if path != stays:
+                delete(spark, path)
+        if stays is not None and outer is not None:
+            outer.append(stays)
+
+
+def tidied(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query; if it fails, what it had staged is removed. Its result may read staged tables, so they stay if it succeeds."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        outer, own = _scope.get(), []
+        token = _scope.set(own)
+        try:
+            out = query(spark, sf_dir)
+        except BaseException:
+            for path in own:
+                delete(spark, path)
+            raise
+        finally:
+            _scope.reset(token)
+        if outer is not None:
+            outer += own
+        return out
+
+    return run
 
 
 def small_batches(spark: SparkSession, rows: int = 1000):

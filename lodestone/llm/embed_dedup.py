@@ -10,8 +10,9 @@ precision. A task returns per class the number of its links and one row that tie
 its component in the task, never the pairs.
 
 Defined cases: vectors that are null, zero or hold null or non-finite numbers link with nothing;
-vectors of different length are not compared; repeated rows are vectors of their own; an empty table
-gives an empty result; other columns are not read.
+vectors of different length are not compared; repeated rows are vectors of their own; a row without
+vec_id links with nothing and has no component; an empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -151,7 +152,7 @@ def tile_links(classes: DataFrame, threshold: float = 0.95, tile: int = TILE) ->
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", tile: int = TILE) -> DataFrame:
     """Rows (vec_id, n_links, component_id)."""
     v = F.col("v")
-    valid = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
+    valid = F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v")).withColumn("v", F.when(F.coalesce(valid, F.lit(False)), v))
     classes = stage(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")), "vectors")
     found = stage(tile_links(classes, threshold, tile), "tiles")

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, stage, text_of
+from .common import delete, release, shared_dir, stage, text_of
 
 DIGESTS_PER_BUCKET = 4_000_000
 
@@ -30,7 +30,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 class DigestIndex:
-    """Digest table `name` of the session's catalog: digest, keep_id.
+    """Digest table `name` of the session's catalog: digest, keep_id. Its files lie in the shared folder.
 
     The number of buckets is fixed when the table is made: by `buckets`, else by the first batch, but
     not below the session's shuffle partitions; who expects many more batches gives it.
@@ -42,8 +42,13 @@ class DigestIndex:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
+    @property
+    def path(self) -> str:
+        return f"{shared_dir(self.spark)}/digest-index/{self.name}"
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
 
     def entries(self) -> DataFrame:
         """All rows of the index; joins on digest read its buckets without a shuffle."""
@@ -57,7 +62,7 @@ class DigestIndex:
             self.buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(groups.count() / DIGESTS_PER_BUCKET))
         new = groups if first else groups.hint("merge").join(self.entries().select("digest"), "digest", "left_anti")
         writer = new.select("digest", "keep_id").repartition(self.buckets, "digest").sortWithinPartitions("digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
-        writer.mode("errorifexists" if first else "append").format("parquet").saveAsTable(self.name)
+        writer.mode("errorifexists" if first else "append").format("parquet").option("path", self.path).saveAsTable(self.name)
         return groups
 
     def told(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -92,10 +97,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bat
         above = cut
     parts.append(rows if above is None else rows.where(F.coalesce(F.col("doc_id") < above, F.lit(True))))
     index = DigestIndex(docs.sparkSession, f"lodestone_digest_{uuid.uuid4().hex}")
-    groups = [index.add(part) for part in parts]
-    repeated = reduce(DataFrame.union, groups).groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
-    out = stage(index.told(rows, repeated), "exact")
-    index.drop()
+    try:
+        groups = [index.add(part) for part in parts]
+        repeated = reduce(DataFrame.union, groups).groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
+        out = stage(index.told(rows, repeated), "exact")
+    finally:
+        index.drop()
     release(rows, *groups)
     return out
 

@@ -9,8 +9,10 @@ joins in, as two of them may still share a sequence. An exchange whose own bound
 gain is not made; there is no limit to their number. Texts never move: only (doc_id, piece, length)
 rows, and full sequences stay where they are.
 
-Defined cases: a null text counts as empty, and an empty text is the end token alone; repeated rows
-are packed each; an empty table gives no piece; other columns are not read.
+Defined cases: a null text counts as empty, and an empty text is the end token alone; a text of any
+length is cut into as many pieces as it needs; pieces of equal length are packed in the order of doc_id,
+piece and checksum; repeated rows are packed each, in any order among themselves; an empty table gives
+no piece; other columns are not read.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .alignment import op11_alignment
 from .bpe import op10_bpe
 from .co_bucket import op12_co_bucket
+from .common import tidied
 from .decontaminate import OP13_SQL, op13_decontamination
 from .embed_dedup import op4_embedding_dedup
 from .exact_dedup import OP5_SQL, op5_exact_dedup
@@ -16,7 +17,7 @@ from .quality import op6_quality
 from .simhash import op7_simhash
 from .suffix_dedup import op9_suffix_dedup
 
-QUERIES = {
+_ALL = {
     "op1_pii": op1_pii,
     "op2_license": op2_license,
     "op3_packing": op3_packing,
@@ -31,4 +32,5 @@ QUERIES = {
     "op12_co_bucket": op12_co_bucket,
     "op13_decontamination": op13_decontamination,
 }
+QUERIES = {name: tidied(query) for name, query in _ALL.items()}
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op13_decontamination": OP13_SQL}

@@ -13,8 +13,9 @@ first cut again: its members agree in one block, and of four parts of the other
 leave one untouched, so linked members meet in one of the four cuts.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like
-any other; repeated rows are one document; an empty table gives an empty result; other columns are
-not read.
+any other; texts of any length are hashed whole, in parts; repeated rows are one document; a row without
+doc_id links like any other and names no component, so a component of such rows alone has none; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -60,7 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what they stage on the way is removed, only the result stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    with cleared(spark):
+    with cleared(spark, lambda: docs):
         for name, step in STAGES:
             docs = stage(step(spark, docs, sf_dir), name)
     return docs

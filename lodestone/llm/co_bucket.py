@@ -377,7 +377,8 @@ def co_bucket(
     Rows: table_name, path, columns, ids_sha256, lineage_sha256, bucket, n_rows, n_joined (rows of the
     bucket's inner join), rewritten.
     """
-    known = left.where(F.col(key).isNotNull()).select(F.col(key).alias(key)).distinct()
+    # a table of its own, so that both sides of its join are plain exchanges and a key that many rows share is split
+    known = stage(left.where(F.col(key).isNotNull()).select(F.col(key).alias(key)).distinct(), "known-keys")
     own = crc_bucket(F.col(key), buckets, salt)
 
     def of_left(rows: DataFrame, column: str) -> DataFrame:
@@ -397,6 +398,7 @@ def co_bucket(
         out = rewrite(df, starting, bucket, order, key, folder, "bucket", buckets + 2)
         release(starting)
         parts.append(out.withColumn("table_name", F.lit(name)).withColumn("columns", F.lit(",".join(df.columns))))
+    release(known)
     counts = [df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias(f"n{i}")) for i, df in enumerate((left, right))]
     joined = counts[0].join(counts[1], "key").groupBy(crc_bucket(F.col("key"), buckets, salt).alias("bucket")).agg(F.sum(F.col("n0") * F.col("n1")).alias("n_joined"))
     both = reduce(DataFrame.unionByName, parts).join(joined, "bucket", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,3 +39,25 @@ def kept(df: DataFrame) -> DataFrame:
     """df, computed and written to the shared folder, so that a lost executor or a later use starts from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed and written to a table of the shared folder that removed() takes away again."""
+    path = f"{shared_dir(df.sparkSession)}/work/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing reads any more."""
+    for df in tables:
+        if (path := getattr(df, "written_at", None)) is not None:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +15,8 @@ from lodestone.cluster import kept
 from lodestone.functions import text as tx
 from lodestone.operators import cite, links, project, retrieve
 from lodestone.operators import rank as rk
-from lodestone.operators.state import Operation, OperationStopped, Store, cached_search, detail_fresh, write_file
-from lodestone.plans.expression import Expression, QueryError, predicate, printed
+from lodestone.operators.state import RETENTION_DAYS, Operation, OperationStopped, Store, cached_search, detail_fresh, write_file, write_json
+from lodestone.plans.expression import Expression, QueryError, as_expression, predicate, printed
 from lodestone.plans.planner import Options, Plan, search_input
 from lodestone.sources import records
 
@@ -71,10 +73,15 @@ class _Run:
     as_of_year: int
     as_of: str | None
     op: Operation
+    asked: dict = field(default_factory=dict)
     scanned: DataFrame | None = None
     pool: DataFrame | None = None
     read: DataFrame | None = None
     ranked: DataFrame | None = None
+    saved: dict = field(default_factory=dict)
+    """Table by name as it was last written, and where."""
+
+    TABLES = ("scanned", "pool", "read", "ranked")
 
     @property
     def search_id(self) -> str:
@@ -111,11 +118,12 @@ class Engine:
         if self.store and as_of and o.freshness == "prefer_cache" and (stored := self.store.read("searches")) is not None:
             if row := cached_search(stored, key, F.lit(as_of).cast("timestamp")).first():
                 return self._stored(row["search_id"], plan, o)
-        return self._go_on(_Run(plan, o, key, as_of_year, as_of, Operation("search", budget)))
+        asked = {"query": query, "concept_groups": concept_groups, "expression": None if expression is None else asdict(expression), "options": options}
+        return self._go_on(_Run(plan, o, key, as_of_year, as_of, Operation("search", budget), asked))
 
     def resume(self, search_id: str, extra: int = 200) -> SearchResult:
-        """Goes on with a search whose budget ended, from the last stage that it finished."""
-        run = self._runs.get(search_id)
+        """Goes on with a search whose budget ended, from the last stage that it finished, also in another process if the engine has a root."""
+        run = self._runs.get(search_id) or self._loaded(search_id)
         if run is None:
             raise QueryError("CONTINUE_UNAVAILABLE", search_id)
         run.op = run.op.resumed(extra)
@@ -132,9 +140,11 @@ class Engine:
                 if name not in run.op.done:
                     with _stage(self.spark, run.op, name):
                         step(run)
+                    self._save(run)
             run.op.status = "completed"
         except OperationStopped as e:
             run.op.status = "cancelled" if e.args[0] == "CANCELLED" else "partial"
+        self._save(run)
         out = self._result(run)
         if run.op.status == "completed":
             del self._runs[run.search_id]
@@ -144,6 +154,63 @@ class Engine:
                 self.store.append("searches", row.withColumn("ts", F.lit(run.as_of).cast("timestamp")), out.search_id)
         return out
 
+    # -- runs that outlive their process --
+
+    def _save(self, run: _Run) -> None:
+        """Writes what a run has: the tables that are new since its last stage, then the manifest that names them."""
+        if self.store is None:
+            return
+        folder = f"{self.store.root}/runs/{run.search_id}"
+        for name in _Run.TABLES:
+            df = getattr(run, name)
+            if df is not None and run.saved.get(name, (None, ""))[0] is not df:
+                path = f"{folder}/{len(run.op.done)}-{name}-{uuid.uuid4().hex[:8]}"
+                df.write.parquet(path)
+                run.saved[name] = df, path
+        tables = {name: path for name, (_, path) in run.saved.items()}
+        op = {k: v for k, v in asdict(run.op).items()}
+        asked = run.asked | {"key": run.key, "as_of_year": run.as_of_year, "as_of": run.as_of}
+        write_json(self.spark, folder, "manifest.json", {"asked": asked, "operation": op, "tables": tables, "saved_at": time.time()})
+
+    def _manifest(self, search_id: str) -> dict | None:
+        if self.store is None or not self.store.exists(f"runs/{search_id}/manifest.json"):
+            return None
+        return json.loads(self.spark.read.text(f"{self.store.root}/runs/{search_id}/manifest.json", wholetext=True).first()[0])
+
+    def _loaded(self, search_id: str) -> _Run | None:
+        """A run as its manifest has it."""
+        found = self._manifest(search_id)
+        if found is None:
+            return None
+        asked = found["asked"]
+        expression = None if asked["expression"] is None else as_expression(asked["expression"])
+        o, plan = search_input(asked["query"], asked["concept_groups"], expression, **asked["options"])
+        op = found["operation"]
+        op["progress"] = tuple(op["progress"]) if op["progress"] else None
+        run = _Run(plan, o, asked["key"], asked["as_of_year"], asked["as_of"], Operation(**op), {k: asked[k] for k in ("query", "concept_groups", "expression", "options")})
+        for name, path in found["tables"].items():
+            df = self.spark.read.parquet(path)
+            setattr(run, name, df)
+            run.saved[name] = df, path
+        if run.op.status == "running":  # its process ended
+            run.op.status = "interrupted"
+        return run
+
+    def operations(self) -> list[dict]:
+        """Views of the stored runs, the last saved first."""
+        found = [(m["saved_at"], self._loaded(n).op) for n in (self.store.names("runs") if self.store else []) if (m := self._manifest(n)) is not None]
+        return [op.view() | {"active_seconds": round(op.active_seconds, 3), "used": op.used, "id": op.id} for _, op in sorted(found, key=lambda x: -x[0])]
+
+    def prune_operations(self, now: float | None = None) -> int:
+        """Removes runs that were last saved more than RETENTION_DAYS ago; says how many."""
+        limit, gone = (now or time.time()) - RETENTION_DAYS["operations"] * 86_400, 0
+        for name in self.store.names("runs") if self.store else []:
+            if (m := self._manifest(name)) is not None and m["saved_at"] < limit:
+                self.store.delete(f"runs/{name}")
+                self._runs.pop(name, None)
+                gone += 1
+        return gone
+
     def _scan(self, run: _Run, channels: list, max_pages: int) -> DataFrame:
         found = self._kept(retrieve.scan_all(self.papers, channels, [t for g in run.plan.concepts for t in g], sort=run.options.sort, max_pages=max_pages))
         pages = found.groupBy("channel").agg(F.max("page").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -288,7 +355,7 @@ class Engine:
         wanted = self.spark.createDataFrame(list(enumerate(refs)), "pos int, ref string")
         papers = project.in_order(wanted, self.papers)
         style = cite.ALIASES.get(style, style)
-        out = cite.joined(cite.citations(papers, style, template, "pos"), style)
+        out = cite.joined(cite.citations(papers, style, template, "pos", cite.listed), style)
         if path is not None:  # at most MAX_EXPORT citations
             folder, _, name = path.rpartition("/")
             write_file(self.spark, folder, name, (out.first()["text"] or "").encode())
@@ -318,7 +385,9 @@ class _stage:
         self.spark, self.op, self.name = spark, op, name
 
     def __enter__(self) -> None:
+        self.began = time.monotonic()
         self.op.start(self.spark, self.name)
 
     def __exit__(self, kind, *problem) -> None:
+        self.op.active_seconds += time.monotonic() - self.began
         self.op.finish(self.spark, self.name, failed=kind is not None)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.operators.numbering import numbered
 from lodestone.plans.expression import QueryError
 
 # Placeholders, type words in the order they are tested, tags of the tagged formats.
@@ -189,14 +191,14 @@ def citation(style: str, template: str = "") -> Column:
     return makers[style]()
 
 
-def numbered(papers: DataFrame, order: str = "ref") -> DataFrame:
-    """n from 1 in order; for exports, which are bounded lists of papers."""
+def listed(papers: DataFrame, order: str) -> DataFrame:
+    """n from 1 in order for an export, a list of at most a thousand papers."""
     return papers.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)).cast("long"))
 
 
-def citations(papers: DataFrame, style: str = "gbt7714", template: str = "", order: str = "ref") -> DataFrame:
-    """Rows (n, ref, text, missing_fields)."""
-    return numbered(papers, order).select("n", "ref", citation(style, template).alias("text"), missing_fields().alias("missing_fields"))
+def citations(papers: DataFrame, style: str = "gbt7714", template: str = "", order: str = "ref", number: Callable[[DataFrame, str], DataFrame] = numbered) -> DataFrame:
+    """Rows (n, ref, text, missing_fields) of a whole table; for a short list give number=listed."""
+    return number(papers, order).select("n", "ref", citation(style, template).alias("text"), missing_fields().alias("missing_fields"))
 
 
 def joined(cited: DataFrame, style: str = "gbt7714", size: int | None = None) -> DataFrame:

@@ -1,12 +1,11 @@
-"""Identity keys, verified matches, merging of observations and resolution."""
+"""Identity keys, verified matches and merging of observations."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.cluster import kept, ship
+from lodestone.cluster import kept
 from lodestone.functions import text as tx
 
 
@@ -134,64 +133,3 @@ def merge_observations(observations: DataFrame, by: str = "ref") -> DataFrame:
         last("year", open_ & (F.col("year") > 0)), last("abstract", F.coalesce("abstract", F.lit("")) != ""), last("cited", F.col("cited").isNotNull()), last("doi", F.coalesce("doi", F.lit("")) != ""),
         F.max("seq").alias("last_seq"), F.count_if("is_detail").alias("details"),
     )
-
-
-def resolve(observations: DataFrame) -> DataFrame:
-    """First-match resolution in arrival order: (seq, ref) for observations (seq, ref, keys...).
-
-    Observations that share a key, directly or through others, are folded one after the other; the
-    component is found first, so that only its members meet in a task. Records of a component are
-    compared in ref order and the first verified one wins; existing records are never fused.
-    """
-    keyed = with_component(observations)
-
-    names = ("native_key", "doi_key", "bib_key", "dbcode")
-
-    def agrees(a: dict, r: dict) -> bool:
-        if any(a[c] and r[c] and a[c].lower() != r[c].lower() for c in IDS):
-            return False
-        return bool((a["doi_key"] and r["doi_key"]) or (a["native_key"] and r["native_key"]) or (a["bib_key"] and a["bib_key"] == r["bib_key"]))
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        known: dict[str, dict] = {}
-        by_key: dict[str, set[str]] = {}
-        out = []
-        for r in df.sort_values("seq").to_dict("records"):
-            r |= {c: r[c] or "" for c in names}
-            keys = [(c, r[c]) for c in names[:3] if r[c]]
-            candidates = sorted(set().union(*(by_key.get(k, ()) for k in keys)))
-            match = next((ref for ref in candidates if agrees(known[ref], r)), None)
-            if match is None:
-                match = r["ref"] if r["ref"] not in known else f"{r['ref']}_{r['seq']}"
-                known[match] = {c: r[c] for c in names}
-            else:
-                known[match] |= {c: r[c] for c in names if r[c]}
-            for k in keys:
-                by_key.setdefault(k, set()).add(match)
-            out.append((r["seq"], match))
-        return pd.DataFrame(out, columns=["seq", "ref"])
-
-    ship(observations.sparkSession)
-    return keyed.groupBy("component").applyInPandas(run, "seq long, ref string")
-
-
-def with_component(observations: DataFrame) -> DataFrame:
-    """observations with the smallest seq that shared keys reach, by repeated minima until nothing changes.
-
-    Each round also lowers the label of a label's own row and then takes the label of the label, so
-    that long chains settle in few rounds; there is no limit to them.
-    """
-    links = observations.select("seq", F.explode(identity_keys()).alias("key"))
-    label = kept(observations.select("seq", F.col("seq").alias("component")).distinct())
-    moved = True
-    while moved:
-        per_key = links.join(label, "seq").groupBy("key").agg(F.min("component").alias("low"))
-        per_seq = links.join(per_key, "key").groupBy("seq").agg(F.min("low").alias("low"))
-        near = kept(label.join(per_seq, "seq", "left"))
-        hook = near.groupBy("component").agg(F.min("low").alias("hook")).select(F.col("component").alias("seq"), "hook")
-        low = kept(near.join(hook, "seq", "left").select("seq", F.col("component").alias("old"), F.least("component", "low", "hook").alias("component")))
-        up = low.select(F.col("seq").alias("component"), F.col("component").alias("up"))
-        new = kept(low.join(up, "component").select("seq", F.least("component", "up").alias("component"), (F.col("up") < F.col("old")).alias("moved")))
-        moved = new.where("moved").limit(1).count() > 0
-        label = new.select("seq", "component")
-    return observations.join(label, "seq")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.operators import identity
 from lodestone.plans.expression import QueryError
 
 
@@ -69,22 +70,64 @@ def quality_view(papers: DataFrame) -> DataFrame:
     return papers.select("ref", F.when(F.col("state").isNotNull(), F.when(text == "{}", '{"state":"no_indexing_or_metrics_shown"}').otherwise(text)).alias("quality"))
 
 
-def with_details(papers: DataFrame, details: DataFrame) -> DataFrame:
-    """papers with the values of their details where these have any; titles must agree, else the detail is of another paper.
+def bind_details(papers: DataFrame, details: DataFrame, at: str = "detail_at") -> DataFrame:
+    """papers with the values of their details where these have any, and detail_error: IDENTITY_CONFLICT where the detail is of another paper.
 
-    Native keys that a detail lacks stay.
+    Of several details of a ref the newest counts; details without a time are compared by their values, so
+    that the choice does not depend on their order. A detail is bound if no identifier conflicts and
+    titles, first authors and sources agree as far as both have them. What it lacks stays.
     """
     names = [c for c in papers.columns if c in details.columns and c != "ref"]
-    found = details.select("ref", F.struct("*").alias("__d"))
-    both = papers.join(found, "ref", "left")
-    same = tx.title_key("title") == tx.title_key(F.coalesce(F.col("__d.title"), F.lit(""))) if "title" in details.columns else F.col("__d").isNotNull()
+    rest = [c for c in details.columns if c != "ref"]
+    last = F.struct(*([at] if at in rest else []), F.to_json(F.struct(*rest)))
+    newest = details.groupBy("ref").agg(F.max_by(F.struct(*rest), last).alias("d"))
+    both = papers.select("ref", F.struct(*papers.columns).alias("p")).join(newest, "ref", "left")
+
+    def side(s: str, columns: list[str]) -> Column:
+        """What identity compares, of the paper or its detail."""
+        kinds = {"title": "string", "authors": "array<string>", "source": "string", "doi": "string", "dbname": "string", "filename": "string", "dbcode": "string"}
+        have = {c: F.coalesce(F.col(f"{s}.{c}"), F.lit(None).cast(k)) if c in columns else F.lit(None).cast(k) for c, k in kinds.items()}
+        keys = {"doi_key": tx.doi_key(F.coalesce(have["doi"], F.lit(""))), "native_key": tx.native_key(have["dbname"], have["filename"])}
+        return F.struct(*(v.alias(c) for c, v in (have | keys).items()))
+
+    both = both.withColumns({"a": side("p", papers.columns), "b": side("d", rest)})
+    # a detail without a title of its own says nothing against the paper's
+    if "title" not in rest:
+        both = both.withColumn("b", F.col("b").withField("title", F.col("a.title")))
+    same = identity.detail_matches("a", "b")
 
     def merged(name: str) -> Column:
-        new = F.col(f"__d.{name}")
+        new = F.col(f"d.{name}")
         empty = F.size(new) <= 0 if dict(papers.dtypes)[name].startswith("array") else new.cast("string") == ""
-        return F.when(F.coalesce(same & new.isNotNull() & ~empty, F.lit(False)), new).otherwise(F.col(name)).alias(name)
+        return F.when(F.coalesce(F.col("d").isNotNull() & same & new.isNotNull() & ~empty, F.lit(False)), new).otherwise(F.col(f"p.{name}")).alias(name)
+
+    error = F.when(F.col("d").isNotNull() & ~F.coalesce(same, F.lit(False)), "IDENTITY_CONFLICT").alias("detail_error")
+    return both.select(*[merged(c) if c in names else F.col(f"p.{c}").alias(c) for c in papers.columns], error)
+
+
+def with_details(papers: DataFrame, details: DataFrame) -> DataFrame:
+    """papers with what their details add; one row for each paper."""
+    return bind_details(papers, details).drop("detail_error")
+
 
-    return both.select(*[merged(c) if c in names else F.col(c) for c in papers.columns])
+def located(papers: DataFrame, rows: DataFrame) -> DataFrame:
+    """(ref, found, error) of papers among listed rows of the same title: one whose identity agrees, or why there is none.
+
+    papers and rows have keys (with_keys); a paper without any key takes the one row that has its title.
+    Rows that agree in title and all identifiers are one class with its number, and papers meet classes by
+    title and key, so neither a common title nor many copies make pairs.
+    """
+    title, low = tx.title_key("title").alias("key"), F.lower(F.coalesce("dbcode", F.lit(""))).alias("dbcode")
+    of_class = rows.select(title, "doi_key", "native_key", low, "bib_key", "ref").groupBy("key", "doi_key", "native_key", "dbcode", "bib_key").agg(F.count(F.lit(1)).alias("n"), F.min("ref").alias("first"))
+    mine = papers.select("ref", title, "doi_key", "native_key", low, "bib_key")
+    a = mine.select("ref", "key", F.struct("doi_key", "native_key", "dbcode", "bib_key").alias("a"), F.explode(identity.identity_keys()).alias("id"))
+    b = of_class.select("key", F.struct("doi_key", "native_key", "dbcode", "bib_key", "n", "first").alias("b"), F.explode(identity.identity_keys()).alias("id"))
+    keyed = a.join(b, ["key", "id"]).where(identity.same_paper("a", "b")).select("ref", "b").distinct().select("ref", "b.n", "b.first")
+    per_title = of_class.groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    bare = mine.where(F.size(identity.identity_keys()) == 0).join(per_title, "key").select("ref", "n", "first")
+    per_ref = keyed.union(bare).groupBy("ref").agg(F.sum("n").alias("n"), F.min("first").alias("found"))
+    error = F.when(F.col("n").isNull(), "DOCUMENT_NOT_FOUND").when(F.col("n") > 1, "IDENTITY_AMBIGUOUS")
+    return papers.select("ref").join(per_ref, "ref", "left").select("ref", F.when(F.col("n") == 1, F.col("found")).alias("found"), error.alias("error"))
 
 
 def page_of(entries: DataFrame, scope: str = "candidates", offset: int = 0, limit: int = 50) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -18,9 +21,17 @@ from lodestone.plans.expression import QueryError
 SCHEMA_VERSION = 1
 RETENTION_DAYS = {"operations": 7, "searches": 14, "snapshots": 60}
 CACHE_MINUTES, DETAIL_DAYS, PRESENT_DAYS, UNKNOWN_DAYS = 10, 30, 7, 1
+BUCKETS = 64
+PENDING = "log-"
+"""Names of batches that are seen once the log has them begin with it."""
 RESUMABLE = ("BUDGET_EXHAUSTED", "SITE_TEMPORARILY_EMPTY", "RATE_LIMITED", "TIMEOUT")
 
 
+def bucket_of(key: Column) -> Column:
+    """Bucket of a key: its CRC-32 modulo BUCKETS, which zlib gives alike."""
+    return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(BUCKETS)).cast("int")
+
+
 def newest(df: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     """The newest row of each key; combines on the map side."""
     rest = [c for c in df.columns if c != key]
@@ -109,6 +120,7 @@ class Operation:
     errors: list[str] = field(default_factory=list)
     done: list[str] = field(default_factory=list)
     progress: tuple[int, int] | None = None
+    active_seconds: float = 0.0
 
     def charge(self, n: int = 1) -> None:
         if self.status == "cancelled":
@@ -172,6 +184,13 @@ class Store:
     one that is there already is not written again, so a replay changes nothing, and writers of
     different batches do not meet. compact() makes a new base, whose list of batches is written before
     it, so that a crash between the two neither loses nor doubles a row.
+
+    What depends on the rows before it goes through the table's log: a writer reads, writes its rows
+    out of sight and then creates the log's next entry, which only one can. Who comes late starts anew
+    from what the other has written, so versions follow one another and no change is lost.
+
+    Tables with a key lie in buckets by its checksum, sorted and with Bloom filters on it, so that a
+    lookup of few keys opens the files of their buckets and reads the row groups that may have them.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -203,8 +222,52 @@ class Store:
 
     def batches(self, name: str) -> list[str]:
         """Names of the appended batches that the base does not hold."""
-        held = self._held(name)
-        return [b for b in self._complete(name, "a=") if b not in held]
+        held, logged = self._held(name), set(self._log(name).values())
+        return [b for b in self._complete(name, "a=") if b not in held and (not b.startswith(PENDING) or b in logged)]
+
+    def _log(self, name: str) -> dict[int, str]:
+        """The table's log: number of an entry to the batch that it made visible."""
+        folder = f"{self.root}/v{SCHEMA_VERSION}/{name}/log"
+        if not [n for n in self._names(folder) if n[0] != "."]:
+            return {}
+        rows = self.spark.read.text(folder).select(F.col("_metadata.file_name").alias("entry"), "value").collect()  # an entry for each change since the last base
+        return {int(r["entry"]): r["value"] for r in rows}
+
+    def _claim(self, name: str, number: int, batch: str) -> bool:
+        """Creates an entry of the log, unless there is one of that number."""
+        try:
+            write_file(self.spark, f"{self.root}/v{SCHEMA_VERSION}/{name}/log", f"{number:012d}", batch.encode())
+        except QueryError as e:
+            if e.code != "FILE_EXISTS":
+                raise
+            return False
+        return True
+
+    def commit(self, name: str, make: Callable[[int], DataFrame | None], key: str | None = None) -> int:
+        """Appends what make(version) gives of the table as it then is; made anew while others come first. Gives the version."""
+        while True:
+            number, batch = max(self._log(name), default=0) + 1, f"{PENDING}{uuid.uuid4().hex}"
+            rows = make(number)
+            if rows is None:
+                return number - 1
+            self._put(name, rows, batch, key=key)
+            if self._claim(name, number, batch):
+                return number
+            self._delete(f"{self.root}/v{SCHEMA_VERSION}/{name}/a={batch}")
+
+    def exists(self, name: str) -> bool:
+        """Whether there is a file or folder of a name below the root."""
+        return self._exists(f"{self.root}/{name}")
+
+    def names(self, folder: str) -> list[str]:
+        return self._names(f"{self.root}/{folder}")
+
+    def delete(self, name: str) -> None:
+        self._delete(f"{self.root}/{name}")
+
+    def _delete(self, path: str) -> None:
+        p = self._path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def _base(self, name: str) -> str | None:
         found = sorted(self._complete(name, "n="), key=lambda n: (int(n.split("-")[0]), n))
@@ -221,12 +284,13 @@ class Store:
     def read(self, name: str) -> DataFrame | None:
         folder, base = f"{self.root}/v{SCHEMA_VERSION}/{name}", self._base(name)
         parts = [self.spark.read.parquet(f"{folder}/n={base}")] if base else []
-        parts += [self.spark.read.parquet(f"{folder}/a={b}") for b in self.batches(name)]
+        # a batch without rows that is laid out by a column has no file
+        parts += [self.spark.read.parquet(f"{folder}/a={b}") for b in self.batches(name) if any(n[0] not in "_." for n in self._names(f"{folder}/a={b}"))]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
     def write(self, name: str, df: DataFrame) -> None:
         """A new base in place of all that the table holds; readers keep theirs."""
-        self._rebase(name, df, sorted(self._held(name) | set(self._complete(name, "a="))))
+        self._rebase(name, df, sorted(self._held(name) | set(self.batches(name))))
 
     def _rebase(self, name: str, df: DataFrame, held: list[str]) -> None:
         found = self.versions(name)
@@ -238,11 +302,38 @@ class Store:
     def append(self, name: str, df: DataFrame, batch: str | None = None, partition: str | None = None) -> None:
         """Adds a batch; one whose name is known is left alone."""
         batch = batch or uuid.uuid4().hex
-        if self.has(name, batch):
-            return
+        if not self.has(name, batch):
+            self._put(name, df, batch, partition)
+
+    def append_keyed(self, name: str, df: DataFrame, key: str, batch: str | None = None) -> None:
+        """The same for a table with a key."""
+        batch = batch or uuid.uuid4().hex
+        if not self.has(name, batch):
+            self._put(name, df, batch, key=key)
+
+    def _put(self, name: str, df: DataFrame, batch: str, partition: str | None = None, key: str | None = None) -> None:
+        if key:
+            partition = "bucket"
+            df = df.withColumn("bucket", bucket_of(F.col(key))).repartition("bucket").sortWithinPartitions("bucket", key)
         writer = df.write.mode("overwrite")  # what a broken attempt left behind
+        if key:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", "100000")
         (writer.partitionBy(partition) if partition else writer).parquet(f"{self.root}/v{SCHEMA_VERSION}/{name}/a={batch}")
 
+    def lookup(self, name: str, key: str, values: list[str]) -> DataFrame | None:
+        """Rows of a table with a key that have one of a few values; opens the buckets of these alone."""
+        now = self.read(name)
+        buckets = sorted({zlib.crc32(v.encode()) % BUCKETS for v in values})
+        return None if now is None else now.where(F.col("bucket").isin(buckets) & F.col(key).isin(values))
+
+    def matching(self, name: str, key: str, values: DataFrame) -> DataFrame | None:
+        """The same for a column of distinct values, however many."""
+        now = self.read(name)
+        if now is None:
+            return None
+        buckets = [r["b"] for r in values.select(bucket_of(F.col(key)).alias("b")).distinct().collect()]  # at most BUCKETS
+        return now.where(F.col("bucket").isin(buckets)).join(values.select(key), key, "left_semi")
+
     def compact(self, name: str, reduce_rows=lambda df: df) -> None:
         """One base of the base and its batches; reduce_rows may drop rows that others replace."""
         now = self.read(name)
@@ -250,9 +341,13 @@ class Store:
             self._rebase(name, reduce_rows(now), sorted(self._held(name) | set(self.batches(name))))
 
     def update(self, name: str, key: str, value: str, change) -> None:
-        """Changes the newest row of one key by a function of a one-row table; a new row that supersedes it."""
-        row = current(self.read(name), key).where(F.col(key) == value)
-        self.append(name, change(row.drop("version")).withColumn("version", F.lit(self.next_version(name)).cast("long")))
+        """Changes the newest row of one key by a function of a one-row table: a new row supersedes it, whoever else writes."""
+
+        def make(version: int) -> DataFrame:
+            row = current(self.read(name), key).where(F.col(key) == value)
+            return change(row.drop("version")).withColumn("version", F.lit(max(version, self.next_version(name))).cast("long"))
+
+        self.commit(name, make)
 
     def next_version(self, name: str) -> int:
         """Larger than the version of any row that is stored."""
@@ -289,6 +384,28 @@ def check_name(name: str) -> None:
         raise QueryError("INVALID_FILENAME", name)
 
 
+def write_json(spark: SparkSession, folder: str, name: str, value: object) -> str:
+    """Writes one JSON file whole, in place of the one that has the name; readers see the old or the new one."""
+    check_name(name)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    target, draft = path(f"{folder.rstrip('/')}/{name}"), path(f"{folder.rstrip('/')}/.write_{uuid.uuid4().hex}")
+    fs = target.getFileSystem(conf)
+    fs.mkdirs(target.getParent())
+    try:
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(value, ensure_ascii=False, separators=(",", ":")).encode()))
+        out.close()
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), conf)
+        context.rename(fs.makeQualified(draft), fs.makeQualified(target), options)
+    finally:
+        fs.delete(draft, False)
+    return target.toString()
+
+
 def write_file(spark: SparkSession, folder: str, name: str, data: bytes) -> tuple[str, int, str]:
     """Writes one file, whole or not at all and never over another: (path, bytes, SHA-256).
 

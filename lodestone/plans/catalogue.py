@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.cluster import new_folder
+from lodestone.functions import tables as table_functions
 from lodestone.functions import text as tx
-from lodestone.operators import cite, identity, links, project, retrieve, state
+from lodestone.operators import asof, cite, identity, limiter, links, lookups, project, resolution, retrieve, state
 from lodestone.operators import rank as rk
 from lodestone.plans import expression as ex
 from lodestone.plans.planner import Channel, make_plan
@@ -202,6 +204,28 @@ def coverage_table(spark, d):
     return retrieve.coverage(_scanned(spark, d))
 
 
+@query("coverage_totals", f"""WITH {PAPERS}, {CHANNELS}, t AS (SELECT channel, count(*) AS total FROM scan GROUP BY channel)
+  SELECT channel, coalesce(max(page), 0) AS pages, count(ref) AS rows, any_value(total) AS total, count(ref) >= any_value(total) AS exhausted, CAST(NULL AS VARCHAR) AS error FROM t LEFT JOIN scanned USING (channel) GROUP BY channel""")
+def coverage_totals(spark, d):
+    """Per channel how much of it was read, and whether that is all."""
+    plan = make_plan(concept_groups=CONCEPTS)
+    return retrieve.full_coverage(_scanned(spark, d), retrieve.totals(tables.papers(spark, d), plan.channels))
+
+
+@query("cursor_pages", f"""WITH {PAPERS}, m AS (SELECT ref, row_number() OVER (ORDER BY coalesce(cited, -1) DESC, ref) AS position, count(*) OVER () AS total FROM papers WHERE contains({s_norm("title")}, 'the'))
+  SELECT position, ref, (position - 1) // 60 + 1 AS page, total, (total + 59) // 60 AS last_page FROM m WHERE position <= 240""")
+def cursor_pages(spark, d):
+    """Four pages, each found by the cursor of the one before."""
+    p, channel, cursor, out = tables.papers(spark, d), Channel("q1", ex.term("title", "the")), "", []
+    for _ in range(4):
+        page = retrieve.grid_page(p, channel, [], "citations", cursor=cursor, size=60)
+        out.append(page.rows.select("position", "ref", F.lit(page.page).cast("long").alias("page"), F.lit(page.total).cast("long").alias("total"), F.lit(page.last_page).cast("long").alias("last_page")))
+        cursor = page.cursor
+        if page.exhausted:
+            break
+    return reduce(DataFrame.union, out)
+
+
 @query("round_stop", f"""WITH {PAPERS}, {CHANNELS}, f AS (SELECT ref, min(page) AS round FROM scanned GROUP BY ref), r AS (SELECT round, count(*) AS new FROM f GROUP BY round)
   SELECT round, new, CAST(sum(new) OVER (ORDER BY round) AS BIGINT) AS known FROM r""")
 def round_stop(spark, d):
@@ -231,13 +255,15 @@ def token_counts(spark, d):
     return tables.table(spark, d, "documents").select("doc_id", big(F.size(tx.tokens(F.coalesce("text", F.lit(""))))).alias("n"))
 
 
-HAN = ["图像识别", "深度学习 model", "C++ 编程", "a中b", "", "知识 图谱技术"]
+# Letters become Han characters, so that names of the given table hold runs of them.
+LATIN, HAN = "abcdefghijklmnopq", "图像识别深度学习模型知谱技术编程中"
 
 
-@query("han_bigrams", f"""SELECT t, array_to_string(list_sort(list_distinct(list_filter(list_transform(range(1, greatest(length(t), 1)), lambda i: substr(t, i, 2)),
-  lambda x: regexp_matches(x, '^\\p{{Han}}\\p{{Han}}$')))), ',') AS bigrams FROM (SELECT unnest({HAN!r}) AS t)""")
+@query("han_bigrams", f"""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(range(1, greatest(length(t), 1)), lambda i: substr(t, i, 2)),
+  lambda x: regexp_matches(x, '^\\p{{Han}}\\p{{Han}}$')))), ',') AS bigrams FROM (SELECT p_partkey, translate(lower(p_name), '{LATIN}', '{HAN}') AS t FROM part)""")
 def han_bigrams(spark, d):
-    return spark.createDataFrame([(t,) for t in HAN], "t string").select("t", F.array_join(F.array_sort(tx.han_bigrams("t")), ",").alias("bigrams"))
+    text = F.translate(F.lower("p_name"), LATIN, HAN)
+    return tables.table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(tx.han_bigrams(text)), ",").alias("bigrams"))
 
 
 @query("dice_overlap", f"WITH {PAPERS} SELECT ref, round({s_dice(s_tokens('title'))}, 6) AS dice FROM papers")
@@ -277,9 +303,13 @@ def select_threshold(spark, d):
     return rk.select(_ranked(spark, d)).select("ref", F.round("score", 6).alias("score"))
 
 
-@query("pool_size", """SELECT n, CAST(least(n, CASE WHEN n <= 30 THEN n WHEN n <= 100 THEN 40 WHEN n <= 300 THEN 60 ELSE 80 END) AS BIGINT) AS size FROM range(0, 400) t(n)""")
+@query("pool_size", """WITH g AS (SELECT 'part' AS what, l_partkey AS id, count(*) AS n FROM lineitem GROUP BY l_partkey UNION ALL SELECT 'supplier', l_suppkey, count(*) FROM lineitem GROUP BY l_suppkey)
+  SELECT what, id, n, CAST(least(n, CASE WHEN n <= 30 THEN n WHEN n <= 100 THEN 40 WHEN n <= 300 THEN 60 ELSE 80 END) AS BIGINT) AS size FROM g""")
 def pool_size(spark, d):
-    return spark.range(400).select(F.col("id").alias("n"), big(rk.pool_size(F.col("id"))).alias("size"))
+    """Pools for candidate sets as large as the groups of a table."""
+    t = tables.table(spark, d, "lineitem")
+    groups = [t.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit(what)) for what, c in (("part", "l_partkey"), ("supplier", "l_suppkey"))]
+    return groups[0].union(groups[1]).select("what", "id", "n", big(rk.pool_size(F.col("n"))).alias("size"))
 
 
 @query("pool_top", f"WITH {RANKED} SELECT ref FROM ordered WHERE rank <= (SELECT least(count(*), CASE WHEN count(*) <= 30 THEN count(*) WHEN count(*) <= 100 THEN 40 WHEN count(*) <= 300 THEN 60 ELSE 80 END) FROM ranked)")
@@ -374,7 +404,9 @@ def dedup_links(spark, d):
   SELECT a AS seq, min(b) AS component FROM r GROUP BY a""")
 def key_components(spark, d):
     """Records that shared keys bring together, directly or through others."""
-    return identity.with_component(_linked_papers(spark, d).withColumn("seq", F.col("doc_id"))).select("seq", "component")
+    p = _linked_papers(spark, d)
+    linked = resolution.labelled(p.select(F.col("doc_id").alias("node"), F.explode(identity.identity_keys()).alias("key")))
+    return p.join(linked, p["doc_id"] == linked["node"], "left").select(F.col("doc_id").alias("seq"), F.coalesce("component", "doc_id").alias("component"))
 
 
 @query("merge_observations", f"""WITH {PAPERS}, o AS (
@@ -387,9 +419,53 @@ def merge_observations(spark, d):
     return identity.merge_observations(tables.observations(spark, d)).select("ref", "title", "source", big("year").alias("year"), "abstract", "cited")
 
 
+def _colliding(spark, d):
+    """Observations of papers of which some share identifiers, some a ref with another paper, and some come twice."""
+    i = F.col("doc_id")
+    p = _linked_papers(spark, d).withColumn("ref", F.when(i % 10 == 0, F.concat(F.lit("shared"), F.floor(i / 50))).otherwise(F.col("ref")))
+    twice = F.explode(F.when(i % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return p.withColumn("again", twice).withColumns({"seq": (2 * i + F.col("again")).cast("long"), "is_detail": F.col("again") == 1, "locator": F.lit("")})
+
+
 @query("resolve_batch")
 def resolve_batch(spark, d):
-    return identity.resolve(_linked_papers(spark, d).withColumn("seq", F.col("doc_id")))
+    """Observations in three batches, resolved against what the batches before have stored, in a new store."""
+    store = resolution.PaperStore(state.Store(spark, new_folder(spark, "resolve")))
+    o, out = _colliding(spark, d), []
+    third = [F.pmod(F.floor(F.col("seq") / 2), F.lit(3)) == k for k in range(3)]
+    for k, part in enumerate(third):
+        out.append(store.upsert(o.where(part), f"batch-{k}").withColumn("batch", F.lit(k)))
+    return reduce(DataFrame.union, out)
+
+
+@query("keyed_lookup")
+def keyed_lookup(spark, d):
+    """Forty papers by ref from a table that is bucketed by it, in a new store."""
+    p = tables.papers(spark, d)
+    store = state.Store(spark, new_folder(spark, "lookup"))
+    store.append_keyed("papers", p, "ref", "all")
+    asked = [r["ref"] for r in spark.range(40).select(tx.record_ref(tx.native_key(F.lit("DOC"), (7 * F.col("id") % 300).cast("string"))).alias("ref")).collect()]
+    return store.lookup("papers", "ref", asked).select("ref", "title", "doi")
+
+
+@query("detail_bind", f"""WITH {PAPERS}, f AS (SELECT *, doc_id % 2 = 0 AS has, doc_id % 2 = 0 AND doc_id % 10 = 0 AND doi <> '' AS bad, CASE WHEN doc_id % 6 = 0 THEN 2 ELSE 1 END AS k FROM papers)
+  SELECT ref, CASE WHEN has AND NOT bad THEN 'detail ' || k ELSE abstract END AS abstract, CASE WHEN has AND NOT bad AND doc_id % 10 = 0 THEN '10.9/other' ELSE doi END AS doi, CASE WHEN bad THEN 'IDENTITY_CONFLICT' END AS detail_error FROM f""")
+def detail_bind(spark, d):
+    """Details of every second paper, some read twice and some of another paper."""
+    p, i = tables.papers(spark, d), F.col("doc_id")
+    times = F.explode(F.when(i % 6 == 0, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("detail_at")
+    details = p.where(i % 2 == 0).select("ref", "title", "authors", F.when(i % 10 == 0, "10.9/other").otherwise("").alias("doi"), times)
+    details = details.withColumn("abstract", F.concat(F.lit("detail "), "detail_at"))
+    return project.bind_details(p, details).select("ref", "abstract", "doi", "detail_error")
+
+
+@query("locate_identity", f"""WITH {LINKED}, m AS (SELECT x.ref, y.ref AS found FROM lk x JOIN lk y ON {s_title('x.title')} = {s_title('y.title')} AND y.doc_id % 3 <> 1
+    WHERE ({SAME}) OR (x.doi_key = '' AND x.native_key = '' AND x.bib_key = '')), n AS (SELECT ref, count(*) AS n, min(found) AS found FROM m GROUP BY ref)
+  SELECT ref, CASE WHEN n = 1 THEN n.found END AS found, CASE WHEN n IS NULL THEN 'DOCUMENT_NOT_FOUND' WHEN n > 1 THEN 'IDENTITY_AMBIGUOUS' END AS error FROM lk LEFT JOIN n USING (ref)""")
+def locate_identity(spark, d):
+    """Each paper among two thirds of the rows, by title and identity."""
+    p = _linked_papers(spark, d)
+    return project.located(p, p.where(F.col("doc_id") % 3 != 1))
 
 
 @query("enrich_join", f"WITH {PAPERS}, {JOURNAL} SELECT p.ref, coalesce(present, false) AS present, round(composite, 6) AS composite FROM papers p LEFT JOIN journal j ON lower(trim(p.source)) = j.source_key")
@@ -495,12 +571,13 @@ def field_projection(spark, d):
     return project.fields(tables.papers(spark, d), ["doi", "title", "no_such_field"])
 
 
-COUNTS = ["12", "1,234", "1.25万", "abc", "", "3.5", "0.00005万", "2 万"]
-
-
-@query("parse_counts", "SELECT * FROM (VALUES ('12', 12), ('1,234', 1234), ('1.25万', 12500), ('abc', NULL), ('', NULL), ('3.5', 4), ('0.00005万', 1), ('2 万', 20000)) t(s, n)")
+@query("parse_counts", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_custkey WHEN 1 THEN o_custkey WHEN 2 THEN o_custkey * 100 END AS n FROM orders""")
 def parse_counts(spark, d):
-    return spark.createDataFrame([(x,) for x in COUNTS], "s string").select("s", big(tx.parse_count("s")).alias("n"))
+    """Counts as pages print them: plain, with separators, in ten thousands, and none."""
+    k, n = F.col("o_orderkey") % 5, F.col("o_custkey")
+    tens = F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"), F.lit("万"))
+    shown = F.when(k == 0, n.cast("string")).when(k == 1, F.format_number(n, 0)).when(k == 2, tens).when(k == 3, F.col("o_orderpriority")).otherwise("")
+    return tables.table(spark, d, "orders").select("o_orderkey", big(tx.parse_count(shown)).alias("n"))
 
 
 @query("parse_years", "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y FROM orders")
@@ -746,3 +823,57 @@ def cached_searches(spark, d):
     """The newest search of each key within ten minutes."""
     e = _events(spark, d).where(F.col("ts") <= _as_of()).withColumnRenamed("event_type", "cache_key").withColumn("at", F.struct("ts", "event_id"))
     return state.newest(state.cached(e, _as_of()).select("cache_key", "event_id", "at"), "cache_key", "at").select("cache_key", "event_id")
+
+
+# ---- joins over time and place, limits -------------------------------------------------------------
+
+
+@query("asof_snapshots", """SELECT r.event_id, s.event_id AS snapshot FROM (SELECT * FROM events WHERE event_id % 3 <> 0) r
+  ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_id % 3 = 0 GROUP BY user_id, ts) s ON r.user_id = s.user_id AND r.ts >= s.ts AND true
+  WHERE s.event_id IS NULL OR r.ts - s.ts <= INTERVAL 2 DAY
+  UNION ALL SELECT r.event_id, NULL FROM (SELECT * FROM events WHERE event_id % 3 <> 0) r
+  ASOF JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_id % 3 = 0 GROUP BY user_id, ts) s ON r.user_id = s.user_id AND r.ts >= s.ts WHERE r.ts - s.ts > INTERVAL 2 DAY""")
+def asof_snapshots(spark, d):
+    """For each request the snapshot of its user that was the newest then, if no older than two days."""
+    e = _events(spark, d)
+    out = asof.asof_join(e.where("event_id % 3 <> 0"), e.where("event_id % 3 = 0").select("user_id", "ts", "event_id"), "user_id", "ts", "ts", "event_id", 2 * 86_400)
+    return out.select("event_id", F.col("snapshot.event_id").alias("snapshot"))
+
+
+@query("span_pages", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+  s AS (SELECT doc_id, n, length(line) AS size, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) - length(line) - 1 AS a FROM l),
+  p AS (SELECT doc_id, o // 700 AS page, o AS a, least(o + 700, length(text)) AS b FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 700)) AS o FROM documents))
+  SELECT s.doc_id, n AS line, page FROM s JOIN p ON s.doc_id = p.doc_id AND s.a < p.b AND p.a < s.a + size WHERE size > 0""")
+def span_pages(spark, d):
+    """Which pages of 700 characters each line of a text lies on."""
+    docs = tables.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    line = Window.partitionBy("doc_id").orderBy("n")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("n"), F.char_length("line").cast("long").alias("size"))
+    lines = lines.withColumn("a", F.sum(F.col("size") + 1).over(line) - F.col("size") - 1).withColumn("b", F.col("a") + F.col("size"))
+    pages = docs.select("doc_id", F.char_length("text").cast("long").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.char_length("text").cast("long") - 1, F.lit(0).cast("long")), F.lit(700).cast("long"))).alias("a"))
+    pages = pages.select("doc_id", F.floor(F.col("a") / 700).alias("page"), "a", F.least(F.col("a") + 700, F.col("n")).alias("b"))
+    met = asof.overlapping(lines, pages, "doc_id", ("a", "a"), ("b", "b"), 700)
+    return met.select("a.doc_id", big("a.n").alias("line"), "b.page")
+
+
+@query("lookups_to_ask", f"""SELECT DISTINCT user_id AS key FROM events WHERE event_id % 2 = 0 AND user_id NOT IN
+  (SELECT user_id FROM events WHERE event_id % 5 = 0 AND ts > TIMESTAMP '{AS_OF}' - INTERVAL 60 MINUTE AND ts <= TIMESTAMP '{AS_OF}')""")
+def lookups_to_ask(spark, d):
+    """Keys to look up, each once, without those that failed within the hour before."""
+    e = _events(spark, d)
+    return lookups.to_ask(e.where("event_id % 2 = 0").select(F.col("user_id").alias("key")), e.where("event_id % 5 = 0").select(F.col("user_id").alias("key"), F.col("ts").alias("at")), _as_of())
+
+
+@query("rate_limits")
+def rate_limits(spark, d):
+    """Starts of requests whose every seventh answer asks to slow down."""
+    e = _events(spark, d).select("event_id", "event_type", F.unix_millis("ts").alias("at_ms"), (F.col("event_id") % 7 == 0).alias("slow"))
+    return limiter.starts(e, 500, "event_type", order=["at_ms", "event_id"]).select("event_id", F.round("backoff", 6).alias("backoff"), "start_ms")
+
+
+@query("sections_in_sql")
+def sections_in_sql(spark, d):
+    """Headings of pages by a table function in SQL."""
+    table_functions.register(spark)
+    pages = tables.table(spark, d, "pages")
+    return spark.sql("SELECT p.page_id, CAST(s.pos AS BIGINT) AS pos, CAST(s.level AS BIGINT) AS level, s.title, s.offset FROM {pages} p, LATERAL page_sections(p.html, p.url) s", pages=pages)

@@ -38,6 +38,11 @@ class Expression:
     items: tuple[Expression, ...] = ()
 
 
+def as_expression(fields: dict) -> Expression:
+    """An expression from its fields, such as a stored one."""
+    return Expression(**(fields | {"items": tuple(as_expression(x) for x in fields["items"])}))
+
+
 def term(name: str, value: str, match: str = "phrase") -> Expression:
     return Expression(name, value, match)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators import identity
+from lodestone.operators.resolution import PaperStore
 from lodestone.operators.state import Store, current
 
 
@@ -48,6 +49,11 @@ def run_upserts(stream: DataFrame, store: Store, checkpoint: str, query: str = "
     return stream.writeStream.foreachBatch(lambda batch, n: upsert(store, batch, f"{query}-{n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_resolution(stream: DataFrame, papers: PaperStore, checkpoint: str, query: str = "resolution") -> StreamingQuery:
+    """Each micro-batch of observations (seq, ref, ...) is resolved by identity against the stored papers; a replayed one changes nothing."""
+    return stream.writeStream.foreachBatch(lambda batch, n: papers.upsert(batch, f"{query}-{n}") and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def first_searches(stream: DataFrame, ts: str = "ts", key: str = "cache_key", minutes: int = 10) -> DataFrame:
     """A search of a key at most once within the minutes; state older than that is dropped."""
     return stream.withWatermark(ts, f"{minutes} minutes").dropDuplicatesWithinWatermark([key])

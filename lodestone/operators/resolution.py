@@ -217,14 +217,14 @@ def labelled(links: DataFrame) -> DataFrame:
     while True:
         per_key = links.join(label, "node").groupBy("key").agg(F.min("component").alias("low"))
         per_node = links.join(per_key, "key").groupBy("node").agg(F.min("low").alias("low"))
-        near = written(label.join(per_node, "node", "left").select("node", "component", F.least("component", "low").alias("low")), "labels")
+        near = written(label.join(per_node, "node").select("node", "component", F.least("component", "low").alias("low")), "labels")
         hook = near.groupBy("component").agg(F.min("low").alias("hook")).select(F.col("component").alias("node"), "hook")
-        low = written(near.join(hook, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "low", "hook").alias("component")), "labels")
+        low = near.join(hook, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "low", "hook").alias("component"))
         up = low.select(F.col("node").alias("component"), F.col("component").alias("up"))
         new = written(low.join(up, "component").select("node", F.least("component", "up").alias("component"), (F.col("up") < F.col("old")).alias("moved")), "labels")
-        removed(label, near, low)
-        if new.where("moved").limit(1).count() == 0:
-            return new.drop("moved")
+        removed(label, near)
+        if new.where("moved").isEmpty():
+            return new
         label = new
 
 
@@ -279,7 +279,7 @@ class PaperStore:
         # what has a stored key in common with a record has the record in common
         links = written(own.union(own.join(known, "key").select("node", F.concat(F.lit("ref:"), "ref").alias("key"))).distinct(), "links")
         while True:
-            parts = labelled(links)
+            parts = labelled(links)  # node, component, moved
             of_key = links.join(parts, "node").select("key", "component").distinct()
             runs = written(_runs(obs.join(parts, F.col("seq") == F.col("node")).drop("node")), "runs")
             rows = [_input(runs.where("seq = head"), OBSERVATION)]
@@ -291,7 +291,7 @@ class PaperStore:
             made = folded.where((F.col("kind") == KEY) & F.col("ref").isNull()).select("component", "key")
             out = made.join(of_key.withColumnRenamed("component", "other"), "key").where("component <> other").select("component", "key", "other").distinct()
             bridges = written(out.select(F.col("component").alias("node"), "key").union(out.select(F.col("other").alias("node"), "key")).distinct(), "bridges")
-            if bridges.limit(1).count() == 0:
+            if bridges.isEmpty():
                 removed(links, parts, bridges)
                 return folded, runs
             more = written(links.union(bridges).distinct(), "links")

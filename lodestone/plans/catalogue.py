@@ -561,7 +561,23 @@ def brief_view(spark, d):
     return project.brief(tables.papers(spark, d))
 
 
-@query("full_view_json")
+def s_record(members: dict[str, str]) -> str:
+    """A JSON object of members, those that are null left out."""
+    parts = ", ".join(f"""'"{name}":' || CAST(to_json({value}) AS VARCHAR)""" for name, value in members.items())
+    return f"'{{' || array_to_string(list_filter([{parts}], lambda x: x IS NOT NULL), ',') || '}}'"
+
+
+def s_some(name: str, empty: str = "''") -> str:
+    return f"nullif({name}, {empty})"
+
+
+FULL = {
+    "doc_id": "doc_id", **{c: s_some(c) for c in ("ref", "title", "abstract", "source")}, "keywords": "CASE WHEN len(keywords) > 0 THEN keywords END", "authors": "authors", "year": s_some("year", "0"),
+    **{c: s_some(c) for c in ("doc_type",)}, "cited": "cited", **{c: s_some(c) for c in ("doi", "url", "volume", "issue", "pages")},
+}
+
+
+@query("full_view_json", f"WITH {PAPERS} SELECT ref, {s_record(FULL)} AS record FROM papers")
 def full_view_json(spark, d):
     return project.full_json(tables.papers(spark, d))
 
@@ -661,6 +677,14 @@ TEMPLATE = "{{{year}}} {authors}: {title} <{doi}> {type}"
 STYLES["custom"] = "'{' || y0 || '} ' || a || ': ' || title || ' <' || doi || '> ' || doc_type"
 
 
+CSL_TYPE = "CASE doc_type WHEN '会议' THEN 'paper-conference' WHEN '博士' THEN 'thesis' WHEN '硕士' THEN 'thesis' WHEN '报纸' THEN 'article-newspaper' WHEN '期刊' THEN 'article-journal' ELSE 'document' END"
+STYLES["csl_json"] = s_record({
+    "id": "ref", "type": CSL_TYPE, "title": "title", "author": "list_transform(authors, lambda x: {'literal': x})", "issued": "CASE WHEN year > 0 THEN {'date-parts': [[year]]} END",
+    **{k: s_some(c) for k, c in {"container-title": "source", "volume": "volume", "issue": "issue", "page": "pages", "DOI": "doi", "URL": "url", "abstract": "abstract"}.items()},
+})
+STYLES["json"] = s_record({c: c for c in ("ref", "title", "authors", "source", "year", "doc_type", "abstract", "keywords", "doi", "url", "volume", "issue", "pages")})
+
+
 def s_cell(x: str) -> str:
     safe = f"(CASE WHEN regexp_matches({x}, '^[ \\t\\r\\n]*[=+\\-@]') THEN '''' || {x} ELSE {x} END)"
     return f"CASE WHEN regexp_matches({safe}, '[\",\\r\\n]|^[ \\t]') THEN '\"' || replace({safe}, '\"', '\"\"') || '\"' ELSE {safe} END"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +46,16 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """Rows (doc_id, span, start, end, title); texts without a mark never leave the JVM."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            rows = [(d, k, a, b, t) for d, x in zip(df[doc_id], df[text], strict=True) for k, (a, b, t) in enumerate(reference_spans(x))]
-            yield pd.DataFrame(rows, columns=["doc_id", "span", "start", "end", "title"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, k, a, b, t) for n, x in enumerate(batch.column(1)) for k, (a, b, t) in enumerate(reference_spans(x.as_py()))]
+            at, *more = zip(*rows, strict=True) if rows else [()] * 5
+            cols = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(more, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "span", "start", "end", "title"])
 
     ship(docs.sparkSession)
     marked = docs.where(F.contains(F.col(text), F.lit(OPEN))).select(doc_id, text)
-    return marked.mapInPandas(run, f"doc_id {kind}, span long, start long, end long, title string")
+    return marked.mapInArrow(run, f"doc_id {kind}, span long, start long, end long, title string")
 
 
 def flat_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -494,7 +494,11 @@ def _marked(spark, d):
     return p.select("doc_id", body.alias("text"))
 
 
-@query("link_spans")
+@query("link_spans", f"""WITH {PAPERS}, m AS (SELECT doc_id, replace(replace(title, '`', ''), '[', '') AS t FROM papers),
+  s AS (SELECT doc_id, 0 AS span, 4 AS start, 6 + length(t) AS "end", t AS title FROM m UNION ALL SELECT doc_id, 1, 11 + length(t), 27 + length(t), 'Unknown《inner》' FROM m),
+  k AS (SELECT {s_title('title')} AS key, count(*) AS n, min(ref) AS ref, max(url) AS url FROM papers GROUP BY 1)
+  SELECT doc_id, span, start, "end", title, CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' WHEN url = '' THEN 'matched_without_link' ELSE 'linked' END AS status,
+    CASE WHEN n = 1 THEN ref END AS ref, CASE WHEN n = 1 THEN nullif(url, '') END AS url FROM s LEFT JOIN k ON k.key = {s_title('s.title')}""")
 def link_spans(spark, d):
     p = tables.papers(spark, d)
     return links.link(links.spans(_marked(spark, d)), p).select("doc_id", "span", "start", "end", "title", "status", "ref", "url")

@@ -122,6 +122,18 @@ def test_spacing_with_backoff(spark, monkeypatch, block):
     assert limiter.starts(df.limit(0), 300).collect() == []
 
 
+def test_given_requests_start_as_a_clock_says(spark):
+    from lodestone.plans import catalogue
+
+    events = tables.table(spark, str(DATA), "events").select("event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("at")).collect()
+    got = {r["event_id"]: (r["backoff"], r["start_ms"]) for r in catalogue.QUERIES["rate_limits"](spark, str(DATA)).collect()}
+    assert len(got) == len(events)
+    for kind in {e["event_type"] for e in events}:
+        own = sorted((e["at"], e["event_id"]) for e in events if e["event_type"] == kind)
+        for (_, i), (backoff, begin) in zip(own, simulated([(at, i % 7 == 0) for at, i in own], 500), strict=True):
+            assert got[i][0] == pytest.approx(backoff, abs=1e-6) and abs(got[i][1] - begin) <= 1
+
+
 def test_backoff_maps_compose():
     rng = random.Random(5)
     for _ in range(200):

@@ -35,12 +35,6 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or sc.getCheckpointDir()).rstrip("/")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed and written to the shared folder, so that a lost executor or a later use starts from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

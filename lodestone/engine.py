@@ -11,7 +11,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.cluster import kept
+from lodestone.cluster import removed, written
 from lodestone.functions import text as tx
 from lodestone.operators import cite, links, project, retrieve
 from lodestone.operators import rank as rk
@@ -95,7 +95,7 @@ def cache_key(options: Options, plan: Plan, sources: str) -> str:
 
 
 class Engine:
-    """Searches a papers table; root keeps entries of finished searches, runs and snapshots of texts.
+    """Searches a papers table; close(), or leaving a with block, removes what its searches have written. root keeps entries of finished searches, runs and snapshots of texts.
 
     details (ref, parser, detail_at and the fields that a detail page adds) is what stands in for
     reading pages: a search takes from it for the papers that it would have read.
@@ -105,6 +105,7 @@ class Engine:
         self.spark, self.papers, self.sources, self.name, self.details = spark, papers, sources, name, details
         self.store = Store(spark, root) if root else None
         self._runs: dict[str, _Run] = {}
+        self._tables: list[DataFrame] = []
 
     # -- search --
 
@@ -281,7 +282,20 @@ class Engine:
 
     def _kept(self, df: DataFrame) -> DataFrame:
         """A phase's result, written so that later phases and retries start from it."""
-        return kept(df)
+        out = written(df, "search")
+        self._tables.append(out)
+        return out
+
+    def close(self) -> None:
+        """Removes the tables of this engine's searches; what a root keeps stays."""
+        removed(*self._tables)
+        self._tables, self._runs = [], {}
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def _stored(self, search_id: str, plan: Plan, o: Options) -> SearchResult:
         entries = self.store.read("search_entries").where(F.col("search_id") == search_id).drop("search_id")

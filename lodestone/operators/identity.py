@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.cluster import kept
+from lodestone.cluster import written
 from lodestone.functions import text as tx
 
 
@@ -100,13 +100,13 @@ def class_pairs(found: DataFrame) -> DataFrame:
 
 def same_pairs(papers: DataFrame) -> DataFrame:
     """All verified links: pairs (a, b) of class representatives, and of each with its members (kind)."""
-    found = kept(classes(papers))
+    found = written(classes(papers), "classes")
     return class_pairs(found).withColumn("kind", F.lit("pair")).union(members(found).withColumn("kind", F.lit("member")))
 
 
 def link_counts(papers: DataFrame) -> DataFrame:
     """(ref, n): with how many others each paper is linked; the sizes of its class and of the classes linked to it."""
-    found = kept(classes(papers))
+    found = written(classes(papers), "classes")
     pairs = class_pairs(found)
     sizes = found.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -15,6 +15,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.cluster import removed, written
 from lodestone.functions.text import RESERVED, UNSAFE
 from lodestone.plans.expression import QueryError
 
@@ -363,19 +364,28 @@ def current(df: DataFrame, key: str) -> DataFrame:
 def import_legacy(store: Store, path: str) -> bool:
     """Papers, sources and artifacts of a version-5 JSON file; another version or an unreadable file leaves the store as it is.
 
-    The file's maps become rows by from_json, so Spark reads it, and each table is one append.
+    The file is parsed once, by Spark, and its members become rows of one table; each of the store's tables
+    is one append from there.
     """
-    spark = store.spark
-    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("t"))
-    head = text.select(F.try_variant_get(F.try_parse_json("t"), "$.version", "int").alias("v")).first()
-    if head is None or head["v"] != 5:
+    spark, names = store.spark, ("papers", "sources", "artifacts")
+    schema = "version int, " + ", ".join(f"{n} map<string,string>" for n in names)
+    file = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("f"))
+    none = F.array().cast("array<struct<kind:string,key:string,record:string>>")
+
+    def members(name: str) -> Column:
+        return F.coalesce(F.transform(F.map_entries(f"f.{name}"), lambda e: F.struct(F.lit(name).alias("kind"), e["key"].alias("key"), e["value"].alias("record"))), none)
+
+    rows = file.where("f.version = 5").select(F.inline(F.concat(F.array(F.struct(F.lit("version").alias("kind"), F.lit("").alias("key"), F.lit("5").alias("record"))), *map(members, names))))
+    read = written(rows, "legacy")
+    if read.where("kind = 'version'").isEmpty():
+        removed(read)
         return False
     for name, key in (("papers", "ref"), ("sources", "key"), ("artifacts", "key")):
-        raw = text.select(F.explode(F.from_json(F.get_json_object("t", f"$.{name}"), "map<string,string>")).alias("key", "record"))
-        rows = raw.where(F.col("record").isNotNull() & (F.col("record") != "null"))
+        some = read.where((F.col("kind") == name) & F.col("record").isNotNull() & (F.col("record") != "null"))
         if name == "papers":
-            rows = rows.withColumn("ref", F.get_json_object("record", "$.record_ref")).where("ref <> ''").drop("key")
-        store.append(name, rows.select(key, "record"), f"legacy-{name}")
+            some = some.withColumn("ref", F.get_json_object("record", "$.record_ref")).where("ref <> ''")
+        store.append(name, some.select(key, "record"), f"legacy-{name}")
+    removed(read)
     return True
 
 

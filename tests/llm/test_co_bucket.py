@@ -99,12 +99,10 @@ def of_query(spark, folder):
     return out, root
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_files_are_those_of_a_plain_sort(spark, tmp_path, monkeypatch, seed):
-    if seed == 2:  # many short runs, merged in rounds
-        for name, n in (("RUN_ROWS", 40), ("BLOCK_ROWS", 3), ("OPEN_RUNS", 2)):
-            monkeypatch.setattr(cb, name, n)
-    sales, lines = case(seed)
+def test_files_are_those_of_a_plain_sort(spark, tmp_path, monkeypatch):
+    for name, n in (("RUN_ROWS", 40), ("BLOCK_ROWS", 3), ("OPEN_RUNS", 2)):  # many short runs, merged in rounds
+        monkeypatch.setattr(cb, name, n)
+    sales, lines = case(2)
     out, root = of_query(spark, made(spark, tmp_path, sales, lines))
     checked(out, brute(sales, lines, 2), {"sales": ["sale_id", "client_id", "status", "total"], "sale_lines": ["sale_id", "line_no", "item_id", "flag", "Bucket"]}, root)
 
@@ -118,11 +116,14 @@ def test_the_given_tables(spark):
 
 
 def test_empty_tables_have_no_files(spark, tmp_path):
-    out, root = of_query(spark, made(spark, tmp_path, [], []))
-    assert out.collect() == [] and not [p for p in Path(root).rglob("*") if p.is_file()]
-    sales, _ = case(3)
-    out, root = of_query(spark, made(spark, tmp_path / "more", sales, []))
-    assert {r["table_name"] for r in out.collect()} == {"sales"}
+    def paired(sales, lines, folder):
+        left, right = spark.createDataFrame(sales, SALES), spark.createDataFrame(lines, LINES)
+        starts = F.lit(0), F.lit(0)
+        return cb.co_bucket(left, right, ("sales", "sale_lines"), "sale_id", starts, 1, 3, "", str(folder)).collect()
+
+    assert paired([], [], tmp_path / "none") == [] and not [p for p in (tmp_path / "none").rglob("*") if p.is_file()]
+    rows = paired([(1, None, "a", 1.0), (1, None, "a", 1.0)], [], tmp_path / "one")
+    assert [(r["table_name"], r["n_rows"], r["n_joined"], r["rewritten"]) for r in rows] == [("sales", 2, 0, False)]  # the starting file is the bucket's
 
 
 def test_merging_holds_a_block_of_each_run():

@@ -16,10 +16,14 @@ def identity_keys() -> Column:
 
 
 def with_keys(papers: DataFrame) -> DataFrame:
-    """papers (title, authors, source, year, doi, dbname, filename) with their keys."""
-    return papers.withColumns({
-        "native_key": tx.native_key("dbname", "filename"), "doi_key": tx.doi_key(F.coalesce("doi", F.lit(""))), "bib_key": tx.bibliography_key("title", "authors", "source", "year"),
-    })
+    """papers (title, authors, source, year, doi, dbname, filename) with their keys.
+
+    The title's key is a column of its own first, as the bibliography names it more than once.
+    """
+    return papers.withColumn("__title_key", tx.title_key("title")).withColumns({
+        "native_key": tx.native_key("dbname", "filename"), "doi_key": tx.doi_key(F.coalesce("doi", F.lit(""))),
+        "bib_key": tx.bibliography_key("title", "authors", "source", "year", F.col("__title_key")),
+    }).drop("__title_key")
 
 
 def _c(side: str, name: str) -> Column:

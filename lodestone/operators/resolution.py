@@ -211,8 +211,10 @@ def labelled(links: DataFrame) -> DataFrame:
     """(node, component) of links (node, key): the least node that shared keys reach.
 
     Rounds of minima, in which a label also takes the label of its own node, so chains settle in few;
-    there is no limit to them. Each round's table replaces the one before.
+    there is no limit to them. Each round's table replaces the one before. The links are written first,
+    unless they are a written table, so that no round computes them again.
     """
+    given, links = links, links if hasattr(links, "written_at") else written(links, "links")
     label = written(links.select("node").distinct().withColumn("component", F.col("node")), "labels")
     while True:
         per_key = links.join(label, "node").groupBy("key").agg(F.min("component").alias("low"))
@@ -224,6 +226,7 @@ def labelled(links: DataFrame) -> DataFrame:
         new = written(low.join(up, "component").select("node", F.least("component", "up").alias("component"), (F.col("up") < F.col("old")).alias("moved")), "labels")
         removed(label, near)
         if new.where("moved").isEmpty():
+            removed(*([] if links is given else [links]))
             return new
         label = new
 

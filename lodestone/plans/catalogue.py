@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.cluster import new_folder
+from lodestone.cluster import new_folder, removed, written
 from lodestone.functions import tables as table_functions
 from lodestone.functions import text as tx
 from lodestone.operators import asof, cite, identity, limiter, links, lookups, project, resolution, retrieve, state
@@ -404,7 +404,7 @@ def dedup_links(spark, d):
   SELECT a AS seq, min(b) AS component FROM r GROUP BY a""")
 def key_components(spark, d):
     """Records that shared keys bring together, directly or through others."""
-    p = _linked_papers(spark, d)
+    p = written(_linked_papers(spark, d).select("doc_id", "native_key", "doi_key", "bib_key"), "keyed")  # the texts are read once
     linked = resolution.labelled(p.select(F.col("doc_id").alias("node"), F.explode(identity.identity_keys()).alias("key")))
     return p.join(linked, p["doc_id"] == linked["node"], "left").select(F.col("doc_id").alias("seq"), F.coalesce("component", "doc_id").alias("component"))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import shutil
 import threading
 
 import pytest
@@ -132,6 +133,28 @@ def test_keys_of_a_fold_are_those_of_columns(spark):
         assert (rs._title(r["title"]), rs._source(r["source"])) == (r["t"], r["s"])
 
 
+def test_links_are_computed_once(spark, tmp_path, monkeypatch):
+    source, write = str(tmp_path / "links"), rs.written
+    spark.createDataFrame([(i, f"k{j}") for i in range(40) for j in (i // 4, 100 + (i + 1) // 8)], "node long, key string").write.parquet(source)
+
+    def gone(df, name):
+        out = write(df, name)
+        shutil.rmtree(source, ignore_errors=True)  # what is read a second time fails
+        return out
+
+    monkeypatch.setattr(rs, "written", gone)
+    got = {r["node"]: r["component"] for r in rs.labelled(spark.read.parquet(source)).collect()}
+    assert got == dict.fromkeys(range(40), 0)
+
+
+def test_title_keys_of_every_code_point(spark):
+    points = spark.range(1, 0x3100).union(spark.range(0xFE00, 0x10000)).select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    title = F.concat(F.lit("a "), "c", F.lit(" "), "c", F.lit("  b"))
+    plain = F.regexp_replace(F.lower(F.btrim(F.regexp_replace(title, f"{tx.BLANK}+", " "), F.lit(" "))), f" ?({tx.TITLE_MARKS}) ?", "$1")
+    got = points.select("c", tx.title_key(title).alias("key"), plain.alias("plain"), F.col("c").rlike(f"^{tx.BLANK}$").alias("b"), F.col("c").rlike(f"^{tx.WHITE}$").alias("w")).collect()
+    assert len(got) > 12_000 and [r["c"] for r in got if r["b"] != r["w"] or r["key"] != r["plain"]] == []
+
+
 def files_read(df):
     df = df.select("*")  # a plan that has not run yet
     df.collect()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.cluster import written
 from lodestone.functions import text as tx
 from lodestone.operators import identity
 from lodestone.plans.expression import QueryError
@@ -115,11 +116,12 @@ def located(papers: DataFrame, rows: DataFrame) -> DataFrame:
 
     papers and rows have keys (with_keys); a paper without any key takes the one row that has its title.
     Rows that agree in title and all identifiers are one class with its number, and papers meet classes by
-    title and key, so neither a common title nor many copies make pairs.
+    title and key, so neither a common title nor many copies make pairs. Titles are compared by the SHA-256 of
+    their keys, and both sides are written, so that each title is read once and none is shuffled.
     """
-    title, low = tx.title_key("title").alias("key"), F.lower(F.coalesce("dbcode", F.lit(""))).alias("dbcode")
-    of_class = rows.select(title, "doi_key", "native_key", low, "bib_key", "ref").groupBy("key", "doi_key", "native_key", "dbcode", "bib_key").agg(F.count(F.lit(1)).alias("n"), F.min("ref").alias("first"))
-    mine = papers.select("ref", title, "doi_key", "native_key", low, "bib_key")
+    title, low = F.sha2(tx.title_key("title"), 256).alias("key"), F.lower(F.coalesce("dbcode", F.lit(""))).alias("dbcode")
+    of_class = written(rows.select(title, "doi_key", "native_key", low, "bib_key", "ref").groupBy("key", "doi_key", "native_key", "dbcode", "bib_key").agg(F.count(F.lit(1)).alias("n"), F.min("ref").alias("first")), "listed")
+    mine = written(papers.select("ref", title, "doi_key", "native_key", low, "bib_key"), "asked")
     a = mine.select("ref", "key", F.struct("doi_key", "native_key", "dbcode", "bib_key").alias("a"), F.explode(identity.identity_keys()).alias("id"))
     b = of_class.select("key", F.struct("doi_key", "native_key", "dbcode", "bib_key", "n", "first").alias("b"), F.explode(identity.identity_keys()).alias("id"))
     keyed = a.join(b, ["key", "id"]).where(identity.same_paper("a", "b")).select("ref", "b").distinct().select("ref", "b.n", "b.first")
@@ -127,7 +129,7 @@ def located(papers: DataFrame, rows: DataFrame) -> DataFrame:
     bare = mine.where(F.size(identity.identity_keys()) == 0).join(per_title, "key").select("ref", "n", "first")
     per_ref = keyed.union(bare).groupBy("ref").agg(F.sum("n").alias("n"), F.min("first").alias("found"))
     error = F.when(F.col("n").isNull(), "DOCUMENT_NOT_FOUND").when(F.col("n") > 1, "IDENTITY_AMBIGUOUS")
-    return papers.select("ref").join(per_ref, "ref", "left").select("ref", F.when(F.col("n") == 1, F.col("found")).alias("found"), error.alias("error"))
+    return mine.select("ref").join(per_ref, "ref", "left").select("ref", F.when(F.col("n") == 1, F.col("found")).alias("found"), error.alias("error"))
 
 
 def page_of(entries: DataFrame, scope: str = "candidates", offset: int = 0, limit: int = 50) -> DataFrame:

@@ -464,7 +464,7 @@ def detail_bind(spark, d):
   SELECT ref, CASE WHEN n = 1 THEN n.found END AS found, CASE WHEN n IS NULL THEN 'DOCUMENT_NOT_FOUND' WHEN n > 1 THEN 'IDENTITY_AMBIGUOUS' END AS error FROM lk LEFT JOIN n USING (ref)""")
 def locate_identity(spark, d):
     """Each paper among two thirds of the rows, by title and identity."""
-    p = _linked_papers(spark, d)
+    p = written(_linked_papers(spark, d).select("doc_id", "ref", "title", "doi_key", "native_key", "dbcode", "bib_key"), "keyed")  # the texts are read once
     return project.located(p, p.where(F.col("doc_id") % 3 != 1))
 
 

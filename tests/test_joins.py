@@ -2,6 +2,7 @@
 
 import json
 import random
+import shutil
 from pathlib import Path
 
 import pytest
@@ -187,6 +188,24 @@ def test_one_checked_detail_for_each_paper(spark):
     assert project.with_details(papers, details).count() == 3
 
 
+def test_listed_rows_are_read_once(spark, tmp_path, monkeypatch):
+    source, write, done = str(tmp_path / "keyed"), project.written, []
+    rows = [(f"r{i}", f"Title {i // 2}", f"10.1/{i}" if i % 3 else "", "", "", "") for i in range(12)]
+    spark.createDataFrame(rows, "ref string, title string, doi_key string, native_key string, dbcode string, bib_key string").write.parquet(source)
+
+    def gone(df, name):
+        out = write(df, name)
+        done.append(name)
+        if len(done) == 2:
+            shutil.rmtree(source)  # what is read again fails
+        return out
+
+    monkeypatch.setattr(project, "written", gone)
+    p = spark.read.parquet(source)
+    got = {r["ref"]: (r["found"], r["error"]) for r in project.located(p, p).collect()}
+    assert got == {f"r{i}": (f"r{i}", None) if i % 3 else (None, "IDENTITY_AMBIGUOUS") for i in range(12)}
+
+
 def test_papers_are_located_by_title_and_identity(spark):
     schema = "ref string, title string, authors array<string>, source string, year int, doi string, dbname string, filename string, dbcode string"
     papers = [("a", "T", ["A"], "S", 2020, "10.1/x", "", "", ""), ("b", "T", [], "", 0, "", "", "", ""), ("c", "Q", ["A"], "S", 2020, "10.1/q", "", "", ""), ("d", "W", [], "", 0, "10.1/w", "", "", ""), ("e", "Only", [], "", 0, "", "", "", "")]

@@ -22,7 +22,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -53,6 +53,7 @@ def _clean(s: str | None) -> str:
     return BLANKS.sub(" ", s or "").strip(" ")
 
 
+@lru_cache(256)  # neighbours in a fold have the same titles
 def _title(s: str | None) -> str:
     return MARKS.sub(r"\1", _clean(s).lower())
 
@@ -66,6 +67,12 @@ def _json(value: object) -> str:
     return re.sub("[<>&\u2028\u2029]", lambda m: f"\\u{ord(m[0]):04x}", out)
 
 
+@lru_cache(256)
+def _bibliography(title: str, authors: tuple[str, ...], source: str, year: int) -> str:
+    listed = [_title(title), _clean("|".join(authors)).lower(), _clean(source).lower(), year]
+    return hashlib.sha256(_json(listed).encode()).hexdigest()
+
+
 def keys_of(p: dict) -> dict[str, str]:
     """native, doi and bib key of a record, as far as it has them."""
     doi = _clean(p["doi"]).lower()
@@ -73,8 +80,7 @@ def keys_of(p: dict) -> dict[str, str]:
         doi = doi.removeprefix(prefix)
     out = {"native": f"{p['dbname']}:{p['filename']}".upper() if p["dbname"] and p["filename"] else "", "doi": doi, "bib": ""}
     if p["title"] and p["authors"] and p["source"] and p["year"]:
-        listed = [_title(p["title"]), _clean("|".join(p["authors"])).lower(), _clean(p["source"]).lower(), p["year"]]
-        out["bib"] = hashlib.sha256(_json(listed).encode()).hexdigest()
+        out["bib"] = _bibliography(p["title"], tuple(p["authors"]), p["source"], p["year"])
     return out
 
 
@@ -116,7 +122,7 @@ class Fold:
         self.records: dict[str, dict] = {}
         self.refs: dict[str, set[str]] = {}
         self.changed: set[str] = set()
-        self.made: set[str] = set()
+        self.made: set[tuple[str, str]] = set()  # (key, ref), of all versions of a record
 
     def stored(self, ref: str, record: dict) -> None:
         self.records[ref] = record | {"keys": keys_of(record)}
@@ -136,14 +142,15 @@ class Fold:
                 break
         else:
             found, out = (ref if ref not in self.records else another_ref(ref, seq)), {c: record[c] for c in FIELDS.names}
-            self.made.add(f"ref:{found}")
         out["keys"] = keys_of(out)
         self.records[found] = out
         self.changed.add(found)
         for k, v in out["keys"].items():
             if v:
-                self.key(f"{k}:{v}", found)
-                self.made.add(f"{k}:{v}")
+                key = f"{k}:{v}"
+                if found not in self.refs.get(key, ()):  # what is stored is not given again
+                    self.key(key, found)
+                    self.made.add((key, found))
         return found
 
 
@@ -154,21 +161,21 @@ RECORD, KEY, OBSERVATION = 0, 1, 2
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows IN, sorted by component, kind and seq, to rows of the same form: refs of observations, records that changed, keys that were made."""
-    fold, now, out = Fold(), None, []
-    names = IN.names
-    none = dict.fromkeys(names)
+    """Rows IN, sorted by component, kind and seq, to rows of the same form: refs of observations, records that changed, keys that were made, each with its ref once."""
+    fold, now = Fold(), None
+    out: dict[int, list[tuple]] = {RECORD: [], KEY: [], OBSERVATION: []}
+    columns = {RECORD: ("component", "ref", *FIELDS.names), KEY: ("component", "key", "ref"), OBSERVATION: ("component", "seq", "ref")}
 
     def ended() -> None:
-        for ref in sorted(fold.changed):
-            out.append(none | {"component": now, "kind": RECORD, "ref": ref} | {c: fold.records[ref][c] for c in FIELDS.names})
-            out.extend(none | {"component": now, "kind": KEY, "ref": ref, "key": f"{k}:{v}"} for k, v in fold.records[ref]["keys"].items() if v)
-        out.extend(none | {"component": now, "kind": KEY, "key": k} for k in sorted(fold.made))
+        out[RECORD].extend((now, ref, *(fold.records[ref][c] for c in FIELDS.names)) for ref in sorted(fold.changed))
+        out[KEY].extend((now, *pair) for pair in sorted(fold.made))
 
-    def flush() -> pa.RecordBatch:
-        rows = pa.RecordBatch.from_pylist(out, schema=ARROW_OUT)
-        out.clear()
-        return rows
+    def flush() -> Iterator[pa.RecordBatch]:
+        for kind, rows in out.items():
+            if rows:
+                have = dict(zip(columns[kind], zip(*rows, strict=True), strict=True)) | {"kind": [kind] * len(rows)}
+                yield pa.RecordBatch.from_arrays([pa.array(have[f.name], f.type) if f.name in have else pa.nulls(len(rows), f.type) for f in ARROW_OUT], schema=ARROW_OUT)
+                rows.clear()
 
     for batch in batches:
         for r in batch.to_pylist():
@@ -180,14 +187,11 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif r["kind"] == KEY:
                 fold.key(r["key"], r["ref"])
             else:
-                ref = fold.observe(r["seq"], r["ref"], {c: r[c] for c in FIELDS.names})
-                # all versions of a record keep their keys
-                out.append(none | {"component": now, "kind": OBSERVATION, "seq": r["seq"], "ref": ref})
-                out.extend(none | {"component": now, "kind": KEY, "ref": ref, "key": f"{k}:{v}"} for k, v in fold.records[ref]["keys"].items() if v)
-        if len(out) > 5_000:
-            yield flush()
+                out[OBSERVATION].append((now, r["seq"], fold.observe(r["seq"], r["ref"], {c: r[c] for c in FIELDS.names})))
+            if len(out[RECORD]) + len(out[KEY]) + len(out[OBSERVATION]) > 5_000:
+                yield from flush()
     ended()
-    yield flush()
+    yield from flush()
 
 
 ARROW_OUT = to_arrow_schema(IN)
@@ -266,7 +270,7 @@ class PaperStore:
         out, runs = self._resolved(obs, known_keys, records)
         version = F.lit(self.store.next_version(papers)).cast("long")
         changed = out.where((F.col("kind") == RECORD)).select("ref", *FIELDS.names)
-        self.store.append_keyed(keys, out.where((F.col("kind") == KEY) & F.col("ref").isNotNull()).select("key", "ref").distinct(), "key", batch)
+        self.store.append_keyed(keys, out.where(F.col("kind") == KEY).select("key", "ref").distinct(), "key", batch)
         self.store.append_keyed(papers, changed.withColumn("version", version), "ref", batch)
         of_head = out.where(F.col("kind") == OBSERVATION).select(F.col("seq").alias("head"), "ref")
         result = written(runs.select("seq", "head").join(of_head, "head").select("seq", "ref"), "resolved")
@@ -291,7 +295,7 @@ class PaperStore:
                 rows.append(_input(known.join(of_key, "key"), KEY))
             ship(obs.sparkSession)
             folded = written(reduce(DataFrame.unionByName, rows).repartition("component").sortWithinPartitions("component", "kind", "seq").mapInArrow(_folded, IN), "folded")
-            made = folded.where((F.col("kind") == KEY) & F.col("ref").isNull()).select("component", "key")
+            made = folded.where(F.col("kind") != OBSERVATION).select("component", F.coalesce("key", F.concat(F.lit("ref:"), "ref")).alias("key")).distinct()
             out = made.join(of_key.withColumnRenamed("component", "other"), "key").where("component <> other").select("component", "key", "other").distinct()
             bridges = written(out.select(F.col("component").alias("node"), "key").union(out.select(F.col("other").alias("node"), "key")).distinct(), "bridges")
             if bridges.isEmpty():

@@ -432,9 +432,11 @@ def resolve_batch(spark, d):
     """Observations in three batches, resolved against what the batches before have stored, in a new store."""
     store = resolution.PaperStore(state.Store(spark, new_folder(spark, "resolve")))
     o, out = _colliding(spark, d), []
+    o = written(o.select("seq", "ref", *(c for c in resolution.FIELDS.names if c in o.columns)), "colliding")  # the texts are read once, not for each batch
     third = [F.pmod(F.floor(F.col("seq") / 2), F.lit(3)) == k for k in range(3)]
     for k, part in enumerate(third):
         out.append(store.upsert(o.where(part), f"batch-{k}").withColumn("batch", F.lit(k)))
+    removed(o)
     return reduce(DataFrame.union, out)
 
 

@@ -5,6 +5,7 @@ import random
 import shutil
 import threading
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,6 +134,16 @@ def test_keys_of_a_fold_are_those_of_columns(spark):
         assert (rs._title(r["title"]), rs._source(r["source"])) == (r["t"], r["s"])
 
 
+def test_a_fold_gives_each_key_with_its_ref_once():
+    rows = [dict.fromkeys(rs.IN.names) | {"component": 1, "kind": rs.OBSERVATION, "seq": i, "ref": "a", "title": "T", "doi": "10.1/x", "abstract": f"v{i}"} for i in range(50)]
+    stored = dict.fromkeys(rs.IN.names) | {"component": 2, "kind": rs.KEY, "key": "doi:10.1/y", "ref": "b"}
+    known = dict.fromkeys(rs.IN.names) | {"component": 2, "kind": rs.OBSERVATION, "seq": 60, "ref": "b", "title": "U", "doi": "10.1/y"}
+    out = [r for b in rs._folded(iter([pa.RecordBatch.from_pylist([*rows, stored, known], schema=rs.ARROW_OUT)])) for r in b.to_pylist()]
+    assert [(r["key"], r["ref"]) for r in out if r["kind"] == rs.KEY] == [("doi:10.1/x", "a")]
+    assert [(r["seq"], r["ref"]) for r in out if r["kind"] == rs.OBSERVATION] == [*((i, "a") for i in range(50)), (60, "b")]
+    assert [(r["component"], r["ref"], r["abstract"]) for r in out if r["kind"] == rs.RECORD] == [(1, "a", "v49"), (2, "b", None)]
+
+
 def test_links_are_computed_once(spark, tmp_path, monkeypatch):
     source, write = str(tmp_path / "links"), rs.written
     spark.createDataFrame([(i, f"k{j}") for i in range(40) for j in (i // 4, 100 + (i + 1) // 8)], "node long, key string").write.parquet(source)
